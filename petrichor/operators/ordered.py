@@ -80,13 +80,15 @@ def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out: str = "cum"
     return running_sum(p, [], "_part", ["_pos"], {out: F.col(value)}).drop("_part", "_pos")
 
 
-def hashed_index(df: DataFrame, hex_key: str, tie: str, out: str = "idx", digits: int = 3) -> DataFrame:
+def hashed_index(df: DataFrame, hex_key: str, tie: str, out: str = "idx", by=(), digits: int = 3) -> DataFrame:
     """Dense position by a hex digest: its leading digits are already a balanced, ordered chunk."""
+    by = _names(by)
+    keys = [*by, "_chunk"]
     d = df.withColumn("_chunk", F.substring(hex_key, 1, digits))
-    local = F.row_number().over(W.partitionBy("_chunk").orderBy(hex_key, tie))
-    counts = d.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offset = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # at most 16**digits rows
-    return (d.withColumn("_rn", local).join(F.broadcast(offset), "_chunk")
+    local = F.row_number().over(W.partitionBy(*keys).orderBy(hex_key, tie))
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    # the summary has at most 16**digits rows per group of ``by``
+    offset = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (d.withColumn("_rn", local).join(offset, keys)
             .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(out)))

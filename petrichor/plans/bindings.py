@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..operators.splits import Split
+from ..session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,3 +59,23 @@ NULL_SIG = "null_provider:era=0:tp=0:no_era_access"
 POLICY = ((TP_OFF_SIG, 0.25, 0.25), (SOURCE_SIG, 0.5, 0.5), (NULL_SIG, 0.25, 0.25))
 POLICY_SQL = "policy(ord, sig, pt, pd) as (values " + ", ".join(
     f"({i}, '{s}', {t}::double, {d}::double)" for i, (s, t, d) in enumerate(POLICY)) + ")"
+
+
+# --- tables that the pipeline publishes once and reads many times --------------------------------------
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(fn):
+    """Materialise a published table (event index, candidates, draws) once per application.
+
+    It is written to the shared checkpoint folder, so later queries read a table instead of planning and
+    running the whole pipeline again, and a lost executor does not lose it.
+    """
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, f"{fn.__module__}.{fn.__name__}")
+        if key not in _STORED:
+            _STORED[key] = cut_lineage(fn(spark, sf))
+        return _STORED[key]
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
