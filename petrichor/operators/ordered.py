@@ -67,10 +67,10 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx", partition
     p = placed(df, order, partitions)
     counts = p.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offset = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offset = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry_off"))
     # one row per range part, as many as spark.sql.shuffle.partitions: a fixed, small broadcast
     return (p.join(F.broadcast(offset), "_part")
-            .select(*df.columns, (F.col("_off") + F.col("_pos")).cast("long").alias(out)))
+            .select(*df.columns, (F.col("_carry_off") + F.col("_pos")).cast("long").alias(out)))
 
 
 def prefix_sum(df: DataFrame, order: Sequence[str], value: str, out: str = "cum",
@@ -89,6 +89,6 @@ def hashed_index(df: DataFrame, hex_key: str, tie: str, out: str = "idx", by=(),
     counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     # the summary has at most 16**digits rows per group of ``by``
-    offset = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offset = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry_off"))
     return (d.withColumn("_rn", local).join(offset, keys)
-            .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("long").alias(out)))
+            .select(*df.columns, (F.col("_carry_off") + F.col("_rn") - 1).cast("long").alias(out)))
