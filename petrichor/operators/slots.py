@@ -63,14 +63,17 @@ def availability_stats(slots: DataFrame, window: int = 84, by=()) -> DataFrame:
         F.sum(F.call_function("div", n, F.lit(window))).alias("disjoint_blocks")))
 
 
-def order_violations(items: DataFrame, position: str, keys, chunk: int = 1 << 20) -> DataFrame:
-    """WN12: stored rows whose key is not strictly above the key of the row before."""
-    keys = list(keys)
+def order_violations(items: DataFrame, position: str, keys, chunk: int = 1 << 20, by=()) -> DataFrame:
+    """WN12: stored rows whose key is not strictly above the key of the row before.
+
+    ``position`` is a dense index; each chunk of it is one task, and the last key of a chunk goes to the next.
+    """
+    keys, by = list(keys), list(by)
     here = items.withColumn("_chunk", F.floor(F.col(position) / chunk))
-    w = W.partitionBy("_chunk").orderBy(position)
-    edge = (here.groupBy("_chunk").agg(F.max_by(F.struct(*keys), position).alias("_edge"))
+    w = W.partitionBy(*by, "_chunk").orderBy(position)
+    edge = (here.groupBy(*by, "_chunk").agg(F.max_by(F.struct(*keys), position).alias("_edge"))
             .withColumn("_chunk", F.col("_chunk") + 1))
     prev = F.coalesce(F.lag(F.struct(*keys)).over(w), F.col("_edge"))
-    return (here.join(edge, "_chunk", "left").withColumn("_prev", prev)
+    return (here.join(edge, [*by, "_chunk"], "left").withColumn("_prev", prev)
             .filter(F.col("_prev").isNotNull() & (F.struct(*keys) <= F.col("_prev")))
-            .select(position, *keys))
+            .select(*by, position, *keys))
