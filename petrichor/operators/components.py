@@ -2,52 +2,72 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def _row_runs(wet: DataFrame, by: list[str]) -> DataFrame:
-    """Pixels with the first x of their run inside a grid row (a row has a fixed width)."""
-    w = W.partitionBy(*by, "y").orderBy("x")
-    gap = F.col("x") - F.row_number().over(w)
-    d = wet.withColumn("_g", gap)
-    return d.withColumn("run_x", F.min("x").over(W.partitionBy(*by, "y", "_g"))).drop("_g")
+TILE = 64
+_NEIGHBOURS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+
+
+def _label_tile(by: list[str]):
+    """Smallest pixel id of each 8-connected area inside one tile; at most TILE x TILE pixels per call."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        r, c = y - y.min() + 1, x - x.min() + 1
+        far = np.iinfo("int64").max
+        grid = np.full((r.max() + 2, c.max() + 2), far, dtype="int64")
+        grid[r, c] = (y.astype("int64") << 32) + x
+        wet = grid != far
+        while True:
+            low = grid.copy()
+            for dy, dx in _NEIGHBOURS:
+                low = np.minimum(low, np.roll(grid, (dy, dx), (0, 1)))
+            low = np.where(wet, low, far)
+            if (low == grid).all():
+                break
+            grid = low
+        return pdf.assign(local=grid[r, c])[[*by, "y", "x", "v", "local"]]
+    return run
 
 
 def wet_components(wet: DataFrame, by, max_rounds: int = 64) -> DataFrame:
     """IT01: 8-connected components of wet pixels (by, y, x, v).
 
-    Rows are folded to runs, so only runs are graph nodes. Edges come from equi-joins on the neighbour pixel,
-    never from pairs inside a field. Then smallest-label propagation with pointer jumping, a number of rounds
-    about logarithmic in the longest chain; each round is checkpointed, and the loop fails if it does not end.
+    Areas are labelled inside fixed tiles first (a bounded group per task). Only areas that touch a tile border
+    meet others: their border pixels are matched by equi-join on the neighbour pixel, and smallest-label
+    propagation with pointer jumping runs on that small graph of areas, checkpointed each round. It fails if it
+    does not settle.
     """
     by = list(by)
-    px = cut_lineage(_row_runs(wet, by))
-    node = F.struct("y", F.col("run_x").alias("x"))
-    keyed = px.select(*by, "y", "x", node.alias("a"))
-    down = keyed.select(*by, (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in (-1, 0, 1)])).alias("x"), "a")
-    pairs = down.join(keyed.withColumnRenamed("a", "b"), [*by, "y", "x"]).select(*by, "a", "b").distinct()
-    edges = cut_lineage(pairs.unionByName(pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(keyed.select(*by, "a").distinct().withColumn("label", F.col("a")))
+    tiles = wet.select(*by, "y", "x", "v").withColumn("_ty", F.floor(F.col("y") / TILE)).withColumn("_tx", F.floor(F.col("x") / TILE))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wet.select(*by, "y", "x", "v").schema) + ", local bigint"
+    px = cut_lineage(tiles.groupBy(*by, "_ty", "_tx").applyInPandas(_label_tile(by), schema))
+    border = px.filter(F.pmod("y", F.lit(TILE)).isin(0, TILE - 1) | F.pmod("x", F.lit(TILE)).isin(0, TILE - 1)).select(*by, "y", "x", "local")
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in _NEIGHBOURS]))
+    near = border.withColumn("_s", step).select(*by, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"), F.col("local").alias("a"))
+    edges = cut_lineage(near.join(border, [*by, "y", "x"]).filter("a <> local").select(*by, "a", F.col("local").alias("b")).distinct())
+    labels = cut_lineage(edges.select(*by, "a").distinct().withColumn("label", F.col("a")))
+    moved = labels.limit(1).count()
     for _ in range(max_rounds):
+        if not moved:
+            break
         seen = labels.withColumnRenamed("a", "b").withColumnRenamed("label", "_nb")
         best = edges.join(seen, [*by, "b"]).groupBy(*by, "a").agg(F.min("_nb").alias("_nb"))
-        step = labels.join(best, [*by, "a"], "left").select(
-            *by, "a", "label", F.least("label", F.coalesce("_nb", "label")).alias("_new"))
+        new = labels.join(best, [*by, "a"], "left").select(*by, "a", "label", F.least("label", F.coalesce("_nb", "label")).alias("_new"))
         jump = labels.select(*by, F.col("a").alias("_new"), F.col("label").alias("_jump"))
-        nxt = step.join(jump, [*by, "_new"], "left").select(
-            *by, "a", F.least("_new", F.coalesce("_jump", "_new")).alias("_next"), "label")
-        nxt = cut_lineage(nxt)
-        moved = nxt.filter(F.col("_next") != F.col("label")).limit(1).count()
+        nxt = cut_lineage(new.join(jump, [*by, "_new"], "left").select(
+            *by, "a", "label", F.least("_new", F.coalesce("_jump", "_new")).alias("_next")))
+        moved = nxt.filter("_next <> label").limit(1).count()
         labels = nxt.select(*by, "a", F.col("_next").alias("label"))
-        if not moved:
-            break
-    else:
+    if moved:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return px.withColumn("a", node).join(labels, [*by, "a"]).select(*wet.columns, "label")
+    out = px.join(labels.withColumnRenamed("a", "local"), [*by, "local"], "left")
+    return out.select(*wet.columns, F.coalesce("label", "local").alias("label"))
 
 
 def component_stats(labelled: DataFrame, by, min_size: int = 4, peak: float = 1.0) -> DataFrame:

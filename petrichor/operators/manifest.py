@@ -26,9 +26,9 @@ def nominal_index(slots: DataFrame, splits, minutes: int, history: int, horizon:
     a split of higher priority). Works on distinct slots only.
     """
     k = minutes // TICK
-    runs = S.runs(slots)
-    seeds = runs.select((F.col("run_start") * k).alias("start"), (F.col("run_end") * k).alias("end"))
-    events = E.event_intervals(seeds, gap_ticks, guard_ticks).drop("n_seeds")
+    # adjacent slots are one tick-run apart, so runs, gap and guard are one merge of the slots themselves
+    points = slots.select((F.col("slot") * k).alias("start"), (F.col("slot") * k).alias("end"))
+    events = E.event_intervals(points, max(gap_ticks, k), guard_ticks).drop("n_seeds")
     issues = S.strict_issue_slots(slots, history, horizon)
     low, high = (F.col("slot") - (history - 1)) * k, (F.col("slot") + horizon) * k
     hit = E.containing_event(issues, events, low, high, 288, how="left")

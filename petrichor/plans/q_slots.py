@@ -81,6 +81,12 @@ def wn03(spark, sf):
 @query("wn04_guard_and_merge",
        f"""with {EVENTS_SQL} select source, s as "start", e as "end", n_seeds::bigint as n_seeds from m2""")
 def wn04(spark, sf):
+    return E.guard_and_merge(E.merge_intervals(seeds(spark, sf), GAP, ["source"]), GUARD, ["source"])
+
+
+@query("wn04_event_intervals",
+       f"""with {EVENTS_SQL} select source, s as "start", e as "end", n_seeds::bigint as n_seeds from m2""")
+def wn04b(spark, sf):
     return E.event_intervals(seeds(spark, sf), GAP, GUARD, ["source"])
 
 
