@@ -37,7 +37,8 @@ def hash_uniform(seed: int, purpose: str, key) -> Column:
 
     high, low = word(4), word(0)
     top53 = high * F.lit(1 << 21) + F.shiftright(low, 11)
-    return top53.cast("double") * F.lit(2.0 ** -53)
+    # never null; saying so keeps the planner from evaluating it once more in a null filter
+    return F.coalesce(top53.cast("double") * F.lit(2.0 ** -53), F.lit(0.0))
 
 
 def shuffle_key(seed: int, purpose: str, key) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import members as M
 from ..functions import signature as SG
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .manifest import union_all, violation
 
 # fixed values: ladder levels, finest first, and the support gate
@@ -126,13 +126,13 @@ def fit_sampler(rows: DataFrame, records: DataFrame, cell, d_enabled: bool, eps:
     """AG19: rows (cell, m ARRAY, residual, w) with records (cell, b, c) to d, gamma and the bias fraction."""
     cell = list(cell)
     mean = M.mean(F.col("m"))
-    d0 = rows.join(records.select(*cell, "b", "c"), cell).withColumn("e0", F.col("residual") - (F.col("b") + F.col("c") * mean))
+    d0 = rows.join(small_side(records.select(*cell, "b", "c")), cell).withColumn("e0", F.col("residual") - (F.col("b") + F.col("c") * mean))
     w = F.col("w")
     e = (d0.filter(w > 0).groupBy(*cell).agg((F.sum(w * F.col("e0")) / F.sum(w)).alias("mean_e0"),
                                             F.sqrt(F.sum(w * F.col("e0") * F.col("e0")) / F.sum(w)).alias("rmse")))
     bias = F.col("mean_e0") if d_enabled else F.lit(0.0)
     e = e.withColumn("d", bias).withColumn("bias_fraction", F.abs("mean_e0") / F.greatest(F.col("rmse"), F.lit(eps)))
-    j = d0.join(e, cell)
+    j = d0.join(small_side(e), cell)
     err = F.col("e0") - F.col("d")
     s2 = F.col("c") * F.col("c") * M.sample_variance(F.col("m"))
     return (j.groupBy(*cell).agg(F.first("d").alias("d"), F.first("bias_fraction").alias("bias_fraction"),
@@ -156,7 +156,7 @@ def fit_probability(rows: DataFrame, cell, max_rounds: int = 50, tol: float = 1e
     var = F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w") - F.pow(F.sum(F.col("w") * F.col("x")) / F.sum("w"), F.lit(2))
     start = folded.groupBy(*cell).agg(rate.alias("_r"), var.alias("_v")).filter("_r > 0 and _r < 1 and _v > 1e-12")
     r = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("_r")))
-    params = cut_lineage(start.select(*cell, F.ln(r / (1 - r)).alias("alpha"), F.lit(1.0).alias("slope")))
+    params = small_side(start.select(*cell, F.ln(r / (1 - r)).alias("alpha"), F.lit(1.0).alias("slope")))
     w, x = F.col("w"), F.col("x")
     for _ in range(max_rounds):
         f = 1 / (1 + F.exp(-(F.col("alpha") + F.col("slope") * x)))
@@ -171,7 +171,7 @@ def fit_probability(rows: DataFrame, cell, max_rounds: int = 50, tol: float = 1e
         slope = F.greatest(F.lit(min_slope), F.col("slope") - limited((F.col("haa") * F.col("b") - F.col("hab") * F.col("a")) / det))
         free = slope > min_slope
         alpha = F.col("alpha") - limited(F.when(free, (F.col("hbb") * F.col("a") - F.col("hab") * F.col("b")) / det).otherwise(F.col("a") / F.col("haa")))
-        nxt = cut_lineage(s.select(*cell, alpha.alias("alpha"), slope.alias("slope"),
+        nxt = small_side(s.select(*cell, alpha.alias("alpha"), slope.alias("slope"),
                                    F.greatest(F.abs(alpha - F.col("alpha")), F.abs(slope - F.col("slope"))).alias("_moved")))
         moved = nxt.agg(F.max("_moved")).first()[0]  # one number
         params = nxt.drop("_moved")

@@ -35,16 +35,20 @@ def segments(axis: DataFrame) -> DataFrame:
 def bracket(points: DataFrame, x: Column, axis: DataFrame) -> DataFrame:
     """The segment of each point; outside the axis the end segment. Adds seg, left, right (JN14's as-of both ways).
 
-    Points stay where they are: the segment table is a bounded broadcast, sorted once into an array, and each
-    point takes the last segment whose left end is not above it.
+    Segments are listed under buckets of the mean spacing, so a point meets the one or two segments of its
+    bucket in a hash join; the listing has at most about two rows per grid line.
     """
-    segs = segments(axis)
-    table = segs.agg(F.array_sort(F.collect_list(F.struct("left", "right", "seg"))).alias("_segs"))  # one row, axis size
-    d = points.withColumn("_x", x.cast("double")).join(F.broadcast(table))
-    below = F.filter("_segs", lambda s: s["left"] <= F.col("_x"))
-    pick = F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.element_at("_segs", 1))
-    return d.withColumn("_p", pick).select(*points.columns, F.col("_p.seg").alias("seg"), F.col("_p.left").alias("left"),
-                                           F.col("_p.right").alias("right"))
+    ends = axis.agg(F.min("centre").alias("_x0"), F.max("centre").alias("_x1"), F.count(F.lit(1)).alias("_n"))  # one row
+
+    def bucket(c):
+        at = F.floor((c - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_n") - 1))
+        return F.greatest(F.lit(0), F.least(F.col("_n") - 2, at))
+    listed = (segments(axis).join(F.broadcast(ends))
+              .withColumn("_b", F.explode(F.sequence(bucket(F.col("left")), bucket(F.col("right"))))).drop("_x0", "_x1", "_n"))
+    d = points.withColumn("_x", x.cast("double")).join(F.broadcast(ends)).withColumn("_b", bucket(F.col("_x")))
+    hit = (F.col("is_first") | (F.col("left") <= F.col("_x"))) & (F.col("is_last") | (F.col("_x") < F.col("right")))
+    j = d.alias("p").join(F.broadcast(listed).alias("s"), (F.col("p._b") == F.col("s._b")) & hit)
+    return j.select(*[f"p.{c}" for c in points.columns], "s.seg", "s.left", "s.right")
 
 
 def linear_interp(points: DataFrame, x: str, knots: DataFrame, value: str, out: str = "y") -> DataFrame:

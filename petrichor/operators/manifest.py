@@ -191,7 +191,7 @@ def audit_manifest(items: DataFrame, splits, minutes: int, history: int, horizon
         "rule", c("sample_id").alias("key"), F.lit("").alias("detail"))
     ident = items.groupBy("t0_utc", "lead_hours", "condition_signature").count().filter("count > 1")
     ids = items.groupBy("sample_id").count().filter("count > 1")
-    blocks = items.groupBy("block_id").agg(
+    blocks = items.select("block_id", "split", "fold_id").distinct().groupBy("block_id").agg(
         F.count_distinct("split").alias("s"), F.count_distinct(F.coalesce("fold_id", F.lit(-1))).alias("f"))
     sums = items.groupBy("split").agg(F.sum("p_target").alias("t"), F.sum("p_draw").alias("d"))
     used = items.filter("split = 'outer_train'").agg(F.count_distinct("fold_id").alias("n"), F.count(F.lit(1)).alias("rows"))

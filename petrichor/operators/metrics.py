@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import members as M
+from ..session import cut_lineage, small_side
 from .grid import neighbourhood_sum
 from .ordered import hashed_index
 from .sampling import grouped_quantiles
@@ -32,13 +33,14 @@ def continuous_errors(df: DataFrame, by) -> DataFrame:
 def contingency(df: DataFrame, by, thresholds, min_blocks: dict[float, int] | None = None, block: str | None = None) -> DataFrame:
     """ME02: one pass of conditional counts; the table is unfolded after aggregation, not before."""
     by = list(by)
-    aggs = []
+    aggs, tops = [], []
     for i, t in enumerate(thresholds):
         f, o = F.col("f") >= t, F.col("o") >= t
         aggs += [F.count_if(f & o).alias(f"h{i}"), F.count_if(~f & o).alias(f"m{i}"), F.count_if(f & ~o).alias(f"a{i}"), F.count_if(~f & ~o).alias(f"c{i}")]
-        if block:
-            aggs.append(F.count_distinct(F.when(o, F.col(block))).alias(f"b{i}"))
-    g = df.groupBy(*by).agg(*aggs)
+        tops += [F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "hmac"]
+        tops.append(F.count_if(F.col(f"h{i}") + F.col(f"m{i}") > 0).alias(f"b{i}"))
+    # blocks with an event come from a second level over (cell, block) counts, so no row is expanded for a distinct
+    g = df.groupBy(*by, block).agg(*aggs).groupBy(*by).agg(*tops) if block else df.groupBy(*by).agg(*aggs)
     parts = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"h{i}").alias("hits"), F.col(f"m{i}").alias("misses"),
                       F.col(f"a{i}").alias("false_alarms"), F.col(f"c{i}").alias("negatives"),
                       (F.col(f"b{i}") if block else F.lit(None).cast("long")).alias("event_blocks"),
@@ -222,14 +224,16 @@ def block_bootstrap(contrib: DataFrame, values, replicates: int = 2000, seed: in
     draws are a table of replicates x blocks made in parallel; equal draws fold to a multiplicity before the join.
     """
     values = list(values)
-    per = contrib.groupBy(stratum, block).agg(*[F.sum(v).alias(v) for v in values])
+    # the raw rows are read once: everything below starts from one row per block
+    per = cut_lineage(contrib.groupBy(stratum, block).agg(*[F.sum(v).alias(v) for v in values]))
     idx = hashed_index(per.withColumn("_h", F.sha2(F.col(block).cast("string"), 256)), "_h", block, "_i", [stratum])
-    sizes = per.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    slots = sizes.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    reps = contrib.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    # strata x block counts meet replicates: this table is the result of the draw itself
+    sizes = small_side(per.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")))
+    # replicates are spread over tasks; each carries its strata and unfolds its own slots
+    draws = (contrib.sparkSession.range(replicates).select(F.col("id").alias("replicate")).join(sizes)
+             .withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))))
     u = H.hash_uniform(seed, "bootstrap", F.concat_ws("|", "replicate", stratum, "_slot"))
-    picks = reps.crossJoin(slots).withColumn("_i", F.floor(u * F.col("_n"))).groupBy("replicate", stratum, "_i").agg(F.count(F.lit(1)).alias("_k"))
+    pick = F.coalesce(F.floor(u * F.col("_n")), F.lit(0))
+    picks = draws.withColumn("_i", pick).groupBy("replicate", stratum, "_i").agg(F.count(F.lit(1)).alias("_k"))
     return picks.join(idx, [stratum, "_i"]).groupBy("replicate").agg(*[F.sum(F.col("_k") * F.col(v)).alias(v) for v in values])
 
 

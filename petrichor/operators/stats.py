@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time as T
+from ..session import small_side
 
 
 def masked_moments(df: DataFrame, by, value: str = "v", valid: str = "valid") -> DataFrame:
@@ -59,7 +60,7 @@ def fit_normalization(groups: dict[str, DataFrame]) -> DataFrame:
 
 def zscore(df: DataFrame, stats: DataFrame, on, value="v", valid: Column | None = None) -> DataFrame:
     """PR30: exactly 0 where invalid or absent; presence and validity stay columns of their own."""
-    s = stats.select(*on, F.col("mean").alias("_m"), F.col("sd").alias("_s"))
+    s = small_side(stats.select(*on, F.col("mean").alias("_m"), F.col("sd").alias("_s")))
     ok = valid if valid is not None else F.lit(True)
     return df.join(s, list(on), "left").withColumn(
         "z", F.when(ok & F.col("_s").isNotNull(), (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))).drop("_m", "_s")
@@ -67,7 +68,7 @@ def zscore(df: DataFrame, stats: DataFrame, on, value="v", valid: Column | None
 
 def zscore_named(df: DataFrame, stats: DataFrame, scaled, channel: str = "channel", value: str = "v") -> DataFrame:
     """PR31: only the named channels are scaled, the rest pass through."""
-    s = stats.select(channel, F.col("mean").alias("_m"), F.col("sd").alias("_s"))
+    s = small_side(stats.select(channel, F.col("mean").alias("_m"), F.col("sd").alias("_s")))
     return df.join(s, channel, "left").withColumn(
         "z", F.when(F.col(channel).isin(*scaled), (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.col(value))).drop("_m", "_s")
 
@@ -78,7 +79,8 @@ def weighted_moments(df: DataFrame, by, value: str, weight: str) -> DataFrame:
     pos = df.filter(F.col(weight) > 0)
     mean = pos.groupBy(*by).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean"))
     dev = F.col(value) - F.col("mean")
-    j = pos.join(mean, by) if by else pos.join(F.broadcast(mean))  # one row without groups
+    mean = small_side(mean)
+    j = pos.join(mean, by) if by else pos.join(mean)
     return j.groupBy(*by).agg(F.first("mean").alias("mean"),
                               (F.sum(F.col(weight) * dev * dev) / F.sum(weight)).alias("variance"), F.sum(weight).alias("mass"))
 
@@ -143,7 +145,8 @@ def direct_scores(preds: DataFrame, by, q: float) -> DataFrame:
 
 def timeline_shares(items: DataFrame) -> DataFrame:
     """AG30: season shares by split with subtotals."""
-    return items.rollup("split", "season").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block_id").alias("blocks"))
+    cells = items.groupBy("split", "season", "block_id").agg(F.count(F.lit(1)).alias("_n"))  # rows shrink before they are expanded
+    return cells.rollup("split", "season").agg(F.sum("_n").alias("n"), F.count_distinct("block_id").alias("blocks"))
 
 
 def block_concentration(items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,6 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint behind a check: the table is materialised and counted, and past ``max_rows`` it stays a
+    plain side for which the planner picks a shuffle join.
+
+    Used where a wide row table meets one row per channel, lead or cell: without the hint the wide side would
+    be shuffled on a handful of hot keys.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: survives executor loss and fixes row placement for later passes."""
     ensure_checkpoint_dir(df.sparkSession)
