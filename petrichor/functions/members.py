@@ -50,8 +50,8 @@ def calibrated(m, b, d, c, gamma) -> Column:
 
 
 def to_physical(mu_z, m, a0: float = A0, a_wet: float = A_WET) -> Column:
-    amounts = F.transform(m, lambda x: F.lit(a0) * F.expm1(F.greatest(mu_z + x, F.lit(0.0))))
-    return F.transform(amounts, lambda a: F.when(a >= F.lit(a_wet), a).otherwise(F.lit(0.0)))
+    amounts = F.transform(m, lambda x: F.when(mu_z + x > 0, F.lit(a0) * F.expm1(mu_z + x)).when((mu_z + x).isNotNull(), F.lit(0.0)))
+    return F.transform(amounts, lambda a: F.when(a >= F.lit(a_wet), a).when(a.isNotNull(), F.lit(0.0)))
 
 
 def restore(m, scale, mu_z, b, d, c, gamma) -> Column:

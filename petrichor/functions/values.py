@@ -18,6 +18,11 @@ FUTURE_NAMES = (
 )
 
 
+def clip(c, low: float, high: float) -> Column:
+    """Bounds that keep null null: greatest() and least() alone would turn a missing value into a bound."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
+
+
 def rate_from_normalized(v) -> Column:
     """PR08."""
     return F.when(v == 0, F.lit(0.0)).otherwise(F.pow(F.lit(10.0), (45.0 * v - 15.0) / 10.0))
@@ -26,7 +31,7 @@ def rate_from_normalized(v) -> Column:
 def normalized_from_rate(r) -> Column:
     """PR09: at or below the smallest rate is 0; clipped to [0,1]."""
     return (F.when(r <= 0, F.lit(0.0))
-            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (10.0 * F.log10(r) + 15.0) / 45.0))))
+            .otherwise(clip((10.0 * F.log10(r) + 15.0) / 45.0, 0.0, 1.0)))
 
 
 def wet(raw, a_wet: float = A_WET) -> Column:
@@ -69,7 +74,7 @@ def physical_point(mu_z, a0: float = A0) -> Column:
 
 def map_probability(p, alpha, beta_raw, eps: float = 1e-6) -> Column:
     """PR35: sigmoid(alpha + softplus(beta) * logit(clipped p))."""
-    q = F.least(F.lit(1.0 - eps), F.greatest(F.lit(eps), p))
+    q = clip(p, eps, 1.0 - eps)
     slope = F.greatest(beta_raw, F.lit(0.0)) + F.log1p(F.exp(-F.abs(beta_raw)))
     x = alpha + slope * (F.ln(q) - F.log1p(-q))
     return 1.0 / (1.0 + F.exp(-x))
@@ -77,4 +82,4 @@ def map_probability(p, alpha, beta_raw, eps: float = 1e-6) -> Column:
 
 def clip_weight(w, maximum: float | None) -> Column:
     """PR36."""
-    return w if maximum is None else F.least(w, F.lit(float(maximum)))
+    return w if maximum is None else F.when(w > maximum, F.lit(float(maximum))).otherwise(w)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import members as M
 from ..functions import signature as SG
+from ..functions.values import clip
 from ..session import cut_lineage, small_side
 from .manifest import union_all, violation
 
@@ -81,7 +82,8 @@ def residual_scales(states: DataFrame, floor: float = 1e-3, min_blocks=MIN_BLOCK
     support = ladder_support(ladder_blocks(states, sums), sums)
     cells = states.groupBy("lead", "condition_signature").agg(F.sum("pixels").alias("cell_pixels"))
     chosen = select_level(cells, support, ("mass", "sq", "pixels"), min_blocks, min_ess)
-    scale = F.greatest(F.sqrt(F.col("sq") / F.col("mass")), F.lit(floor))
+    # greatest() skips nulls, so the unsupported cell is kept null by hand
+    scale = F.when(~F.col("terminal"), F.greatest(F.sqrt(F.col("sq") / F.col("mass")), F.lit(floor)))
     return (chosen.join(cells, ["lead", "condition_signature"])
             .select("lead", "condition_signature", "level", "blocks", "ess", "cell_pixels", scale.alias("scale"),
                     F.col("terminal").alias("unsupported")))
@@ -141,36 +143,37 @@ def fit_sampler(rows: DataFrame, records: DataFrame, cell, d_enabled: bool, eps:
 
 
 # --- probability -----------------------------------------------------------------------------------------
-def fit_probability(rows: DataFrame, cell, max_rounds: int = 50, tol: float = 1e-10, min_slope: float = 1e-8) -> DataFrame:
+def fit_probability(rows: DataFrame, cell, max_rounds: int = 80, tol: float = 1e-10, gtol: float = 1e-11, min_slope: float = 1e-8) -> DataFrame:
     """IT03: weighted logistic fit on logit(p) for all cells at once; rows (cell, p, y, w).
 
     Equal forecasts of a cell are folded first (the sums are sufficient). Each Newton step is one aggregation
     to a handful of sums per cell and a closed 2x2 solve; the slope is held at its bound when it would pass it.
+    A cell rests once its mean gradient vanishes (also one whose classes are separable, far out on the slope).
     The parameter table (one row per cell) is checkpointed each round; failure to settle raises.
     """
     cell = list(cell)
-    q = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("p")))
+    q = clip(F.col("p"), 1e-6, 1 - 1e-6)
     folded = cut_lineage(rows.filter("w > 0").withColumn("_q", q).groupBy(*cell, "_q").agg(
         F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).withColumn("x", F.ln("_q") - F.log1p(-F.col("_q"))))
     rate = F.sum("wy") / F.sum("w")
     var = F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w") - F.pow(F.sum(F.col("w") * F.col("x")) / F.sum("w"), F.lit(2))
     start = folded.groupBy(*cell).agg(rate.alias("_r"), var.alias("_v")).filter("_r > 0 and _r < 1 and _v > 1e-12")
-    r = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("_r")))
+    r = clip(F.col("_r"), 1e-6, 1 - 1e-6)
     params = small_side(start.select(*cell, F.ln(r / (1 - r)).alias("alpha"), F.lit(1.0).alias("slope")))
     w, x = F.col("w"), F.col("x")
     for _ in range(max_rounds):
         f = 1 / (1 + F.exp(-(F.col("alpha") + F.col("slope") * x)))
         g0, h = w * F.col("_f") - F.col("wy"), w * F.col("_f") * (1 - F.col("_f"))
         s = (folded.join(params, cell).withColumn("_f", f).groupBy(*cell, "alpha", "slope").agg(
-            F.sum(g0).alias("a"), F.sum(g0 * x).alias("b"), F.sum(h).alias("haa"), F.sum(h * x).alias("hab"), F.sum(h * x * x).alias("hbb")))
+            F.sum(g0).alias("a"), F.sum(g0 * x).alias("b"), F.sum(h).alias("haa"), F.sum(h * x).alias("hab"), F.sum(h * x * x).alias("hbb"), F.sum("w").alias("mass")))
         det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
-        cap = F.lit(4.0)
+        rest = F.greatest(F.abs("a"), F.abs("b")) < gtol * F.col("mass")
 
-        def limited(v):
-            return F.greatest(-cap, F.least(cap, v))
-        slope = F.greatest(F.lit(min_slope), F.col("slope") - limited((F.col("haa") * F.col("b") - F.col("hab") * F.col("a")) / det))
+        def step(top, bottom):
+            return F.when(rest, F.lit(0.0)).otherwise(clip(F.coalesce(F.try_divide(top, bottom), F.lit(0.0)), -4.0, 4.0))
+        slope = F.greatest(F.lit(min_slope), F.col("slope") - step(F.col("haa") * F.col("b") - F.col("hab") * F.col("a"), det))
         free = slope > min_slope
-        alpha = F.col("alpha") - limited(F.when(free, (F.col("hbb") * F.col("a") - F.col("hab") * F.col("b")) / det).otherwise(F.col("a") / F.col("haa")))
+        alpha = F.col("alpha") - F.when(free, step(F.col("hbb") * F.col("a") - F.col("hab") * F.col("b"), det)).otherwise(step(F.col("a"), F.col("haa")))
         nxt = small_side(s.select(*cell, alpha.alias("alpha"), slope.alias("slope"),
                                    F.greatest(F.abs(alpha - F.col("alpha")), F.abs(slope - F.col("slope"))).alias("_moved")))
         moved = nxt.agg(F.max("_moved")).first()[0]  # one number

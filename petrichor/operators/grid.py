@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.values import A_WET
+from ..functions.values import A_WET, clip
 
 
 def cell_edges(axis: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def segments(axis: DataFrame) -> DataFrame:
 
 
 def bracket(points: DataFrame, x: Column, axis: DataFrame) -> DataFrame:
-    """The segment of each point; outside the axis the end segment. Adds seg, left, right (JN14's as-of both ways).
+    """The segment of each point; outside the axis the end segment. Adds seg, left, right (JN14's as-of both ways),
+    null for a point without a coordinate.
 
     Segments are listed under buckets of the mean spacing, so a point meets the one or two segments of its
     bucket in a hash join; the listing has at most about two rows per grid line.
@@ -47,7 +48,7 @@ def bracket(points: DataFrame, x: Column, axis: DataFrame) -> DataFrame:
               .withColumn("_b", F.explode(F.sequence(bucket(F.col("left")), bucket(F.col("right"))))).drop("_x0", "_x1", "_n"))
     d = points.withColumn("_x", x.cast("double")).join(F.broadcast(ends)).withColumn("_b", bucket(F.col("_x")))
     hit = (F.col("is_first") | (F.col("left") <= F.col("_x"))) & (F.col("is_last") | (F.col("_x") < F.col("right")))
-    j = d.alias("p").join(F.broadcast(listed).alias("s"), (F.col("p._b") == F.col("s._b")) & hit)
+    j = d.alias("p").join(F.broadcast(listed).alias("s"), (F.col("p._b") == F.col("s._b")) & hit, "left")
     return j.select(*[f"p.{c}" for c in points.columns], "s.seg", "s.left", "s.right")
 
 
@@ -55,8 +56,8 @@ def linear_interp(points: DataFrame, x: str, knots: DataFrame, value: str, out:
     """JN14: piecewise-linear value, constant beyond the ends. knots = (idx, centre, value)."""
     w = W.orderBy("idx")
     pairs = knots.select(F.col("idx").alias("seg"), F.col(value).alias("_a"), F.lead(value).over(w).alias("_b")).filter("_b is not null")
-    d = bracket(points, F.col(x), knots.select("idx", "centre")).join(F.broadcast(pairs), "seg")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(x) - F.col("left")) / (F.col("right") - F.col("left"))))
+    d = bracket(points, F.col(x), knots.select("idx", "centre")).join(F.broadcast(pairs), "seg", "left")
+    t = clip((F.col(x) - F.col("left")) / (F.col("right") - F.col("left")), 0.0, 1.0)
     return d.select(*points.columns, (F.col("_a") + t * (F.col("_b") - F.col("_a"))).alias(out))
 
 

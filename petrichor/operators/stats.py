@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time as T
+from ..functions.values import clip
 from ..session import small_side
 
 
@@ -124,7 +125,7 @@ def hurdle_scores(preds: DataFrame, by, lam: float = 1.0) -> DataFrame:
     Numerators and denominators are sums, so partials over any partitioning add up; empty denominators are 1.
     """
     w, y = F.col("w"), F.col("obs")
-    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("p")))
+    p = clip(F.col("p"), 1e-6, 1 - 1e-6)
     wet = (y > 0).cast("double")
     z = F.log1p(y)
     bce = -(wet * F.ln(p) + (1 - wet) * F.log1p(-p))

@@ -57,7 +57,7 @@ def ag15(spark, sf):
     return CB.pooling_ladder(m, 75, 45.0, 70).withColumn("ess", r6(C("ess")))
 
 
-SCALES = " select lead, condition_signature, level, blocks, round(ess, 6) as ess, cell_pixels, round(greatest(sqrt(sq / mass), 1e-3), 6) as scale, terminal as unsupported from pick join (select lead, condition_signature, sum(pixels)::bigint as cell_pixels from st group by all) using (lead, condition_signature)"
+SCALES = " select lead, condition_signature, level, blocks, round(ess, 6) as ess, cell_pixels, round(case when not terminal then greatest(sqrt(sq / mass), 1e-3) end, 6) as scale, terminal as unsupported from pick join (select lead, condition_signature, sum(pixels)::bigint as cell_pixels from st group by all) using (lead, condition_signature)"
 
 
 @query("ag16_residual_scales", ladder_sql(G1) + SCALES)
@@ -155,7 +155,7 @@ def jn23(spark, sf):
     sums = ("mass", "sq", "pixels")
     support = CB.ladder_support(CB.ladder_blocks(states, sums), sums).filter("rank < 1")
     sc = CB.select_level(states.select("lead", "condition_signature").distinct(), support, ("mass", "sq"), 80, 45.0)
-    sc = sc.withColumn("scale", F.greatest(F.sqrt(C("sq") / C("mass")), F.lit(1e-3))).withColumn("unsupported", C("terminal"))
+    sc = sc.withColumn("scale", F.when(~C("terminal"), F.greatest(F.sqrt(C("sq") / C("mass")), F.lit(1e-3)))).withColumn("unsupported", C("terminal"))
     cells = r.groupBy("lead", "condition_signature").agg(F.count(F.lit(1)).alias("n"))
     on, off = CB.resolve_scale(cells, sc)
     return on.withColumn("route", F.lit("scaled")).withColumn("scale", r6(C("scale"))).unionByName(
