@@ -12,6 +12,7 @@ from ..functions import hashing as H
 from ..functions import time as T
 from . import events as E
 from . import slots as S
+from ..session import cut_lineage
 from .ordered import hashed_index
 from .splits import assign_split, priority_rank
 
@@ -136,6 +137,7 @@ def grouped_folds(blocks: DataFrame, folds: int = 3, seed: int = 11103, block: s
         raise ValueError("at least two folds are required")
     keyed = blocks.select(block, F.col(size).cast("long").alias("size")).withColumn(
         "_hash", F.sha2(H.nul_joined(seed, F.col(block)), 256))
+    keyed = cut_lineage(keyed)  # one row per block; read three times below
     hist = keyed.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     pieces = hist.coalesce(1).mapInPandas(_fold_pieces(folds), "size long, rank_from long, rank_to long, cycle array<int>")
     ranked = hashed_index(keyed, "_hash", block, "_rank", ["size"])

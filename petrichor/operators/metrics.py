@@ -111,6 +111,16 @@ def brier(df: DataFrame, by, p: str = "p") -> DataFrame:
     return df.groupBy(*by).agg((F.sum(F.col("omega") * e * e) / F.sum("omega")).alias("brier"))
 
 
+def climatology_brier(df: DataFrame, clim: DataFrame, cell, by) -> DataFrame:
+    """ME08 reference: with a 0/1 outcome the squared error of a cell follows from two sums, so rows shrink to cells
+    before they meet the climatology."""
+    cell = list(cell)
+    sums = df.groupBy(*cell).agg(F.sum("omega").alias("_o"), F.sum(F.col("omega") * F.col("w")).alias("_k"))
+    f = F.col("freq")
+    return sums.join(clim.select(*cell, "freq"), cell).groupBy(*by).agg(
+        (F.sum(f * f * F.col("_o") - 2 * f * F.col("_k") + F.col("_k")) / F.sum("_o")).alias("brier"))
+
+
 def reliability(df: DataFrame, by, block: str, bins: int = 20, min_blocks: int = 20) -> DataFrame:
     """ME09: equal-width bins, the last one closed."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")

@@ -133,8 +133,8 @@ def me07(spark, sf):
 select lead, round(model, 6) as model, round(reference, 6) as reference, round(1 - model / reference, 6) as skill from b""")
 def me08(spark, sf):
     d = prob(spark, sf)
-    j = d.join(ME.climatology(d, "pixel", "pool", 25), ["lead", "season", "pixel"])
-    return r6s(ME.skill(ME.brier(d, ["lead"]), ME.brier(j, ["lead"], "freq"), ["lead"], "brier"), ["lead"], ["model", "reference", "skill"])
+    ref = ME.climatology_brier(d, ME.climatology(d, "pixel", "pool", 25), ["lead", "season", "pixel"], ["lead"])
+    return r6s(ME.skill(ME.brier(d, ["lead"]), ref, ["lead"], "brier"), ["lead"], ["model", "reference", "skill"])
 
 
 @query("me09_reliability", f"""with {CLIM_SQL} select lead, least(floor(p * 20), 19)::int as bin, round(avg(p), 6) as mean_p, round(avg(w), 6) as frequency, count(*) as n, count(distinct block_id) as blocks, count(distinct block_id) < 20 as sparse from cl group by all""")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.values import NULL_CODES
 from ..operators.slots import order_violations
@@ -30,36 +31,44 @@ def scan_frames(spark: SparkSession, path: str, schema: str, keys: DataFrame | N
     return frames.join(want, list(on), "left_semi"), want.join(frames.select(*on).distinct(), list(on), "left_anti")
 
 
-def _raw_rows(height: int, width: int, strip: int = 256) -> Callable:
-    """One payload at a time, one strip of grid rows at a time: memory is bounded by a payload plus a strip."""
-    size = HEADER_BYTES + height * width * 2
-
+def _strips_to_pixels(width: int) -> Callable:
+    """Grid rows as byte strips to pixels; an Arrow batch holds strips of a few kilobytes, never whole files."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                if path.endswith(".gz"):
-                    content = zlib.decompress(content, 31)
-                if len(content) != size:
-                    yield pd.DataFrame({"path": [path], "y": [None], "x": [None], "raw": [None], "valid": [None], "problem": [f"length {len(content)}"]})
-                    continue
-                grid = np.frombuffer(content, dtype="<i2", offset=HEADER_BYTES).reshape(height, width)
-                for top in range(0, height, strip):
-                    part = grid[top:top + strip]
-                    y, x = np.indices(part.shape)
-                    raw = part.ravel()
-                    yield pd.DataFrame({"path": path, "y": (y.ravel() + top).astype("int32"), "x": x.ravel().astype("int32"), "raw": raw,
-                                        "valid": ~np.isin(raw, NULL_CODES), "problem": None})
+            raw = np.frombuffer(b"".join(pdf["strip"]), dtype="<i2")
+            yield pd.DataFrame({"path": np.repeat(pdf["path"].to_numpy(), width), "y": np.repeat(pdf["y"].to_numpy(), width),
+                                "x": np.tile(np.arange(width, dtype="int32"), len(pdf)), "raw": raw, "valid": ~np.isin(raw, NULL_CODES), "problem": None})
     return decode
 
 
-def decode_raw(payloads: DataFrame, height: int = RAW_HEIGHT, width: int = RAW_WIDTH) -> DataFrame:
-    """SC02: (path, content) to long pixel rows; a wrong length is one problem row."""
-    return payloads.select("path", "content").mapInPandas(_raw_rows(height, width), PIXELS)
+@F.udf(BinaryType())
+def _gunzip(content):
+    """One call per multi-megabyte file: here the per-row cost of a plain UDF is nothing next to the work."""
+    try:
+        return zlib.decompress(bytes(content), 31)
+    except zlib.error:
+        return None
 
 
-def ingest_raw_scans(spark: SparkSession, folder: str, pattern: str = "*", height: int = RAW_HEIGHT, width: int = RAW_WIDTH) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return decode_raw(files, height, width)
+def decode_raw(payloads: DataFrame, height: int = RAW_HEIGHT, width: int = RAW_WIDTH) -> DataFrame:
+    """SC02: (path, content) to long pixel rows; a wrong length is one problem row.
+
+    The JVM cuts a payload into grid rows before anything goes to Python.
+    """
+    size = HEADER_BYTES + height * width * 2
+    good = F.coalesce(F.length("content") == size, F.lit(False))
+    strips = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.substring("content", y * (2 * width) + (HEADER_BYTES + 1), F.lit(2 * width)))
+    whole = payloads.filter(good).select("path", F.posexplode(strips).alias("y", "strip"))
+    null = F.lit(None)
+    broken = payloads.filter(~good).select("path", null.cast("int").alias("y"), null.cast("int").alias("x"), null.cast("smallint").alias("raw"),
+                                           null.cast("boolean").alias("valid"), F.concat(F.lit("length "), F.coalesce(F.length("content"), F.lit(0))).alias("problem"))
+    return whole.mapInPandas(_strips_to_pixels(width), PIXELS).unionByName(broken)
+
+
+def ingest_raw_scans(spark: SparkSession, folder: str, pattern: str = "*", height: int = RAW_HEIGHT, width: int = RAW_WIDTH,
+                     compressed: bool = False) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    return decode_raw(files.withColumn("content", _gunzip("content")) if compressed else files, height, width)
 
 
 def decode_with(payloads: DataFrame, decoder: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:

@@ -21,7 +21,7 @@ def stream_files(spark: SparkSession, folder: str, pattern: str, schema: str, ma
 
 def event_time(col: str = "ts") -> Column:
     """Watermarks need TIMESTAMP; the stored value is UTC without a zone."""
-    return F.to_timestamp(F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return F.col(col).cast("timestamp")
 
 
 def stream_scans(raw: DataFrame, minutes: int, delay: str, keys=("source", "slot", "y", "x")) -> DataFrame:

@@ -7,10 +7,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from petrichor.session import builder
     s = (builder("tests", "local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate())
+         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
