@@ -1,6 +1,6 @@
 """Axis weights, regridding, neighbourhoods and coordinates on long grids.
 
-An axis is a table (idx, centre) with one row per grid line: its size is fixed by the sensor grid (thousands at
+An axis is a table (idx, centre) with one row per grid line, at least two of them: its size is fixed by the sensor grid (thousands at
 most), never by the number of frames. Axis tables and the weights made from them (at most two rows per source
 or destination line) are therefore the only tables broadcast here.
 """

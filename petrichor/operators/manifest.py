@@ -56,14 +56,16 @@ def index_audit(nominal: DataFrame, leads: int) -> DataFrame:
     """AG06: one row of counts."""
     kept = F.col("status") == "kept"
     n = F.count(F.lit(1))
+
+    def share(k):
+        return F.when(n > 0, k / n).otherwise(F.lit(0.0))
     return nominal.agg(
         n.alias("eligible"), F.count_if(kept).alias("issue_times"),
         (F.count_if(kept) * leads).alias("expanded_items"),
         F.count_distinct(F.when(kept, F.col("block_id"))).alias("event_blocks"),
         F.count_if(F.col("status") == "embargoed").alias("embargoed"),
         F.count_if(F.col("status") == "cross_split").alias("cross_split"),
-        (F.count_if(F.col("status") == "embargoed") / n).alias("embargo_fraction"),
-        (F.count_if(~kept) / n).alias("excluded_fraction"))
+        share(F.count_if(F.col("status") == "embargoed")).alias("embargo_fraction"), share(F.count_if(~kept)).alias("excluded_fraction"))
 
 
 def split_audit(index: DataFrame, minimum_blocks: int = 20) -> DataFrame:

@@ -200,7 +200,7 @@ def sc13(spark, sf):
 
 @query("jn27_collocate", """with st as (select c_custkey, c_nationkey, c_acctbal / 1000 as obs, (c_custkey % 97) * 0.31 as sx, (c_custkey % 89) * 0.23 as sy from customer),
 g as (select user_id % 15 as cx, (user_id // 15) % 10 as cy, avg(value) / 10 as fc from events group by all)
-select c_nationkey, count(*) as n, round(avg(fc - obs), 6) as bias, round(median(fc - obs), 6) as median_bias, round(avg(abs(fc - obs)), 6) as mae, round(corr(fc, obs), 6) as r,
+select c_nationkey, count(*) as n, round(avg(fc - obs), 6) as bias, round(median(fc - obs), 6) as median_bias, round(avg(abs(fc - obs)), 6) as mae, round(case when not isnan(corr(fc, obs)) then corr(fc, obs) end, 6) as r,
  count(*) filter (fc >= 5 and obs >= 5) as hits, count(*) filter (fc < 5 and obs >= 5) as misses, count(*) filter (fc >= 5 and obs < 5) as false_alarms
 from st join g on floor(sx / 2.0) = cx and floor(sy / 2.5) = cy group by 1""")
 def jn27(spark, sf):

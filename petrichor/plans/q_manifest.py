@@ -121,8 +121,8 @@ def it06(spark, sf):
 @query("ag06_event_index_audit", w(NOMINAL_SQL, f"""select count(*) as eligible, count(*) filter (status = 'kept') as issue_times,
  count(*) filter (status = 'kept') * {LEADS} as expanded_items, count(distinct block_id) filter (status = 'kept') as event_blocks,
  count(*) filter (status = 'embargoed') as embargoed, count(*) filter (status = 'cross_split') as cross_split,
- round(count(*) filter (status = 'embargoed') / count(*), 6) as embargo_fraction,
- round(count(*) filter (status <> 'kept') / count(*), 6) as excluded_fraction from nominal"""))
+ coalesce(round(count(*) filter (status = 'embargoed') / nullif(count(*), 0), 6), 0) as embargo_fraction,
+ coalesce(round(count(*) filter (status <> 'kept') / nullif(count(*), 0), 6), 0) as excluded_fraction from nominal"""))
 def ag06(spark, sf):
     a = MF.index_audit(nominal(spark, sf), LEADS)
     return a.withColumn("embargo_fraction", B.r6(C("embargo_fraction"))).withColumn("excluded_fraction", B.r6(C("excluded_fraction")))
