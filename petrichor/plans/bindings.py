@@ -38,6 +38,19 @@ def all_slots_sql(minutes: int) -> str:
     return f"slots as (select distinct epoch_us(ts) // {minutes * 60_000_000} as slot from events)"
 
 
+def whole_slots(spark, sf, minutes: int) -> DataFrame:
+    """Slots whose frame is whole: one that begins and ends with an error message is broken. Some slots are broken at
+    every scale, so there are always several runs and events."""
+    e = table(spark, sf, "events").groupBy(T.slot_index("ts", minutes).alias("slot")).agg(
+        F.min_by("event_type", "event_id").alias("a"), F.max_by("event_type", "event_id").alias("b"))
+    return e.filter("not (a = 'error' and b = 'error')").select("slot")
+
+
+def whole_slots_sql(minutes: int) -> str:
+    return (f"slots as (select epoch_us(ts) // {minutes * 60_000_000} as slot from events group by 1 having not "
+            f"(arg_min(event_type, event_id) = 'error' and arg_max(event_type, event_id) = 'error'))")
+
+
 def slot_ts_sql(col: str, minutes: int) -> str:
     return f"(make_timestamp(({col}) * {minutes * 60_000_000}))"
 

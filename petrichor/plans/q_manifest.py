@@ -20,14 +20,14 @@ MASK = (1 << LEADS) - 1
 
 @B.stored
 def nominal(spark, sf):
-    return MF.nominal_index(B.all_slots(spark, sf, MIN), B.SPLITS, MIN, HIST, HOR, GAP, GUARD)
+    return MF.nominal_index(B.whole_slots(spark, sf, MIN), B.SPLITS, MIN, HIST, HOR, GAP, GUARD)
 
 
 def signatures(spark, sf):
-    """Condition per issue slot: a slot with a purchase has the source, others only the null one."""
-    has = F.max((C("event_type") == "purchase").cast("int"))
-    return (B.table(spark, sf, "events").groupBy(T.slot_index("ts", MIN).alias("slot")).agg(has.alias("_p"))
-            .select("slot", F.when(C("_p") == 1, B.SOURCE_SIG).otherwise(B.NULL_SIG).alias("condition_signature")))
+    """Condition per issue slot: without a source where the strongest event is a view."""
+    top = F.max_by("event_type", F.struct("value", "event_id"))
+    return (B.table(spark, sf, "events").groupBy(T.slot_index("ts", MIN).alias("slot")).agg(top.alias("_p"))
+            .select("slot", F.when(C("_p") != "view", B.SOURCE_SIG).otherwise(B.NULL_SIG).alias("condition_signature")))
 
 
 @B.stored
@@ -42,7 +42,7 @@ def items(spark, sf):
 
 
 IDENT = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
-NOMINAL_SQL = f"""{B.all_slots_sql(MIN)}, {B.SPLITS_SQL},
+NOMINAL_SQL = f"""{B.whole_slots_sql(MIN)}, {B.SPLITS_SQL},
 runs as (select min(slot) as run_start, max(slot) as run_end, count(*) as run_len
          from (select slot, slot - row_number() over (order by slot) as g from slots) group by g),
 seeds as (select 'all' as source, run_start * 3 as s, run_end * 3 as e from runs), {merge_sql('seeds', GAP, 'm1')},
@@ -58,7 +58,7 @@ nom as (select dep.*, blocks.block_id, sp.name as nominal, sp.rank from dep
 best as (select block_id, arg_min(nominal, rank) as split from nom where nominal is not null group by block_id),
 nominal as (select nom.*, best.split, case when nominal is null then 'embargoed' when nominal <> best.split then 'cross_split'
   else 'kept' end as status from nom left join best using (block_id))"""
-SIGS_SQL = f"""sigs as (select epoch_us(ts) // {MIN * 60_000_000} as slot, case when max((event_type = 'purchase')::int) = 1
+SIGS_SQL = f"""sigs as (select epoch_us(ts) // {MIN * 60_000_000} as slot, case when arg_max(event_type, (value, event_id)) <> 'view'
  then '{B.SOURCE_SIG}' else '{B.NULL_SIG}' end as condition_signature from events group by 1)"""
 INDEX_SQL = f"""{NOMINAL_SQL}, {SIGS_SQL}, idx as (select nominal.slot, t0_utc, dependency_start_utc, dependency_end_utc, block_id, split,
  condition_signature, {MASK} as available_leads_mask, 'event' as stratum from nominal join sigs using (slot) where status = 'kept')"""

@@ -42,7 +42,7 @@ def payloads(spark, sf):
     """Raw payloads of a 10 x 15 grid per source and day: header, then little-endian codes (absent = no-data code)."""
     e = B.table(spark, sf, "events")
     cells = e.groupBy(C("event_type").alias("source"), F.to_date("ts").alias("d"), (C("user_id") % (H * WD)).alias("pos")).agg(
-        F.round(F.sum("value") * 10).cast("int").alias("raw"))
+        F.call_function("div", F.round(F.max("value") * 100).cast("int"), F.lit(10)).cast("int").alias("raw"))
     code = F.hex(F.pmod(C("raw"), F.lit(65536)).cast("long"))
     padded = F.lpad(code, 4, "0")
     cells = cells.withColumn("le", F.concat(F.substring(padded, 3, 2), F.substring(padded, 1, 2)))
@@ -54,7 +54,7 @@ def payloads(spark, sf):
     return m.select(F.concat_ws("/", "source", C("d").cast("string")).alias("path"), F.unhex(F.concat(head, body, short)).alias("content"))
 
 
-RAW_SQL = f"""cells as (select event_type || '/' || ts::date::varchar as path, user_id % 150 as pos, round(sum(value) * 10)::int as raw, day(ts) as dd from events group by all),
+RAW_SQL = f"""cells as (select event_type || '/' || ts::date::varchar as path, user_id % 150 as pos, (round(max(value) * 100)::int // 10)::int as raw, day(ts) as dd from events group by all),
 gp as (select path, unnest(range(150)) as pos from (select distinct path from cells where dd <> 13)),
 px as (select path, (pos // {WD})::int as y, (pos % {WD})::int as x, coalesce(raw, -30000) as raw from gp left join cells using (path, pos))
 select path, y, x, raw, raw not in (-30000, -25000) as valid, null::varchar as problem from px union all select distinct path, null, null, null, null, 'length 1325' from cells where dd = 13"""
