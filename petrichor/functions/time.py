@@ -83,11 +83,12 @@ def iso_utc(ts) -> Column:
 
 
 def floor_hour(ts) -> Column:
-    return F.date_trunc("hour", ts)
+    """Whole hour by slot arithmetic: date_trunc() would leave TIMESTAMP_NTZ and depend on the session zone."""
+    return slot_time(slot_index(ts, 60), 60)
 
 
 def ceil_hour(ts) -> Column:
-    t = F.date_trunc("hour", ts)
+    t = floor_hour(ts)
     return F.when(t == ts, t).otherwise(F.timestamp_add("HOUR", F.lit(1), t))
 
 

@@ -18,7 +18,7 @@ CHANNELS = (("view", None, "t2m", "K", False), ("click", None, "d2m", "K", False
 
 def raw_fields(spark, sf):
     e, t = B.table(spark, sf, "events"), C("event_type")
-    hour = F.date_trunc("hour", "ts")
+    hour = T.floor_hour("ts")
     return e.select(
         "event_id", F.upper(t).alias("short_name"), F.when(t == "signup", F.when(C("event_id") % 2 == 0, 500).otherwise(850)).alias("level"),
         F.when(t == "purchase", "m").when(t == "signup", "m2").otherwise(F.when(C("value") < 5, "C").otherwise("K")).alias("units"),
@@ -48,7 +48,7 @@ HOURLY_SQL = """hr as (select date_trunc('hour', ts) as valid_time, avg(value) f
 
 def hourly(spark, sf):
     e = B.table(spark, sf, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("valid_time")).agg(
+    return e.groupBy(T.floor_hour("ts").alias("valid_time")).agg(
         F.avg(F.when(C("event_type").isin("view", "error"), C("value"))).alias("inst"), F.avg(F.when(C("event_type") == "purchase", C("value"))).alias("tp"))
 
 
@@ -94,7 +94,7 @@ select grp, month, 'missing' as rule from c where (grp, month) not in (select (g
 select grp, month, 'duplicate' from f where n > 1""")
 def sc11(spark, sf):
     li = B.table(spark, sf, "lineitem")
-    f = li.select(C("l_returnflag").alias("grp"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"))
+    f = li.select(C("l_returnflag").alias("grp"), F.trunc(F.to_date("l_shipdate"), "month").alias("month"))
     return CV.expected_sources(f, ["A", "N", "X"], "1995-01-01", "2000-12-01")
 
 
@@ -103,7 +103,7 @@ g as (select channel, timestamp '2024-01-01' + k * interval 1 hour as valid_time
 select channel, count(*) as expected, count(n) as found, count(*) filter (n > 1) as repeated, min(case when n is not null then valid_time end) as first_time, max(case when n is not null then valid_time end) as last_time
 from g left join m using (channel, valid_time) group by channel""")
 def sc12(spark, sf):
-    m = B.table(spark, sf, "events").select(C("event_type").alias("channel"), F.date_trunc("hour", "ts").alias("valid_time"))
+    m = B.table(spark, sf, "events").select(C("event_type").alias("channel"), T.floor_hour("ts").alias("valid_time"))
     return CV.message_completeness(m, m.select("channel").distinct(), "2024-01-01 00:00:00", 720)
 
 
@@ -112,6 +112,6 @@ select 'repeated_field' as rule, count(*) as n from (select 1 from f group by ch
 select 'grid_changes', count(*) from (select channel from f group by 1 having count(distinct grid) > 1) union all select 'not_on_hour', count(*) from f where epoch_us(valid_time) % 3600000000 <> 0""")
 def va07(spark, sf):
     f = B.table(spark, sf, "events").select(
-        C("event_type").alias("channel"), F.when(C("value") > 150, C("ts")).otherwise(F.date_trunc("hour", "ts")).alias("valid_time"),
+        C("event_type").alias("channel"), F.when(C("value") > 150, C("ts")).otherwise(T.floor_hour("ts")).alias("valid_time"),
         F.when((C("event_type") == "view") & (C("user_id") % 2 == 0), "b").otherwise("a").alias("grid"))
     return CV.grid_violations(f).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

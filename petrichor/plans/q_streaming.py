@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import time as T
 from ..streaming import streams as SM
 from . import bindings as B
 from .bindings import r6
@@ -22,7 +23,7 @@ def raw(spark, sf):
 
 
 def ntz(c):
-    return F.col(c).cast("timestamp_ntz")
+    return T.from_micros(F.unix_micros(c))
 
 
 def floor_t(minutes):

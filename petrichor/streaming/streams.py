@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.time import micros
 from ..session import ensure_checkpoint_dir
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -20,8 +21,8 @@ def stream_files(spark: SparkSession, folder: str, pattern: str, schema: str, ma
 
 
 def event_time(col: str = "ts") -> Column:
-    """Watermarks need TIMESTAMP; the stored value is UTC without a zone."""
-    return F.col(col).cast("timestamp")
+    """Watermarks need TIMESTAMP; the stored value is UTC without a zone, whatever the session zone is."""
+    return F.timestamp_micros(micros(col))
 
 
 def stream_scans(raw: DataFrame, minutes: int, delay: str, keys=("source", "slot", "y", "x")) -> DataFrame:
