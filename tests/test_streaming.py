@@ -34,4 +34,6 @@ ROWS = [(i * 10, i in (3, 4, 9, 30, 31, 32)) for i in range(60)]
 def test_trigger_does_not_depend_on_batches(size):
     batches = [ROWS[i:i + size] for i in range(0, len(ROWS), size)]
     # two active slots in the past open a collection, it lasts 50 s past the last active slot
-    assert run(batches, look=100, need=2, collect=50) == [(50, 140, 10), (320, 370, 6)]
+    assert run(batches, look=40, need=2, collect=50) == [(50, 140, 10), (320, 370, 6)]
+    # a memory longer than the collection still holds 300, 310 and 320 at 380, so the rule opens once more
+    assert run(batches, look=100, need=2, collect=50) == [(50, 140, 10), (320, 370, 6), (380, 430, 6)]
