@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows handled at a time inside a task, and the bytes of text at which such a slice ends earlier.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
@@ -38,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS,
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if i > start and (i - start >= rows or held + n > size):
