@@ -15,6 +15,7 @@ Defined cases: null text or text without a letter is ``und`` with score 0; with
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,17 +43,18 @@ class Model:
     alphabet: np.ndarray  # 256 bytes to symbols; the last symbol is any other byte
     symbols: int
     cells: list[list[tuple[np.ndarray, np.ndarray]]]  # [language][order]: indices, counts
-    _table: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_table": None}
+    name: str = ""  # digest of the counts: a worker keeps the table of the model that it used last
 
     @property
     def table(self) -> np.ndarray:
         """Code lengths in bits: [context of ``ORDER`` symbols and byte, language]."""
-        if self._table is None:
-            self._table = np.stack([code_lengths(c, self.symbols) for c in self.cells], axis=1)
-        return self._table
+        if self.name not in _TABLES:
+            _TABLES.clear()
+            _TABLES[self.name] = np.stack([code_lengths(c, self.symbols) for c in self.cells], axis=1)
+        return _TABLES[self.name]
+
+
+_TABLES: dict[str, np.ndarray] = {}
 
 
 def symbols_of(texts: list[bytes], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,11 @@ def fit(samples: dict[str, list[bytes]], cells: int = TABLE_CELLS) -> Model:
             inside[at[(at >= 0) & (at < len(inside))]] = False
         parts = [np.unique(contexts(s, size, k)[inside], return_counts=True) for k in range(ORDER + 1)]
         counted.append(parts)
-    return Model(languages, alphabet, size, counted)
+    digest = hashlib.sha256(repr((languages, size)).encode() + alphabet.tobytes())
+    for parts in counted:
+        for index, count in parts:
+            digest.update(index.tobytes() + count.tobytes())
+    return Model(languages, alphabet, size, counted, digest.hexdigest())
 
 
 def fold(text: bytes) -> bytes:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, license_scan, packing, topk_search
+from . import byte_bpe, language_id, license_scan, packing, quality_rules, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,11 @@ def op8(spark, sf):
 def op10(spark, sf):
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.packed(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_quality_rules")
+def op9(spark, sf):
+    """Base counts and verdict of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality_rules.judged(docs).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words",
+                                             F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
