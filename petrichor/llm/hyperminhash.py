@@ -16,6 +16,10 @@ MANTISSA = 10
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _odd(n: int) -> np.uint64:
+    return np.uint64((n * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+
+
 @lru_cache(maxsize=8)
 def _bounds(buckets: int) -> np.ndarray:
     step = (1 << 64) // buckets
@@ -52,7 +56,7 @@ def densify(regs: np.ndarray) -> np.ndarray:
         hole = (out == 0) & some[:, None]
         if not hole.any():
             return out
-        target = (mix(cols * np.uint64(64) + np.uint64(attempt) * _GOLD) % np.uint64(k)).astype(np.int64)
+        target = (mix(cols * np.uint64(64) + _odd(attempt)) % np.uint64(k)).astype(np.int64)
         got = regs[:, target]
         take = hole & (got != 0)
         out[take] = (got.astype(np.uint32) + np.uint32(attempt << 16))[take]
@@ -71,7 +75,7 @@ def bands(regs: np.ndarray, rows: int) -> np.ndarray:
     count = k // rows
     key = np.broadcast_to(mix((np.arange(count, dtype=np.uint64) + np.uint64(1)) * _GOLD), (n, count)).copy()
     for r in range(rows):
-        key = mix(key ^ (dense[:, r: count * rows: rows] + np.uint64(r + 1) * _GOLD))
+        key = mix(key ^ (dense[:, r: count * rows: rows] + _odd(r + 1)))
     return key.view(np.int64)
 
 

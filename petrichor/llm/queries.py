@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, license_scan, packing, quality_rules, topk_search
+from . import byte_bpe, language_id, license_scan, near_dedup, packing, quality_rules, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,3 +79,21 @@ def op9(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return quality_rules.judged(docs).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words",
                                              F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+
+
+@query("op2_near_dedup", r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+             else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
+k as (select s.*, md5(array_to_string(list_sort(s), chr(10))) as k, len(s) as n from s),
+c as (select k, min(doc_id) as id, any_value(s) as s, any_value(n) as n from k where n > 0 group by k),
+u as (select k, id, n, unnest(s) as x from c),
+p as (select a.id as a, b.id as b, count(*) as hit, any_value(a.n) as na, any_value(b.n) as nb from u a join u b on a.x = b.x and a.id < b.id group by 1, 2),
+e as (select a, b from p where 100 * hit >= 80 * (na + nb - hit)),
+g as (with recursive r(v, root) as (select id, id from c union select case when r.v = e.a then e.b else e.a end, r.root from r join e on r.v = e.a or r.v = e.b)
+      select v, min(root) as component_id from r group by v)
+select k.doc_id, k.n::bigint as n_shingles, coalesce(g.component_id, k.doc_id) as component_id, k.doc_id = coalesce(g.component_id, k.doc_id) as kept
+from k left join c on k.k = c.k and k.n > 0 left join g on c.id = g.v""")
+def op2(spark, sf):
+    """doc_id, n_shingles, component_id, kept of every document, on 4-word shingles."""
+    return near_dedup.groups(table(spark, sf, "documents"), width=4, percent=80)
