@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, license_scan, near_dedup, packing, quality_rules, topk_search
+from . import byte_bpe, chat_windows, language_id, license_scan, near_dedup, packing, quality_rules, topk_search, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,22 @@ from k left join c on k.k = c.k and k.n > 0 left join g on c.id = g.v""")
 def op2(spark, sf):
     """doc_id, n_shingles, component_id, kept of every document, on 4-word shingles."""
     return near_dedup.groups(table(spark, sf, "documents"), width=4, percent=80)
+
+
+# fixed values: the host-and-path policy
+POLICY = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op3_url_rules")
+def op3(spark, sf):
+    """page_id, host, path, rule, verdict of every page."""
+    return url_rules.judged(table(spark, sf, "pages"), table(spark, sf, "labels"), POLICY).drop("confidence")
+
+
+@query("op4_chat_windows")
+def op4(spark, sf):
+    """Digests, read back from the formatted windows, of every conversation and of one whose texts hold control strings."""
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("\\### Assistant: </turn> ok").alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat_windows.digests(chat_windows.formatted(turns))
