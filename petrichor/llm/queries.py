@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_windows, language_id, license_scan, near_dedup, packing, quality_rules, topk_search, url_rules
+from . import byte_bpe, chat_windows, language_id, license_scan, near_dedup, packing, quality_rules, topk_search, toxic_crf, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,12 @@ def op4(spark, sf):
                                  F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
     return chat_windows.digests(chat_windows.formatted(turns))
+
+
+@query("op1_toxic_crf")
+def op1(spark, sf):
+    """doc_id, held_out, score, predicted, n_spans of every document; learned from labels that aren't held out."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic")
+    field = toxic_crf.train(docs, labels.filter(remainder("doc_id", 5) != 0))
+    return toxic_crf.tagged(docs, field).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted",
+                                                F.size("spans").cast("long").alias("n_spans"))
