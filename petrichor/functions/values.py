@@ -19,8 +19,11 @@ FUTURE_NAMES = (
 
 
 def clip(c, low: float, high: float) -> Column:
-    """Bounds that keep null null: greatest() and least() alone would turn a missing value into a bound."""
-    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
+    """Bounds that keep null null: greatest() and least() alone would turn a missing value into a bound.
+
+    NaN is null too: in this engine it is above every number and would come out as the upper bound.
+    """
+    return F.when(c.isNotNull() & ~F.isnan(c), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def rate_from_normalized(v) -> Column:
@@ -29,18 +32,19 @@ def rate_from_normalized(v) -> Column:
 
 
 def normalized_from_rate(r) -> Column:
-    """PR09: at or below the smallest rate is 0; clipped to [0,1]."""
-    return (F.when(r <= 0, F.lit(0.0))
+    """PR09: at or below the smallest rate is 0, bounded by 1; null for what is no rate: negative, NaN, or above the maximum."""
+    return (F.when((r < 0) | F.isnan(r) | (r > MAX_RATE * (1 + 1e-6)), F.lit(None).cast("double")).when(r == 0, F.lit(0.0))
             .otherwise(clip((10.0 * F.log10(r) + 15.0) / 45.0, 0.0, 1.0)))
 
 
 def wet(raw, a_wet: float = A_WET) -> Column:
-    return raw >= F.lit(a_wet)
+    """At or above the threshold; null for null and NaN."""
+    return F.when(~F.isnan(raw), raw >= F.lit(a_wet))
 
 
 def censored(raw, a_wet: float = A_WET) -> Column:
     """PR10: amount after the wet threshold."""
-    return F.when(raw >= F.lit(a_wet), raw).when(raw.isNotNull(), F.lit(0.0))
+    return F.when(wet(raw, a_wet), raw).when(raw.isNotNull() & ~F.isnan(raw), F.lit(0.0))
 
 
 def log_amount(raw, a_wet: float = A_WET, a0: float = A0) -> Column:

@@ -143,25 +143,35 @@ def fit_sampler(rows: DataFrame, records: DataFrame, cell, d_enabled: bool, eps:
 
 
 # --- probability -----------------------------------------------------------------------------------------
-def fit_probability(rows: DataFrame, cell, max_rounds: int = 80, tol: float = 1e-10, gtol: float = 1e-11, min_slope: float = 1e-8) -> DataFrame:
+def fit_probability(rows: DataFrame, cell, supported: DataFrame | None = None, tol: float = 1e-10, gtol: float = 1e-11, min_slope: float = 1e-8, patience: int = 60) -> DataFrame:
     """IT03: weighted logistic fit on logit(p) for all cells at once; rows (cell, p, y, w).
 
     Equal forecasts of a cell are folded first (the sums are sufficient). Each Newton step is one aggregation
     to a handful of sums per cell and a closed 2x2 solve; the slope is held at its bound when it would pass it.
     A cell rests once its mean gradient vanishes (also one whose classes are separable, far out on the slope).
-    The parameter table (one row per cell) is checkpointed each round; failure to settle raises.
+    The parameter table (one row per cell) is checkpointed each round. Rounds go on while the largest step still falls
+    below its smallest value so far within ``patience`` rounds; otherwise the fit raises.
+
+    Every cell of ``rows`` is in the result. Cells without support (not in ``supported``, if that is given), without any
+    weight, with one class only or without spread get the identity (alpha 0, slope 1) and ``terminal`` true.
     """
     cell = list(cell)
+    cells = cut_lineage(rows.select(*cell).distinct())
     q = clip(F.col("p"), 1e-6, 1 - 1e-6)
     folded = cut_lineage(rows.filter("w > 0").withColumn("_q", q).groupBy(*cell, "_q").agg(
         F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).withColumn("x", F.ln("_q") - F.log1p(-F.col("_q"))))
     rate = F.sum("wy") / F.sum("w")
-    var = F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w") - F.pow(F.sum(F.col("w") * F.col("x")) / F.sum("w"), F.lit(2))
-    start = folded.groupBy(*cell).agg(rate.alias("_r"), var.alias("_v")).filter("_r > 0 and _r < 1 and _v > 1e-12")
+    first = folded.groupBy(*cell).agg(rate.alias("_r"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("_m"))
+    dev = F.col("x") - F.col("_m")  # the spread is taken about the mean: a difference of large squares would cancel
+    start = folded.join(small_side(first), cell).groupBy(*cell).agg(F.first("_r").alias("_r"), (F.sum(F.col("w") * dev * dev) / F.sum("w")).alias("_v")).filter(
+        "_r > 0 and _r < 1 and _v > 1e-12")
+    if supported is not None:
+        start = start.join(supported.select(*cell).distinct(), cell, "left_semi")
     r = clip(F.col("_r"), 1e-6, 1 - 1e-6)
     params = small_side(start.select(*cell, F.ln(r / (1 - r)).alias("alpha"), F.lit(1.0).alias("slope")))
     w, x = F.col("w"), F.col("x")
-    for _ in range(max_rounds):
+    least, waited = float("inf"), 0
+    while True:
         f = 1 / (1 + F.exp(-(F.col("alpha") + F.col("slope") * x)))
         g0, h = w * F.col("_f") - F.col("wy"), w * F.col("_f") * (1 - F.col("_f"))
         s = (folded.join(params, cell).withColumn("_f", f).groupBy(*cell, "alpha", "slope").agg(
@@ -180,10 +190,12 @@ def fit_probability(rows: DataFrame, cell, max_rounds: int = 80, tol: float = 1e
         params = nxt.drop("_moved")
         if moved is None or moved < tol:
             break
-    else:
-        raise RuntimeError(f"probability fit not settled after {max_rounds} rounds")
+        least, waited = (moved, 0) if moved < least else (least, waited + 1)
+        if waited > patience:
+            raise RuntimeError(f"probability fit does not settle: steps stay at {least}")
     beta = F.when(F.col("slope") > 30, F.col("slope")).otherwise(F.ln(F.expm1("slope")))
-    return params.withColumn("beta_raw", beta)
+    return (cells.join(params.withColumn("_fit", F.lit(True)), cell, "left").withColumn("terminal", F.col("_fit").isNull())
+            .withColumn("alpha", F.coalesce("alpha", F.lit(0.0))).withColumn("slope", F.coalesce("slope", F.lit(1.0))).drop("_fit").withColumn("beta_raw", beta))
 
 
 # --- records ---------------------------------------------------------------------------------------------

@@ -35,13 +35,13 @@ def _label_tile(by: list[str]):
     return run
 
 
-def wet_components(wet: DataFrame, by, max_rounds: int = 64) -> DataFrame:
+def wet_components(wet: DataFrame, by) -> DataFrame:
     """IT01: 8-connected components of wet pixels (by, y, x, v).
 
     Areas are labelled inside fixed tiles first (a bounded group per task). Only areas that touch a tile border
     meet others: their border pixels are matched by equi-join on the neighbour pixel, and smallest-label
-    propagation with pointer jumping runs on that small graph of areas, checkpointed each round. It fails if it
-    does not settle.
+    propagation with pointer jumping runs on that small graph of areas, checkpointed each round. Labels only ever fall,
+    so it runs until none does, whatever the length of an area.
     """
     by = list(by)
     tiles = wet.select(*by, "y", "x", "v").withColumn("_ty", F.floor(F.col("y") / TILE)).withColumn("_tx", F.floor(F.col("x") / TILE))
@@ -53,9 +53,7 @@ def wet_components(wet: DataFrame, by, max_rounds: int = 64) -> DataFrame:
     edges = cut_lineage(near.join(border, [*by, "y", "x"]).filter("a <> local").select(*by, "a", F.col("local").alias("b")).distinct())
     labels = cut_lineage(edges.select(*by, "a").distinct().withColumn("label", F.col("a")))
     moved = labels.limit(1).count()
-    for _ in range(max_rounds):
-        if not moved:
-            break
+    while moved:
         seen = labels.withColumnRenamed("a", "b").withColumnRenamed("label", "_nb")
         best = edges.join(seen, [*by, "b"]).groupBy(*by, "a").agg(F.min("_nb").alias("_nb"))
         new = labels.join(best, [*by, "a"], "left").select(*by, "a", "label", F.least("label", F.coalesce("_nb", "label")).alias("_new"))
@@ -64,8 +62,6 @@ def wet_components(wet: DataFrame, by, max_rounds: int = 64) -> DataFrame:
             *by, "a", "label", F.least("_new", F.coalesce("_jump", "_new")).alias("_next")))
         moved = nxt.filter("_next <> label").limit(1).count()
         labels = nxt.select(*by, "a", F.col("_next").alias("label"))
-    if moved:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     out = px.join(labels.withColumnRenamed("a", "local"), [*by, "local"], "left")
     return out.select(*wet.columns, F.coalesce("label", "local").alias("label"))
 

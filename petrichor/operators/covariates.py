@@ -130,8 +130,10 @@ def grid_violations(fields: DataFrame) -> DataFrame:
     """VA07: one field per (channel, hour), one grid over all files."""
     from .manifest import union_all, violation
     dup = fields.groupBy("channel", "valid_time").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    size = fields.groupBy("channel").agg(F.count_distinct("grid").alias("n")).filter("n > 1")
+    size = fields.agg(F.count_distinct("grid").alias("n")).filter("n > 1")  # over all channels and files
+    none = fields.filter("grid is null or valid_time is null or channel is null")
     off = fields.filter(F.pmod(T.micros("valid_time"), F.lit(3_600_000_000)) != 0)
     return union_all([violation(dup, "repeated_field", F.concat_ws("|", "channel", "valid_time"), F.col("n")),
-                      violation(size, "grid_changes", F.col("channel"), F.col("n")),
+                      violation(size, "grid_changes", F.lit("all"), F.col("n")),
+                      violation(none, "incomplete", F.concat_ws("|", "channel", "valid_time")),
                       violation(off, "not_on_hour", F.concat_ws("|", "channel", "valid_time"))])

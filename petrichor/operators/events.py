@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import placed, running_max
+
 CHUNK_CELLS = 2048
 
 
@@ -93,4 +95,18 @@ def containing_event(points: DataFrame, events: DataFrame, low: Column, high: Co
     for c in on[1:]:
         cond = cond & c
     extra = [c for c in events.columns if c not in by]
+    # intervals that overlap would give a point several events; ``overlapping`` names them
     return left.join(right, cond, how).select(*[f"p.{c}" for c in points.columns], *[f"e.{c}" for c in extra])
+
+
+def overlapping(events: DataFrame, by=(), start: str = "start", end: str = "end") -> DataFrame:
+    """Violation rows of events that begin before another one of their group has ended (merged events never do).
+
+    Starts are placed in one global order and the latest end before each is carried along, so a group of any size is
+    spread over tasks.
+    """
+    by = list(by)
+    line = running_max(placed(events.select(*by, start, end), [*by, start, end]).withColumn("_until", F.col(end)), by, "_part", ["_pos"],
+                       {"_until": F.col(end)}, inclusive=False)
+    key = F.concat_ws("|", *[F.col(b).cast("string") for b in by], F.col(start).cast("string"))
+    return line.filter(F.col("_until") >= F.col(start)).select(F.lit("overlap").alias("rule"), key.alias("key"), F.col("_until").cast("string").alias("detail"))

@@ -269,17 +269,28 @@ def seed_stability(scores: DataFrame, reference: str) -> DataFrame:
 
 
 def gate(intervals: DataFrame, rules: DataFrame) -> DataFrame:
-    """ME23: intervals (arm, baseline, metric, low, high) against rules (metric, side, bound); AND over all."""
-    j = intervals.join(rules, "metric")
-    ok = F.when(F.col("side") == "upper_below", F.col("high") <= F.col("bound")).otherwise(F.col("low") >= F.col("bound"))
-    return j.groupBy("arm").agg(F.bool_and(ok).alias("passed"), F.count_if(~ok).alias("failed"))
+    """ME23: intervals (arm, baseline, metric, low, high) against rules (metric, side, bound); AND over all.
+
+    Fails closed: a rule whose metric is missing for a baseline, or whose interval or bound is null or NaN, is a failed
+    rule. ``failed`` counts rules over the arm's baselines.
+    """
+    def at_most(a, b):  # NaN counts as the largest number, so it is refused by name
+        return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (a <= b), F.lit(False))
+    ok = F.when(F.col("side") == "upper_below", at_most(F.col("high"), F.col("bound"))).when(
+        F.col("side") == "lower_above", at_most(F.col("bound"), F.col("low"))).otherwise(F.lit(False))
+    met = (intervals.join(rules, "metric").groupBy("arm", "baseline", "metric", "side").agg(F.bool_and(ok).alias("ok"))
+           .groupBy("arm", "baseline").agg(F.count_if("ok").alias("_met")))
+    asked = rules.select("metric", "side").distinct().agg(F.count(F.lit(1)).alias("_asked"))  # one row
+    every = intervals.select("arm", "baseline").distinct().join(met, ["arm", "baseline"], "left").join(F.broadcast(asked))
+    short = F.col("_asked") - F.coalesce("_met", F.lit(0))
+    return every.groupBy("arm").agg((F.max(short) == 0).alias("passed"), F.sum(short).alias("failed"))
 
 
 def finalists(scores: DataFrame, k: int, always: list[str]) -> DataFrame:
     """SO06: k best passing arms by score, and the named arms in any case (one row per arm)."""
-    rank = F.row_number().over(W.partitionBy(F.col("passed")).orderBy("score", "arm"))
     named = F.col("arm").isin(*always)
-    return scores.withColumn("_r", rank).filter((F.col("passed") & (F.col("_r") <= k)) | named).drop("_r")
+    best = scores.filter(F.col("passed")).orderBy("score", "arm").limit(k)  # each task keeps k rows
+    return best.filter(~named).unionByName(scores.filter(named))
 
 
 def uncalibrated_mass(df: DataFrame, by, limit: float = 0.01) -> DataFrame:

@@ -16,12 +16,16 @@ META = ("t0_utc", "lead_hours", "condition_signature", "block_id", "stratum", "s
 
 
 def prefix_cdf(cands: DataFrame, order=CANONICAL, p: str = "p_draw") -> DataFrame:
-    """WN07: half-open interval [cdf_lo, cdf_hi) per candidate; the last one ends at exactly 1."""
+    """WN07: half-open interval [cdf_lo, cdf_hi) per candidate; the last one ends at exactly 1.
+
+    Probabilities that don't sum to one (to 1e-9) are an error of the job: no candidate may take the rest in silence.
+    """
     base = placed(cands.withColumn("_p", F.col(p).cast(EXACT)), list(order))
     cum = running_sum(base, [], "_part", ["_pos"], {"_hi": F.col("_p")})
     total = base.agg(F.sum("_p").alias("_total"))  # one row
     lo = (F.col("_hi") - F.col("_p")).cast("double")
-    hi = F.when(F.col("_hi") >= F.col("_total"), F.lit(1.0)).otherwise(F.col("_hi").cast("double"))
+    wrong = F.raise_error(F.concat(F.lit(f"{p} sums to "), F.col("_total").cast("string"), F.lit(", not to 1"))).cast("double")
+    hi = F.when(F.abs(F.col("_total").cast("double") - 1) > 1e-9, wrong).when(F.col("_hi") >= F.col("_total"), F.lit(1.0)).otherwise(F.col("_hi").cast("double"))
     return (cum.join(F.broadcast(total)).withColumn("cdf_lo", lo).withColumn("cdf_hi", hi)
             .drop("_p", "_hi", "_part", "_pos", "_total"))
 
@@ -29,29 +33,40 @@ def prefix_cdf(cands: DataFrame, order=CANONICAL, p: str = "p_draw") -> DataFram
 def draw_from_cdf(cands: DataFrame, draws: int, seed: int, purpose: str, order=CANONICAL) -> DataFrame:
     """JN16: draws with replacement. Each index has its own uniform; the first cumulative above it wins.
 
-    The range join is an equi-join on floor(u * K) with K about the number of draws: a draw meets the few
-    candidates of its bucket, and a heavy candidate is listed in every bucket it covers, so it stays spread.
+    Uniforms and interval starts go through one global order; a draw's candidate is the last start at or before it, so
+    its number is a running count. Draws and candidates then meet on that number. No list is built for a heavy
+    candidate, and its draws lie in as many range parts as they fill.
     """
-    k = 1 << max(10, min(30, (draws - 1).bit_length()))
+    kept = [c for c in cands.columns if c != "omega"]
     cdf = prefix_cdf(cands, order)
-    first = F.floor(F.col("cdf_lo") * k)
-    last = F.greatest(first, F.ceil(F.col("cdf_hi") * k) - 1)
-    listed = cdf.withColumn("_bucket", F.explode(F.sequence(first, last)))
-    u = (cands.sparkSession.range(draws).select(F.col("id").alias("global_example_index"))
-         .withColumn("_u", H.hash_uniform(seed, purpose, F.col("global_example_index")))
-         .withColumn("_bucket", F.floor(F.col("_u") * k)))
-    hit = u.join(listed, (u["_bucket"] == listed["_bucket"]) & (F.col("cdf_lo") <= F.col("_u")) & (F.col("_u") < F.col("cdf_hi")))
-    return (hit.withColumn("omega", F.col("p_target") / F.col("p_draw"))
-            .select("global_example_index", *[c for c in cands.columns if c != "omega"], "omega"))
+    start = cdf.select(F.when(F.col("cdf_hi") > F.col("cdf_lo"), F.col("cdf_lo")).otherwise(F.col("cdf_lo")).alias("_v"), F.lit(0).alias("_kind"),
+                       F.lit(None).cast("long").alias("global_example_index"), F.struct(*kept).alias("_c"))
+    u = cands.sparkSession.range(draws).select(F.col("id").alias("global_example_index"))
+    drawn = u.select(H.hash_uniform(seed, purpose, F.col("global_example_index")).alias("_v"), F.lit(1).alias("_kind"), "global_example_index",
+                     F.lit(None).cast(start.schema["_c"].dataType).alias("_c"))
+    line = placed(start.unionByName(drawn), ["_v", "_kind", "global_example_index"])
+    line = running_sum(line.withColumn("_i", F.lit(0)), [], "_part", ["_pos"], {"_i": (F.col("_kind") == 0).cast("long")})
+    hit = line.filter("_kind = 1").select("_i", "global_example_index").join(line.filter("_kind = 0").select("_i", "_c"), "_i")
+    return (hit.select("global_example_index", "_c.*").withColumn("omega", F.col("p_target") / F.col("p_draw"))
+            .select("global_example_index", *kept, "omega"))
 
 
 def hash_shuffle(cands: DataFrame, seed: int, purpose: str) -> DataFrame:
-    """SO01: every candidate once, ordered by the digest of its id; p_draw = 1/N, omega = 1."""
-    n = cands.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    """SO01: every candidate once, ordered by the digest of its id; p_draw = 1/N, omega = 1.
+
+    That is right for an item-uniform target only: a given ``p_target`` that isn't uniform is an error of the job.
+    """
+    known = "p_target" in cands.columns
+    spread = [F.min("p_target").alias("_lo"), F.max("p_target").alias("_hi")] if known else []
+    n = cands.agg(F.count(F.lit(1)).alias("_n"), *spread)  # one row
+    one = F.lit(1.0)
+    if known:
+        uneven = F.coalesce(F.isnan("_hi") | (F.col("_hi") - F.col("_lo") > 1e-12), F.lit(True))
+        one = F.when(uneven, F.raise_error(F.lit("a full shuffle needs an item-uniform p_target")).cast("double")).otherwise(one)
     keyed = cands.withColumn("_key", H.shuffle_key(seed, purpose, F.col("sample_id")))
     ordered = hashed_index(keyed, "_key", "sample_id", "global_example_index").drop("_key")
     return (ordered.join(F.broadcast(n)).withColumn("p_draw", F.lit(1.0) / F.col("_n"))
-            .withColumn("omega", F.lit(1.0)).drop("_n"))
+            .withColumn("omega", one).drop("_n", *(["_lo", "_hi"] if known else [])))
 
 
 def prefix(draws: DataFrame, n: int) -> DataFrame:
@@ -106,8 +121,8 @@ def _with_entry(df: DataFrame) -> DataFrame:
 
 
 def expand_support(items: DataFrame, policy, null_sig: str) -> DataFrame:
-    """JN17: training items times the policy (a literal of a few entries, no join); holdouts untouched."""
-    train = F.col("split") == "outer_train"
+    """JN17: training items times the policy (a literal of a few entries, no join); all others untouched, also without a split."""
+    train = F.coalesce(F.col("split") == "outer_train", F.lit(False))
     entries = F.when(F.col("condition_signature") == null_sig, _null_entry(null_sig)).otherwise(_entries(policy))
     wide = _with_entry(items.filter(train).withColumn("_e", F.explode(entries)))
     return wide.select(*items.columns).unionByName(items.filter(~train))
@@ -146,7 +161,7 @@ def audit_draw_membership(draws: DataFrame, cands: DataFrame, tol: float = 1e-12
     want = cands.select(F.col("sample_id").alias("_id"), *[F.col(c).alias(f"c_{c}") for c in (*META, "p_target", "p_draw", "omega")])
     j = facts.join(want, facts["sample_id"] == want["_id"], "left")
     meta_bad = ~sum((F.col(c).eqNullSafe(F.col(f"c_{c}")).cast("int") for c in META), F.lit(0)).eqNullSafe(F.lit(len(META)))
-    far = sum(((F.abs(F.col(c) - F.col(f"c_{c}")) > tol).cast("int") for c in ("p_target", "p_draw", "omega")), F.lit(0)) > 0
+    far = sum((F.coalesce((F.abs(F.col(c) - F.col(f"c_{c}")) > tol) | F.isnan(c), F.lit(True)).cast("int") for c in ("p_target", "p_draw", "omega")), F.lit(0)) > 0
     rule = (F.when(F.col("_id").isNull(), "not_a_candidate").when(meta_bad, "metadata").when(far, "weights"))
     return j.withColumn("rule", rule).filter("rule is not null").select("rule", "sample_id", "draws")
 
@@ -193,7 +208,7 @@ def signature_report(draws: DataFrame) -> DataFrame:
 
 
 def draw_violations(draws: DataFrame) -> DataFrame:
-    """SC08 / VA02 row and table rules of a draw manifest."""
+    """SC08 / VA02 row and table rules of a draw manifest; what is null or not a number breaks its rule, and so does an empty manifest."""
     c = F.col
 
     def bad(x):
@@ -203,8 +218,10 @@ def draw_violations(draws: DataFrame) -> DataFrame:
     span = draws.agg(F.count(F.lit(1)).alias("n"), F.min("global_example_index").alias("a"), F.max("global_example_index").alias("b"))
     return union_all([
         violation(draws.filter(bad(c("p_target")) | bad(c("p_draw"))), "probability", c("global_example_index")),
-        violation(draws.filter(F.abs(c("omega") - c("p_target") / c("p_draw")) > 1e-12 * F.greatest(F.lit(1.0), F.abs(c("omega")))),
+        violation(draws.filter(F.coalesce(F.isnan("omega") | (F.abs(c("omega") - F.try_divide(c("p_target"), c("p_draw"))) > 1e-12 * F.greatest(F.lit(1.0), F.abs(c("omega")))), F.lit(True))),
                   "omega", c("global_example_index")),
+        violation(draws.filter("global_example_index is null"), "index_missing", c("sample_id")),
+        violation(span.filter("n = 0"), "empty", F.lit("manifest")),
         violation(draws.filter("fold_id < 0"), "fold", c("global_example_index")),
         violation(dup, "duplicate_index", c("global_example_index"), c("count")),
         violation(span.filter("n > 0 and (a <> 0 or b <> n - 1)"), "dense_index", c("n"), F.concat_ws("..", "a", "b")),
@@ -216,13 +233,14 @@ def candidate_violations(cands: DataFrame) -> DataFrame:
     c = F.col
     ident = cands.groupBy(*CANONICAL).count().filter("count > 1")
     ids = cands.groupBy("sample_id").count().filter("count > 1")
-    total = cands.agg(F.sum(c("p_target").cast(EXACT)).alias("s"))
+    plain = F.when(c("p_target").between(0, 1), c("p_target").cast(EXACT))  # others have a rule of their own and can't be cast
+    total = cands.agg(F.sum(plain).alias("s"))
     return union_all([
         violation(ids, "duplicate_sample_id", c("sample_id"), c("count")),
         violation(ident, "duplicate_identity", F.concat_ws("|", *CANONICAL), c("count")),
-        violation(cands.filter("p_target is null or isnan(p_target) or p_target <= 0"), "probability", c("sample_id")),
+        violation(cands.filter("p_target is null or isnan(p_target) or p_target <= 0 or p_target > 1"), "probability", c("sample_id")),
         violation(cands.filter("fold_id < 0"), "fold", c("sample_id")),
-        violation(total.filter("abs(s - 1) > 1e-12"), "target_sum", c("s")),
+        violation(total.filter("coalesce(abs(s - 1) > 1e-12, true)"), "target_sum", F.coalesce(c("s").cast("string"), F.lit("none"))),
     ])
 
 

@@ -40,11 +40,17 @@ def combine_support(train: DataFrame, holdout: DataFrame) -> DataFrame:
 
 
 def draw_candidates(items: DataFrame, split: str) -> DataFrame:
-    """SE03: one split in sampler columns."""
+    """SE03: one split in sampler columns; ``empty_split`` tells whether it has any."""
     return items.filter(F.col("split") == split).select(
         "sample_id", "t0_utc", "lead_hours", "condition_signature", "block_id", "stratum", "split", "p_target", "fold_id")
 
 
+def empty_split(items: DataFrame, split: str) -> DataFrame:
+    """Violation row of a split without items."""
+    n = items.filter(F.col("split") == split).agg(F.count(F.lit(1)).alias("n"))
+    return n.filter("n = 0").select(F.lit("empty_split").alias("rule"), F.lit(split).alias("key"), F.lit("").alias("detail"))
+
+
 def eligible_ids(index: DataFrame) -> DataFrame:
     """SE04: identity universe derived from the compact index alone."""
     return expand_items(index).select("sample_id").distinct()

@@ -11,31 +11,39 @@ from ..session import small_side
 
 
 def masked_moments(df: DataFrame, by, value: str = "v", valid: str = "valid") -> DataFrame:
-    """AG09: population moments over valid values; built-in central moments merge partials stably."""
-    return (df.filter(F.col(valid)).groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
-        F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max")))
+    """AG09: population moments over valid values; built-in central moments merge partials stably.
+
+    A group without a valid value stays, with n = 0 and null moments.
+    """
+    v = F.when(F.col(valid), F.col(value))
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"),
+                               F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
 def moments_state(df: DataFrame, by, value: str = "v", valid: str = "valid") -> DataFrame:
     """UD04: partial state (n, mean, m2, min, max) that can be stored and merged later."""
-    return masked_moments(df, by, value, valid).withColumn("m2", F.col("variance") * F.col("n")).drop("variance", "sd")
+    return masked_moments(df, by, value, valid).withColumn("m2", F.coalesce(F.col("variance") * F.col("n"), F.lit(0.0))).drop("variance", "sd")
 
 
 def merge_moments(states: DataFrame, by) -> DataFrame:
     """AG10: combine stored states without raw rows.
 
     m2 is rebuilt from group means by one aggregate: the variance of the means, weighted by n, comes from
-    deviations about a common shift to avoid cancellation.
+    deviations about a common shift to avoid cancellation. Empty states (n = 0) add nothing, and a group of only such
+    states stays. The shift is one row a group, so the states aren't shuffled on a few group keys.
     """
     by = list(by)
-    shift = states.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_g"))
-    j = states.join(shift, by)
+    shift = small_side(states.groupBy(*by).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("_g")))
+    same = [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in by]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    j = states.alias("_s").join(shift.alias("_t"), cond).select("_s.*", "_g")
     dev = F.col("mean") - F.col("_g")
     return (j.groupBy(*by).agg(F.sum("n").alias("n"), F.first("_g").alias("mean"),
-                               F.sum(F.col("m2") + F.col("n") * dev * dev).alias("m2"),
+                               F.sum(F.col("m2") + F.coalesce(F.col("n") * dev * dev, F.lit(0.0))).alias("m2"),
                                F.min("min").alias("min"), F.max("max").alias("max"))
-            .withColumn("variance", F.col("m2") / F.col("n")).withColumn("sd", F.sqrt("variance")))
+            .withColumn("variance", F.when(F.col("n") > 0, F.try_divide(F.col("m2"), F.col("n")))).withColumn("sd", F.sqrt("variance")))
 
 
 def degenerate_channels(stats: DataFrame, by) -> DataFrame:
@@ -64,7 +72,7 @@ def zscore(df: DataFrame, stats: DataFrame, on, value="v", valid: Column | None
     s = small_side(stats.select(*on, F.col("mean").alias("_m"), F.col("sd").alias("_s")))
     ok = valid if valid is not None else F.lit(True)
     return df.join(s, list(on), "left").withColumn(
-        "z", F.when(ok & F.col("_s").isNotNull(), (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))).drop("_m", "_s")
+        "z", F.when(ok & F.col("_s").isNotNull(), F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).otherwise(F.lit(0.0))).drop("_m", "_s")
 
 
 def zscore_named(df: DataFrame, stats: DataFrame, scaled, channel: str = "channel", value: str = "v") -> DataFrame:

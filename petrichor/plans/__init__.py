@@ -1,15 +1,7 @@
 """Named queries over the driver tables and their SQL twins."""
 
-import importlib
-
+from . import (q_calibration, q_covariates, q_grid, q_manifest, q_metrics, q_sampling, q_scalars, q_slots, q_sources,  # noqa: F401
+               q_stats, q_streaming, q_targets, q_validation)
 from .registry import ORACLES, QUERIES
 
-for _name in ("q_slots", "q_scalars", "q_manifest", "q_sampling", "q_targets", "q_stats", "q_covariates",
-              "q_grid", "q_calibration", "q_metrics", "q_streaming", "q_sources", "q_validation"):
-    try:
-        importlib.import_module(f".{_name}", __name__)
-    except ModuleNotFoundError as e:
-        if e.name != f"{__name__}.{_name}":
-            raise
-
 __all__ = ["ORACLES", "QUERIES"]

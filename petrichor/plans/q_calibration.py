@@ -126,6 +126,14 @@ def it03(spark, sf):
     return CB.fit_probability(d, ["lead"]).select("lead", r6(C("alpha")).alias("alpha"), r6(C("slope")).alias("slope"))
 
 
+@query("it03_terminal_cells", f"with {ROWS_SQL} select distinct lead, lead in (5, 7) as terminal, case when lead in (5, 7) then 0.0::double end as alpha, case when lead in (5, 7) then 1.0::double end as slope from rw")
+def it03_terminal(spark, sf):
+    """A lead with one class only and a lead without support keep the identity; the others are fitted."""
+    d = rows(spark, sf).select("lead", "p", F.when(C("lead") == 7, F.lit(0.0)).otherwise(C("wet").cast("double")).alias("y"), C("omega").alias("w"))
+    fit = CB.fit_probability(d, ["lead"], supported=d.select("lead").distinct().filter("lead <> 5"))
+    return fit.select("lead", "terminal", F.when(C("terminal"), C("alpha")).alias("alpha"), F.when(C("terminal"), C("slope")).alias("slope"))
+
+
 @query("jn21_required_keys", f"""with {ROWS_SQL}, k as (select lead, sig, arm, threshold from (select distinct lead from rw), (select distinct condition_signature as sig from rw), (select unnest(['checkpoint', 'ensemble']) as arm), (select unnest([0.1, 1.0, 5.0])::double as threshold)),
 f as (select distinct lead, condition_signature as sig from rw where valid and condition_signature <> '{RARE}')
 select lead, sig as condition_signature, arm, threshold, (lead, sig) in (select (lead, sig) from f) as found from k""")

@@ -304,6 +304,20 @@ def me23(spark, sf):
     return gates(spark, sf)
 
 
+@query("me23_gate_incomplete", """with ci as (select l_returnflag as arm, l_linestatus as baseline, 'disc' as metric, avg(case when l_returnflag <> 'A' then l_discount end) as high, avg(l_discount) as low from lineitem group by all union all
+ select l_returnflag, l_linestatus, 'tax', avg(l_tax), avg(l_tax) from lineitem where l_returnflag <> 'R' group by all), ru(metric, side, bound) as (values ('disc', 'upper_below', 1.0), ('tax', 'lower_above', 0.0)),
+ j as (select a.arm, coalesce(case when side = 'upper_below' then high <= bound else low >= bound end, false) as ok from (select distinct arm, baseline from ci) a join ru on true left join ci on ci.arm = a.arm and ci.baseline = a.baseline and ci.metric = ru.metric)
+select arm, bool_and(ok) as passed, count(*) filter (not ok) as failed from j group by arm""")
+def me23_incomplete(spark, sf):
+    """An arm with a null bound and an arm without a metric fail, although nothing that is there breaks a rule."""
+    li = B.table(spark, sf, "lineitem")
+    d = li.groupBy(C("l_returnflag").alias("arm"), C("l_linestatus").alias("baseline")).agg(F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"))
+    disc = d.select("arm", "baseline", F.lit("disc").alias("metric"), C("disc").alias("low"), F.when(C("arm") != "A", C("disc")).alias("high"))
+    tax = d.filter("arm <> 'R'").select("arm", "baseline", F.lit("tax").alias("metric"), C("tax").alias("low"), C("tax").alias("high"))
+    rules = spark.createDataFrame([("disc", "upper_below", 1.0), ("tax", "lower_above", 0.0)], "metric string, side string, bound double")
+    return ME.gate(disc.unionByName(tax), rules)
+
+
 @query("so06_finalists", f"""with s as (select l_suppkey::varchar as arm, avg(abs(l_extendedprice / 2000 - l_quantity)) as score, avg(l_discount) <= 0.05 as passed from lineitem group by 1), r as (select *, row_number() over (partition by passed order by score, arm) as rn from s)
 select arm, round(score, 6) as score, passed from r where (passed and rn <= 5) or arm = '7'""")
 def so06(spark, sf):

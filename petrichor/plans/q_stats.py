@@ -34,6 +34,27 @@ def ag09(spark, sf):
     return moments_out(SS.masked_moments(chan(spark, sf), ["channel"]))
 
 
+DEAD = "count(v2) as n, round(avg(v2), 6) as mean, round(var_pop(v2), 4) as variance, round(stddev_pop(v2), 5) as sd, min(v2) as \"min\", max(v2) as \"max\" from (select *, case when valid and channel <> 'error' then v end as v2 from ch) group by channel"
+
+
+@query("ag09_dead_channel", f"with {CHAN_SQL} select channel, {DEAD}")
+def ag09_dead(spark, sf):
+    """A channel without a valid value stays, with n = 0."""
+    return moments_out(SS.masked_moments(chan(spark, sf).withColumn("valid", C("valid") & (C("channel") != "error")), ["channel"]))
+
+
+@query("ag10_dead_channel_merge", f"with {CHAN_SQL} select channel, {DEAD}")
+def ag10_dead(spark, sf):
+    dead = chan(spark, sf).withColumn("valid", C("valid") & (C("channel") != "error"))
+    return moments_out(SS.merge_moments(SS.moments_state(dead, ["channel", "d"]), ["channel"]))
+
+
+@query("ag12_degenerate_channels", f"with {CHAN_SQL}, s as (select channel, {DEAD}) select channel from s where n = 0 or sd = 0")
+def ag12_degenerate(spark, sf):
+    dead = chan(spark, sf).withColumn("valid", C("valid") & (C("channel") != "error"))
+    return SS.degenerate_channels(SS.masked_moments(dead, ["channel"]), ["channel"])
+
+
 @query("ag10_merge_moments", f"with {CHAN_SQL} select channel, {MOM} from ch where valid group by channel")
 def ag10(spark, sf):
     return moments_out(SS.merge_moments(SS.moments_state(chan(spark, sf), ["channel", "d"]), ["channel"]))

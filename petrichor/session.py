@@ -44,15 +44,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a check: the table is materialised and counted, and past ``max_rows`` it stays a
-    plain side for which the planner picks a shuffle join.
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a materialised table: eight bytes a column and row, and the text of what has no fixed width."""
+    loose = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct", "variant")]
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in loose]))) if loose else F.lit(0)
+    return int(df.agg(F.coalesce(F.sum(text + 8 * len(df.columns)), F.lit(0)).alias("n")).first()["n"])
 
-    Used where a wide row table meets one row per channel, lead or cell: without the hint the wide side would
-    be shuffled on a handful of hot keys.
+
+def small_side(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint behind a check: the table is materialised and measured, and past ``max_bytes`` it stays a plain side.
+
+    Used where a wide row table meets one row per channel, lead or cell: without the hint the wide side would be shuffled
+    on a handful of hot keys. A table past the bound has as many keys as its size implies; the shuffle join that it
+    then gets is one that adaptive execution splits at hot keys (``DEFAULTS`` turns that on).
     """
     kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return F.broadcast(kept) if estimated_bytes(kept) <= max_bytes else kept
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -54,7 +54,7 @@ def test_broadcast_only_below_the_limit(spark):
     rows = spark.range(10).select(F.col("id").alias("k"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" in plan(rows.join(small_side(big, 5000), "k"))
+        assert "BroadcastHashJoin" in plan(rows.join(small_side(big, 1 << 20), "k"))
         assert "BroadcastHashJoin" not in plan(rows.join(small_side(big, 10), "k"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
