@@ -79,6 +79,7 @@ def merge_scale_states(states: DataFrame) -> DataFrame:
 def residual_scales(states: DataFrame, floor: float = 1e-3, min_blocks=MIN_BLOCKS, min_ess=MIN_ESS) -> DataFrame:
     """Weighted RMS from the first passing level; no level = null scale, flagged, never an identity."""
     sums = ("mass", "sq", "pixels")
+    states = cut_lineage(states)  # read three times below: the raw rows are scanned once
     support = ladder_support(ladder_blocks(states, sums), sums)
     cells = states.groupBy("lead", "condition_signature").agg(F.sum("pixels").alias("cell_pixels"))
     chosen = select_level(cells, support, ("mass", "sq", "pixels"), min_blocks, min_ess)

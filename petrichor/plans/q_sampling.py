@@ -8,6 +8,8 @@ from ..operators import manifest as MF
 from ..operators import ordered as O
 from ..operators import sampling as SA
 from ..operators import sets as ST
+from ..sources import bundle as BU
+from ..streaming.streams import scratch
 from . import bindings as B
 from .q_manifest import index, items, items_sql, w
 from .q_scalars import uniform_sql
@@ -204,6 +206,33 @@ def pr38(spark, sf):
     return SA.subset_year(d, 1998).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "source_index", "global_example_index")
 
 
+BUNDLE_SPLIT = "outer_train"
+
+
+def bundle(spark, sf, name: str):
+    n = items(spark, sf).filter(C("split") == BUNDLE_SPLIT).count()
+    return BU.build_training_bundle(index(spark, sf), items(spark, sf), scratch(spark, name) + "/t", BUNDLE_SPLIT, SEED, PURPOSE, max(1, n), (256, 256), 1 << 50)
+
+
+@query("it07_training_bundle_rows", w(DRAWS_SQL, f"select {SHOW} from draws", True))
+def it07_rows(spark, sf):
+    """Audit, draw, budget and publication in one call; the rows come back from the published files."""
+    return show(bundle(spark, sf, "bundle07")["draws"])
+
+
+@query("it07_bundle_budget", w(DRAWS_SQL, "select count(*) as unique_items, count(*) * 524288 as dense_bytes from (select distinct t0_utc, lead_hours, condition_signature from draws)", True))
+def it07_budget(spark, sf):
+    return bundle(spark, sf, "bundle07b")["budget"]
+
+
+@query("it08_augmented_bundle_rows", w(AUG_SQL, f"select {SHOW} from aug", True))
+def it08_rows(spark, sf):
+    """One policy signature a draw, published and read back."""
+    hold = items(spark, sf).filter(F.coalesce(C("split") != BUNDLE_SPLIT, F.lit(True)))
+    made = BU.augment_bundle(bundle(spark, sf, "bundle08"), hold, scratch(spark, "augmented08") + "/t", B.POLICY, B.SOURCE_SIG, B.TP_OFF_SIG, B.NULL_SIG, SEED, SIG_PURPOSE)
+    return show(made["draws"])
+
+
 @query("it07_build_training_bundle", w(AUG_SQL, """select 'index' as tbl, count(*) as n, 0.0::double as mass from idx union all
  select 'candidates', count(*), round(sum(p_target), 6) from items union all select 'draws', count(*), round(sum(omega), 3) from draws union all
  select 'augmented', count(*), round(sum(omega), 3) from aug""", True))

@@ -149,6 +149,16 @@ def sc14(spark, sf):
     return FR.fingerprint_files(spark, sf, "*.parquet")
 
 
+@query("sc14_fingerprint_content", """with c as (select event_type || '/' || ts::date::varchar as path, user_id % 150 as pos, (round(max(value) * 100)::int // 10)::int as raw, day(ts) as dd from events group by all),
+f as (select distinct path, dd from c), h as (select path, dd, f.path || '' as p, unnest(range(150)) as pos from f),
+b as (select h.path, h.dd, h.pos, case when raw is null then 'D08A' else printf('%02X%02X', raw % 256, raw // 256) end as le from h left join c on c.path = h.path and c.pos = h.pos),
+x as (select path, repeat('00', 1024) || string_agg(le, '' order by pos) || case when any_value(dd) = 13 then '00' else '' end as hx from b group by path)
+select split_part(path, '/', 2) as file, length(hx) // 2 as bytes, sha256(unhex(hx)) as sha256 from x""")
+def sc14_content(spark, sf):
+    """The same step on payloads whose bytes SQL can rebuild."""
+    return FR.fingerprint_content(payloads(spark, sf))
+
+
 @query("sc15_fingerprint_table", """with h as (select sha256(o_orderkey::varchar || chr(31) || o_custkey::varchar || chr(31) || o_orderstatus || chr(31) || o_orderpriority) as h from orders)
 select count(*) as "rows", bit_xor(('0x' || substr(h, 1, 15))::bigint) as xor60, sum(('0x' || substr(h, 16, 8))::bigint)::bigint as sum32 from h""")
 def sc15(spark, sf):

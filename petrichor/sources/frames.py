@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -41,34 +42,46 @@ def _strips_to_pixels(width: int) -> Callable:
     return decode
 
 
-@F.udf(BinaryType())
-def _gunzip(content):
-    """One call per multi-megabyte file: here the per-row cost of a plain UDF is nothing next to the work."""
-    try:
-        return zlib.decompress(bytes(content), 31)
-    except zlib.error:
-        return None
+def _inflate(most: int) -> Callable:
+    """(path, content) of gzip files to (path, content, problem): at most ``most`` bytes come out of any file, and a file
+    that is no gzip stream, or is cut short, is named as such."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                body, problem = None, None
+                try:
+                    z = zlib.decompressobj(31)
+                    body = z.decompress(content.as_py() or b"", most)
+                    if not z.eof and len(body) < most:
+                        body, problem = None, "gzip stream cut short"
+                except zlib.error:
+                    problem = "no gzip stream"
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([body], pa.binary()), pa.array([problem], pa.string())], names=["path", "content", "problem"])
+    return run
 
 
 def decode_raw(payloads: DataFrame, height: int = RAW_HEIGHT, width: int = RAW_WIDTH) -> DataFrame:
-    """SC02: (path, content) to long pixel rows; a wrong length is one problem row.
+    """SC02: (path, content) to long pixel rows; a wrong length is one problem row, and so is a given ``problem``.
 
     The JVM cuts a payload into grid rows before anything goes to Python.
     """
+    said = F.col("problem") if "problem" in payloads.columns else F.lit(None).cast("string")
     size = HEADER_BYTES + height * width * 2
     good = F.coalesce(F.length("content") == size, F.lit(False))
     strips = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.substring("content", y * (2 * width) + (HEADER_BYTES + 1), F.lit(2 * width)))
     whole = payloads.filter(good).select("path", F.posexplode(strips).alias("y", "strip"))
     null = F.lit(None)
     broken = payloads.filter(~good).select("path", null.cast("int").alias("y"), null.cast("int").alias("x"), null.cast("smallint").alias("raw"),
-                                           null.cast("boolean").alias("valid"), F.concat(F.lit("length "), F.coalesce(F.length("content"), F.lit(0))).alias("problem"))
+                                           null.cast("boolean").alias("valid"), F.coalesce(said, F.concat(F.lit("length "), F.coalesce(F.length("content"), F.lit(0)))).alias("problem"))
     return whole.mapInPandas(_strips_to_pixels(width), PIXELS).unionByName(broken)
 
 
 def ingest_raw_scans(spark: SparkSession, folder: str, pattern: str = "*", height: int = RAW_HEIGHT, width: int = RAW_WIDTH,
                      compressed: bool = False) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    return decode_raw(files.withColumn("content", _gunzip("content")) if compressed else files, height, width)
+    size = HEADER_BYTES + height * width * 2
+    unpacked = files.mapInArrow(_inflate(size + 1), "path string, content binary, problem string") if compressed else files
+    return decode_raw(unpacked, height, width)
 
 
 def decode_with(payloads: DataFrame, decoder: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -120,8 +133,12 @@ def estimate_bytes(frames: DataFrame, by, cells: Column, bytes_per_cell: int = 4
 
 def fingerprint_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """SC14: size and SHA-256 per artifact file (one task reads one file; the format's own size limit applies)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return fingerprint_content(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
+
+
+def fingerprint_content(files: DataFrame) -> DataFrame:
+    """Name, size and SHA-256 of every (path, content)."""
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def row_digest(cols) -> Column:
