@@ -78,7 +78,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``_q``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, text.
 
     Each step is a column of its own: later steps use it several times, and sorting at the top of a projection is
-    compiled for primitive arrays, which sorting inside a lambda isn't.
+    compiled for primitive arrays, which sorting inside a lambda isn't. The row mark in the struct is there for its being
+    non-deterministic: a filter on the verdict then stays above the counts instead of being written out in terms of them.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     zero = F.lit(0).cast("long")
@@ -96,7 +97,8 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_q", F.struct(
         n.alias("n_words"), F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), _bound(lines, of_lines).alias("l"),
-        F.when(F.size("_q_first") == 0, zero).otherwise(_covered(again)).alias("n_repeat_words"), t.alias("text")))
+        F.when(F.size("_q_first") == 0, zero).otherwise(_covered(again)).alias("n_repeat_words"), t.alias("text"),
+        F.monotonically_increasing_id().alias("mark")))
     return out.drop("_q_words", "_q_sorted", "_q_first").withColumn("_q", F.struct(
         "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.l.n_lines", "_q.l.n_dup_lines", "_q.n_repeat_words", "_q.text"))
 
