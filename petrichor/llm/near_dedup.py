@@ -6,7 +6,7 @@
 3. In every bucket all members meet its leader. The shingle sets of the classes that share any bucket are read once more
    from the texts; a fixed-size bit map of their keys tells the scan which ones to keep.
 4. Of buckets whose other members still lie in several components, these members meet each other too, in pairs of blocks
-   of about ``BLOCK`` members. A task compares a pair of blocks inside: size ratio, collision-corrected estimate, then the
+   of bounded members and shingles. A task compares a pair of blocks inside: size ratio, collision-corrected estimate, then the
    full sets; it keeps a small union-find, so what it emits is at most one link a member, never all pairs.
 5. Components follow from smallest labels and pointer jumping, until nothing changes.
 
@@ -34,6 +34,8 @@ from . import hyperminhash as H
 from .text import as_bytes, shingle_sets, slices
 
 BANDS, ROWS, BLOCK, BITS = 40, 5, 256, 26
+#: Most members and about the most shingles of a block whose members are compared with each other.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 18
 SIGNED = "doc_id long, fp binary, c long, n long, keys array<long>"
 FULL = "fp binary, c long, n long, regs binary, items binary"
 _EMPTY = "a binary, b binary"
@@ -224,11 +226,13 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     # the others of a bucket with each other, where they aren't in one component yet
     label = components(first).select(key_of("fp").alias("c"), key_of("label").alias("label")).groupBy("c").agg(F.min("label").alias("label"))
-    rest = cut_lineage(members.filter("m > 2 AND c <> leader").join(label, "c", "left").select("band", "key", "c", F.coalesce("label", "c").alias("label")))
-    several = (rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+    size = sets.groupBy("c").agg(F.max("n").alias("n"))
+    rest = cut_lineage(members.filter("m > 2 AND c <> leader").join(size, "c").join(label, "c", "left").select("band", "key", "c", "n", F.coalesce("label", "c").alias("label")))
+    several = (rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
-               .filter("lo <> hi").groupBy("m", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")))  # equal buckets once, in their first band
-    wide = (rest.join(several.select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), F.ceil(F.col("m") / BLOCK).alias("nb")), ["band", "key"])
+               .filter("lo <> hi").groupBy("m", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")))  # equal buckets once, in their first band
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("n") / BLOCK_SHINGLES))
+    wide = (rest.drop("n").join(several.select(F.col("b.band").alias("band"), F.col("b.key").alias("key"), blocks.alias("nb")), ["band", "key"])
             .withColumn("blk", F.pmod(F.xxhash64("c", F.lit(2)), "nb")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
             .select("band", "key", "c", "label", "blk", F.least("blk", "other").alias("g1"), F.greatest("blk", "other").alias("g2")))
     second = wide.join(sets, "c").groupBy("key", "g1", "g2").applyInArrow(_blocks(percent), _EMPTY)
