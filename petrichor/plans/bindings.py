@@ -78,6 +78,11 @@ POLICY_SQL = "policy(ord, sig, pt, pd) as (values " + ", ".join(
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget() -> None:
+    """Let go of all published tables: the next query that needs one builds it again."""
+    _STORED.clear()
+
+
 def stored(fn):
     """Materialise a published table (event index, candidates, draws) once per application.
 
