@@ -209,15 +209,15 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def markers(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Words (``=word``) and word beginnings (``^beg``) that single out toxic documents: seen in at least 15 of them (fewer in a
-    tiny sample), and there at least 50 times as often as elsewhere. Rarer words would mark by chance."""
+    """Words (``=word``) and word beginnings (``^beg``) that single out toxic documents: seen there at least 50 times as often as
+    elsewhere, and in so many of them that for a word without meaning this has a chance of at most 3 in 100,000."""
     toxic, other = Counter(), Counter()
     for words, y in docs:
         keys = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n}
         (toxic if y else other).update(keys)
     n1 = max(1, sum(y for _, y in docs))
     n0 = max(1, len(docs) - n1)
-    least = min(15, max(2, n1 // 20))
+    least = max(3, int(np.ceil(np.log(1e5 / 3) / np.log((n1 + n0) / n1))))
     return {k for k, c in toxic.items() if c >= least and (c / n1) / ((other[k] + 0.02 * least) / n0) >= 50}
 
 
