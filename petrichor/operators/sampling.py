@@ -23,9 +23,10 @@ def prefix_cdf(cands: DataFrame, order=CANONICAL, p: str = "p_draw") -> DataFram
     base = placed(cands.withColumn("_p", F.col(p).cast(EXACT)), list(order))
     cum = running_sum(base, [], "_part", ["_pos"], {"_hi": F.col("_p")})
     total = base.agg(F.sum("_p").alias("_total"))  # one row
-    lo = (F.col("_hi") - F.col("_p")).cast("double")
-    wrong = F.raise_error(F.concat(F.lit(f"{p} sums to "), F.col("_total").cast("string"), F.lit(", not to 1"))).cast("double")
-    hi = F.when(F.abs(F.col("_total").cast("double") - 1) > 1e-9, wrong).when(F.col("_hi") >= F.col("_total"), F.lit(1.0)).otherwise(F.col("_hi").cast("double"))
+    wrong = F.raise_error(F.concat(F.lit(f"{p} sums to "), F.coalesce(F.col("_total").cast("string"), F.lit("nothing")), F.lit(", not to 1"))).cast("double")
+    off = F.coalesce(F.abs(F.col("_total").cast("double") - 1) > 1e-9, F.lit(True))
+    lo = F.when(off, wrong).otherwise((F.col("_hi") - F.col("_p")).cast("double"))
+    hi = F.when(off, wrong).when(F.col("_hi") >= F.col("_total"), F.lit(1.0)).otherwise(F.col("_hi").cast("double"))
     return (cum.join(F.broadcast(total)).withColumn("cdf_lo", lo).withColumn("cdf_hi", hi)
             .drop("_p", "_hi", "_part", "_pos", "_total"))
 
@@ -39,7 +40,7 @@ def draw_from_cdf(cands: DataFrame, draws: int, seed: int, purpose: str, order=C
     """
     kept = [c for c in cands.columns if c != "omega"]
     cdf = prefix_cdf(cands, order)
-    start = cdf.select(F.when(F.col("cdf_hi") > F.col("cdf_lo"), F.col("cdf_lo")).otherwise(F.col("cdf_lo")).alias("_v"), F.lit(0).alias("_kind"),
+    start = cdf.select(F.col("cdf_lo").alias("_v"), F.lit(0).alias("_kind"),
                        F.lit(None).cast("long").alias("global_example_index"), F.struct(*kept).alias("_c"))
     u = cands.sparkSession.range(draws).select(F.col("id").alias("global_example_index"))
     drawn = u.select(H.hash_uniform(seed, purpose, F.col("global_example_index")).alias("_v"), F.lit(1).alias("_kind"), "global_example_index",
