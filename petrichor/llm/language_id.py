@@ -24,10 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .text import as_bytes, slices
 
-ORDER, TRAIN_DOCS, TABLE_CELLS = 3, 400, 24_000_000
+ORDER, TRAIN_DOCS, TABLE_CELLS = 3, 400, 10_000_000
+#: Name of the column that ``flagged`` adds.
+LANGUAGE = "_lang_pred"
 LETTER = regex.compile(r"\p{L}")
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -50,7 +53,10 @@ class Model:
         """Code lengths in bits: [context of ``ORDER`` symbols and byte, language]."""
         if self.name not in _TABLES:
             _TABLES.clear()
-            _TABLES[self.name] = np.stack([code_lengths(c, self.symbols) for c in self.cells], axis=1)
+            table = np.empty((self.symbols ** (ORDER + 1), len(self.cells)), dtype=np.float32)
+            for k, c in enumerate(self.cells):
+                table[:, k] = code_lengths(c, self.symbols)
+            _TABLES[self.name] = table
         return _TABLES[self.name]
 
 
@@ -136,20 +142,30 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def predictor(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def judged(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text."""
+    named, sure = ["und"] * len(texts), np.zeros(len(texts))
+    real = [i for i, t in enumerate(texts) if model.languages and LETTER.search(t.decode())]
+    if real:
+        bits = score(model, [texts[i] for i in real])
+        best = bits.argmin(axis=1)
+        weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
+        for i, b, p in zip(real, best, weight.max(axis=1) / weight.sum(axis=1)):
+            named[i], sure[i] = model.languages[b], p
+    return named, sure
+
+
+def _scored(model: Model, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``keep``: all columns and the language; else id, language and score. Slices share the batch's memory."""
     def run(batches):
         for part in slices(batches, "text", size=1 << 20):
-            texts = as_bytes(part.column(1))
-            named, sure = ["und"] * len(texts), np.zeros(len(texts))
-            real = [i for i, t in enumerate(texts) if model.languages and LETTER.search(t.decode())]
-            if real:
-                bits = score(model, [texts[i] for i in real])
-                best = bits.argmin(axis=1)
-                weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
-                for i, b, p in zip(real, best, weight.max(axis=1) / weight.sum(axis=1)):
-                    named[i], sure[i] = model.languages[b], p
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64())],
-                                             names=["doc_id", "lang_pred", "score"])
+            at = part.schema.get_field_index("text")
+            named, sure = judged(model, as_bytes(part.column(at)))
+            lang = pa.array(named, pa.string())
+            if keep:
+                yield pa.RecordBatch.from_arrays([*part.columns, lang], names=[*part.schema.names, LANGUAGE])
+            else:
+                yield pa.RecordBatch.from_arrays([part.column(0), lang, pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
     return run
 
 
@@ -176,15 +192,9 @@ def train(labelled: DataFrame, docs_each: int = TRAIN_DOCS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(predictor(model), "doc_id long, lang_pred string, score double")
-
+    return docs.select("doc_id", "text").mapInArrow(_scored(model, False), "doc_id long, lang_pred string, score double")
 
-def flagged(docs: DataFrame, model: Model, out: str = "_lang_pred") -> DataFrame:
-    """``docs`` with all its columns and the predicted language of each row as ``out``."""
-    @F.pandas_udf("string")
-    def language(texts):
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(column), pa.int64()), column], names=["doc_id", "text"])
-        return pa.concat_arrays([b.column(1) for b in predictor(model)(iter([batch]))]).to_pandas()
 
-    return docs.withColumn(out, language("text"))
+def flagged(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all its columns and the predicted language of each row as ``LANGUAGE``."""
+    return docs.mapInArrow(_scored(model, True), StructType([*docs.schema.fields, StructField(LANGUAGE, StringType())]))
