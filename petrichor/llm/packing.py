@@ -34,7 +34,7 @@ from .text import slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct chunks that a worker remembers before the older generation of them is let go.
-KEPT = 250_000
+KEPT = 120_000
 #: Rows and token ids of a packing group.
 GROUP_ROWS, GROUP_IDS = 1024, 4 << 20
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]|[^\S \t\n\r]")
@@ -222,7 +222,7 @@ def _packed(path: str, closing: int, limits: Limits) -> Callable[[Iterator[pa.Re
     def run(batches):
         t, base, made = ids_of(path), TaskContext.get().partitionId() << 33, 0
         names, ids, held = [], [], 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", size=1 << 20):
             names += part.column(0).to_pylist()
             new = [x + end for x in t.encode_all([x or "" for x in part.column(1).to_pylist()])]
             ids += new
