@@ -226,8 +226,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     # the others of a bucket with each other, where they aren't in one component yet
     label = components(first).select(key_of("fp").alias("c"), key_of("label").alias("label")).groupBy("c").agg(F.min("label").alias("label"))
-    size = sets.groupBy("c").agg(F.max("n").alias("n"))
-    rest = cut_lineage(members.filter("m > 2 AND c <> leader").join(size, "c").join(label, "c", "left").select("band", "key", "c", "n", F.coalesce("label", "c").alias("label")))
+    known = cut_lineage(sets.groupBy("c").agg(F.max("n").alias("n")).join(label, "c", "left").select("c", "n", F.coalesce("label", "c").alias("label")))
+    rest = cut_lineage(members.filter("m > 2 AND c <> leader").join(known, "c", "left").select("band", "key", "c", "n", "label"))
     several = (rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
                                                F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
                .filter("lo <> hi").groupBy("m", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")))  # equal buckets once, in their first band
