@@ -9,10 +9,11 @@ there. The order changes the work and the name of the first failed rule, never t
 Words are runs without the six ASCII white-space bytes. A repeated window is three successive words found twice or more
 in the text. Windows are compared by two independent hashes, each packed with the position into one long and sorted as
 primitive arrays: a window counts as repeated if both find it, so chance agreement needs two 43-bit collisions at once.
+The position takes as many bits as the number of words needs: a text of 2**21 words or more leaves its hashes one bit
+less for each doubling.
 
-Defined cases: null text is a text without words; a document with nothing in it fails the base; texts of any length up to
-2**21 words a piece are read whole, longer ones compare windows by one 64-bit hash; repeated rows are judged alike; the
-input's columns are kept as they are and may have any names.
+Defined cases: null text is a text without words; a document with nothing in it fails the base; texts of any length are
+read whole; repeated rows are judged alike; the input's columns are kept as they are and may have any names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
+#: Bits of a position in a text of fewer than 2**21 words.
 _POSITION_BITS = 21
 SAMPLE_ROWS = 1000
 
@@ -51,19 +53,25 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _windows(words: Column, starts: Column, seed: int) -> Column:
-    """For each start, 43 bits of its window's hash with the start below them."""
+def _position_bits(n: Column) -> Column:
+    """Bits that hold every position in a text of ``n`` words."""
+    return F.greatest(F.lit(_POSITION_BITS), F.length(F.bin(n)))
+
+
+def _windows(words: Column, starts: Column, seed: int, bits: Column) -> Column:
+    """For each start, the lower bits of its window's hash with the start in ``bits`` bits below them."""
     first = [F.lit(seed)] if seed else []
-    return F.transform(starts, lambda i: F.shiftleft(F.xxhash64(
-        *first, F.get(words, i), F.get(words, i + F.lit(1).cast("long")), F.get(words, i + F.lit(2).cast("long"))), _POSITION_BITS).bitwiseOR(i))
+    return F.transform(starts, lambda i: F.call_function("shiftleft", F.xxhash64(
+        *first, F.get(words, i), F.get(words, i + F.lit(1).cast("long")), F.get(words, i + F.lit(2).cast("long"))), bits).bitwiseOR(i))
 
 
-def _equal_neighbours(s: Column) -> Column:
+def _equal_neighbours(s: Column, bits: Column) -> Column:
     """Starts in a sorted packed array whose hash equals a neighbour's."""
-    low = (1 << _POSITION_BITS) - 1
-    pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), _POSITION_BITS) == 0, F.array(a, b)))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long")
+    pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)),
+                       lambda a, b: F.when(F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bits) == 0, F.array(a, b)))
     hits = F.flatten(F.filter(pairs, lambda p: p.isNotNull()))
-    return F.array_distinct(F.transform(hits, lambda x: x.bitwiseAND(F.lit(low))))
+    return F.array_distinct(F.transform(hits, lambda x: x.bitwiseAND(low)))
 
 
 def _covered(starts: Column) -> Column:
@@ -90,16 +98,17 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     n = F.size("_q_words").cast("long")
-    out = docs.withColumn("_q_words", _words(t))
-    out = out.withColumn("_q_sorted", F.sort_array(_windows(F.col("_q_words"), F.when(n >= 4, F.sequence(zero, n - 3)).otherwise(F.array(zero)), 0)))
-    out = out.withColumn("_q_first", _equal_neighbours(F.col("_q_sorted")))
-    again = _bound(F.sort_array(_windows(F.col("_q_words"), F.col("_q_first"), 1)), _equal_neighbours)
+    bits = F.col("_q_bits")
+    out = docs.withColumn("_q_words", _words(t)).withColumn("_q_bits", _position_bits(n))
+    out = out.withColumn("_q_sorted", F.sort_array(_windows(F.col("_q_words"), F.when(n >= 4, F.sequence(zero, n - 3)).otherwise(F.array(zero)), 0, bits)))
+    out = out.withColumn("_q_first", _equal_neighbours(F.col("_q_sorted"), bits))
+    again = _bound(F.sort_array(_windows(F.col("_q_words"), F.col("_q_first"), 1, bits)), lambda s: _equal_neighbours(s, bits))
     out = out.withColumn("_q", F.struct(
         n.alias("n_words"), F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), _bound(lines, of_lines).alias("l"),
         F.when(F.size("_q_first") == 0, zero).otherwise(_covered(again)).alias("n_repeat_words"), t.alias("text"),
         F.monotonically_increasing_id().alias("mark")))
-    return out.drop("_q_words", "_q_sorted", "_q_first").withColumn("_q", F.struct(
+    return out.drop("_q_words", "_q_bits", "_q_sorted", "_q_first").withColumn("_q", F.struct(
         "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.l.n_lines", "_q.l.n_dup_lines", "_q.n_repeat_words", "_q.text"))
 
 

@@ -30,6 +30,22 @@ def test_counts(spark, docs, empty):
     assert Q.judged(empty).count() == 0
 
 
+def test_counts_past_the_position_bits(spark, monkeypatch):
+    """Repeats at positions that need more bits than a short text's, at small and at real width."""
+    def of(texts):
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        assert [tuple(r._q)[:6] == plain(r.text) for r in Q.counted(df).collect()] == [True] * len(texts)
+
+    fresh = [f"w{k}" for k in range(200)]
+    tail = " ".join(fresh[:100] + ["x", "y", "z"] + fresh[100:] + ["x", "y", "z", "end"])
+    rng = random.Random(3)
+    with monkeypatch.context() as m:
+        m.setattr(Q, "_POSITION_BITS", 3)
+        of([tail, " ".join(fresh * 2), *(" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (6, 7, 8, 9, 15, 16, 17, 63, 64, 65, 500))])
+    long = " ".join(f"{k:x}" for k in range((1 << 21) + 10))
+    assert Q.counted(spark.createDataFrame([(long + " x y z and x y z",)], "text string")).first()._q.n_repeat_words == 6
+
+
 def test_columns_stay(docs):
     out = Q.judged(docs)
     assert out.drop("_q", "_base_failed", "_failed", "_kept").columns == docs.columns and out.count() == docs.count()
