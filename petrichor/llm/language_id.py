@@ -3,9 +3,10 @@
 For each language a byte context tree of orders 0 to ``ORDER`` is counted once and then frozen. The code length of a byte
 under its longest context comes from that context's counts if it was seen there, else from the escape probability and the
 next shorter context, down to a uniform order -1 (method C: an escape counts as often as there are distinct successors).
-Code lengths of all (context, byte) pairs are tabulated, so that a text costs one table row per byte for all languages.
-Bytes are reduced to an alphabet of the most frequent ones (A-Z as a-z, each run of white space as one blank) whose size
-keeps the table within ``TABLE_CELLS`` cells. The language with the shortest code wins, ties to the smaller name.
+The trees are over all 256 bytes, none of them merged but A-Z with a-z and each run of white space with one blank. They
+are sparse: of each order the sorted (context, byte) cells that were seen, so that memory follows the sample and a further
+language leaves the others as they are. Scoring looks up each different cell of a block of text once, escaping down where
+it is absent. The language with the shortest code wins, ties to the smaller name.
 
 Fit: at most ``TRAIN_DOCS`` labelled documents of each language, the first by a hash of id and text.
 
@@ -28,7 +29,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .text import as_bytes, slices
 
-ORDER, TRAIN_DOCS, TABLE_CELLS = 3, 400, 10_000_000
+ORDER, TRAIN_DOCS = 3, 400
+#: Bytes are symbols; a context of ``ORDER`` of them and the next one fill 32 bits.
+SYMBOLS = 256
+#: Positions of a text looked up at a time.
+BLOCK = 1 << 20
 #: Name of the column that ``flagged`` adds.
 LANGUAGE = "_lang_pred"
 LETTER = regex.compile(r"\p{L}")
@@ -40,27 +45,58 @@ _FOLD[9:14] = 32
 
 @dataclass
 class Model:
-    """Frozen counts: per language the seen (context, byte) cells of each order, as flat indices with counts."""
+    """Frozen counts: per language the seen (context, byte) cells of each order, as sorted flat indices with counts."""
 
     languages: list[str]
-    alphabet: np.ndarray  # 256 bytes to symbols; the last symbol is any other byte
+    alphabet: np.ndarray  # 256 bytes to folded bytes
     symbols: int
     cells: list[list[tuple[np.ndarray, np.ndarray]]]  # [language][order]: indices, counts
     name: str = ""  # digest of the counts: a worker keeps the table of the model that it used last
 
     @property
-    def table(self) -> np.ndarray:
+    def table(self) -> Table:
         """Code lengths in bits: [context of ``ORDER`` symbols and byte, language]."""
         if self.name not in _TABLES:
             _TABLES.clear()
-            table = np.empty((self.symbols ** (ORDER + 1), len(self.cells)), dtype=np.float32)
-            for k, c in enumerate(self.cells):
-                table[:, k] = code_lengths(c, self.symbols)
-            _TABLES[self.name] = table
+            _TABLES[self.name] = Table(self.cells, self.symbols)
         return _TABLES[self.name]
 
 
-_TABLES: dict[str, np.ndarray] = {}
+class Table:
+    """Code lengths of the seen cells and escapes of the seen contexts of each language and order; nothing else is stored."""
+
+    def __init__(self, cells: list[list[tuple[np.ndarray, np.ndarray]]], size: int):
+        self.size = size
+        self.languages = [[code_lengths(index, count, size) for index, count in c] for c in cells]
+
+    def __getitem__(self, at: tuple[int, int]) -> float:
+        return float(self.bits(np.array([at[0]], dtype=np.uint32), at[1])[0])
+
+    def bits(self, index: np.ndarray, language: int) -> np.ndarray:
+        """Bits of each (longest context, byte): from the longest order down to -1, as far as each must escape."""
+        out = np.zeros(len(index), dtype=np.float32)
+        left = np.arange(len(index))
+        for order in range(ORDER, -1, -1):
+            cells, lengths, contexts_seen, escapes = self.languages[language][order]
+            key = index[left] & np.uint32(self.size ** (order + 1) - 1)
+            at, hit = _find(cells, key)
+            out[left[hit]] += lengths[at[hit]]
+            left, key = left[~hit], key[~hit]
+            at, hit = _find(contexts_seen, key // np.uint32(self.size))
+            out[left[hit]] += escapes[at[hit]]
+        out[left] += np.float32(np.log2(self.size))
+        return out
+
+
+_TABLES: dict[str, Table] = {}
+
+
+def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted array, and whether it is there."""
+    if not len(among):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return at, among[at] == keys
 
 
 def symbols_of(texts: list[bytes], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,58 +108,39 @@ def symbols_of(texts: list[bytes], alphabet: np.ndarray) -> tuple[np.ndarray, np
 
 def contexts(symbols: np.ndarray, size: int, order: int) -> np.ndarray:
     """Index of (``order`` symbols, next symbol) at each position from ``ORDER`` on."""
-    n = len(symbols) - ORDER
-    out = np.zeros(n, dtype=np.int64)
+    n = max(0, len(symbols) - ORDER)
+    out = np.zeros(n, dtype=np.uint32)
     for k in range(order, -1, -1):
-        out *= size
+        out *= np.uint32(size)
         out += symbols[ORDER - k: ORDER - k + n]
     return out
 
 
-def code_lengths(cells: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-    """Bits of every (longest context, byte), from order -1 upwards."""
-    bits = np.full(size, np.log2(size), dtype=np.float32)
-    for order, (index, count) in enumerate(cells):
-        contexts_n = size ** order
-        total = np.zeros(contexts_n)
-        distinct = np.zeros(contexts_n)
-        np.add.at(total, index // size, count)
-        np.add.at(distinct, index // size, 1)
-        # a context never met escapes for sure; one in which all symbols were met still may
-        escape = np.log2((total + distinct) / np.maximum(distinct, 1), where=total > 0, out=np.zeros(contexts_n)).astype(np.float32)
-        bits = np.tile(bits.reshape(-1), contexts_n // max(1, contexts_n // size)) if order else bits
-        bits = (bits.reshape(contexts_n, size) + escape[:, None]).reshape(-1)
-        bits[index] = np.log2((total + distinct)[index // size] / count)
-    return bits
-
-
-def fit(samples: dict[str, list[bytes]], cells: int = TABLE_CELLS) -> Model:
-    """Count the context trees of each language's sample texts."""
+def code_lengths(index: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seen cells of one order, their bits, their contexts, and the bits of an escape from each; an unseen one escapes free."""
+    seen, first, distinct = np.unique(index // np.uint32(size), return_index=True, return_counts=True)
+    total = np.add.reduceat(count, first) if len(count) else count
+    bits = np.log2(np.repeat(total + distinct, distinct) / count).astype(np.float32)
+    return index, bits, seen, np.log2((total + distinct) / distinct).astype(np.float32)
+
+
+def fit(samples: dict[str, list[bytes]], cells: int | None = None) -> Model:
+    """Count the context trees of each language's sample texts. ``cells`` bounds nothing: no table of all cells is made."""
     languages = sorted(samples)
-    size = max(8, min(200, int((cells / max(1, len(languages))) ** (1 / (ORDER + 1)))))
-    seen = np.zeros(256, dtype=np.int64)
-    for texts in samples.values():
-        own = np.bincount(_FOLD[np.frombuffer(b"".join(texts), dtype=np.uint8)], minlength=256)
-        seen += own * 1_000_000 // max(1, int(own.sum()))  # each language weighs the same
-    frequent = [b for b in np.argsort(-seen, kind="stable")[: size - 1] if seen[b]]
-    alphabet = np.full(256, len(frequent), dtype=np.uint8)
-    for k, b in enumerate(frequent):
-        alphabet[_FOLD == b] = k
-    size = len(frequent) + 1
     counted = []
     for language in languages:
-        s, starts = symbols_of([fold(t) for t in samples[language]], alphabet)
+        s, starts = symbols_of([fold(t) for t in samples[language]], _FOLD)
         inside = np.ones(max(0, len(s) - ORDER), dtype=bool)
         for k in range(ORDER):  # padding is context only
             at = starts + k - ORDER
             inside[at[(at >= 0) & (at < len(inside))]] = False
-        parts = [np.unique(contexts(s, size, k)[inside], return_counts=True) for k in range(ORDER + 1)]
+        parts = [np.unique(contexts(s, SYMBOLS, k)[inside], return_counts=True) for k in range(ORDER + 1)]
         counted.append(parts)
-    digest = hashlib.sha256(repr((languages, size)).encode() + alphabet.tobytes())
+    digest = hashlib.sha256(repr((languages, SYMBOLS)).encode())
     for parts in counted:
         for index, count in parts:
             digest.update(index.tobytes() + count.tobytes())
-    return Model(languages, alphabet, size, counted, digest.hexdigest())
+    return Model(languages, _FOLD, SYMBOLS, counted, digest.hexdigest())
 
 
 def fold(text: bytes) -> bytes:
@@ -134,11 +151,17 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     """Total code length in bits of each text under each language."""
     folded = [fold(t) + b" " for t in texts]
     s, starts = symbols_of(folded, model.alphabet)
-    index = contexts(s, model.symbols, ORDER)
-    out = np.empty((len(texts), len(model.languages)))
+    out = np.zeros((len(texts), len(model.languages)))
     table = model.table
-    for i, t in enumerate(folded):
-        out[i] = table[index[starts[i]: starts[i] + len(t)]].sum(axis=0, dtype=np.float64)
+    edges = np.stack([starts, starts + [len(t) for t in folded]], axis=1).ravel()  # a text, then the padding before the next
+    for begin in range(0, int(edges[-1]), BLOCK):
+        end = min(begin + BLOCK, int(edges[-1]))
+        index, place = np.unique(contexts(s[begin: end + ORDER], model.symbols, ORDER), return_inverse=True)
+        parts = np.arange(np.searchsorted(edges, begin, "right") - 1, np.searchsorted(edges, end))
+        cuts, texts_only = np.maximum(edges[parts], begin) - begin, parts % 2 == 0
+        for k in range(len(model.languages)):
+            sums = np.add.reduceat(table.bits(index, k)[place], cuts, dtype=np.float64)
+            out[parts[texts_only] // 2, k] += sums[texts_only]
     return out
 
 

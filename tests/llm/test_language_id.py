@@ -44,6 +44,33 @@ def test_score_sums_code_lengths():
         assert abs(L.score(m, [text])[0, k] - want) < 1e-2
 
 
+def test_no_byte_is_merged():
+    """Every byte has its own symbol, whatever its frequency and the number of languages."""
+    rng = np.random.default_rng(1)
+    common = bytes(rng.integers(97, 123, 20_000, dtype=np.uint8))
+    rare = {f"l{k:03d}": [common, chr(0x4E00 + k).encode() * 3] for k in range(100)}
+    m = L.fit(rare)
+    assert L.judged(m, [chr(0x4E00 + k).encode() * 9 for k in range(100)])[0] == sorted(rare)
+    two = L.fit({"de": [common, "ä ö ü ß ".encode() * 2], "es": [common, "ñ í ó á ".encode() * 2]})
+    assert L.judged(two, ["ßäß".encode(), "íñí".encode()])[0] == ["de", "es"]
+    for k, name in enumerate(sorted(rare)):  # a further language leaves the others as they are
+        if k % 25 == 0:
+            alone = L.fit({name: rare[name]})
+            assert np.array_equal(L.score(alone, [b"some text"])[0], L.score(m, [b"some text"])[0, [k]])
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    m = L.fit({"x": [b"abracadabra"], "y": [b"the cat"]})
+    texts = [b"The abra  cat " * 9, b"a", b"", "naïve cat".encode() * 5, b"x"]
+    whole = L.score(m, texts)
+    monkeypatch.setattr(L, "BLOCK", 7)
+    assert np.allclose(L.score(m, texts), whole, atol=1e-6)
+    for i, t in enumerate(texts):
+        s = [int(v) for v in m.alphabet[np.frombuffer(b"   " + L.fold(t) + b" ", np.uint8)]]
+        for k in range(2):
+            assert abs(sum(plain_bits(m.cells[k], m.symbols, s[j - 3: j], s[j]) for j in range(3, len(s))) - whole[i, k]) < 1e-2
+
+
 def test_edge_rows(docs, empty):
     m = L.train(docs)
     out = {(r.doc_id, r.lang_pred, round(r.score, 3) > 0) for r in L.predict(docs, m).collect()}
