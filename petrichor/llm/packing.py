@@ -8,7 +8,7 @@ bounded size, so nothing is shuffled; the last, partly filled sequences of a gro
 of two, which need no padding.
 
 Defined cases: null and empty text is the closing id alone; a row of any length is read whole; repeated rows and rows
-without an id are packed like all others; sequence ids are unique over the whole result, and the same again when a task
+without an id are packed like all others; null or too many loss-bearing tokens are all tokens, fewer than none are none; sequence ids are unique over the whole result, and the same again when a task
 is run again; other columns are ignored.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .byte_bpe import PLAIN, byte_characters, plain_pattern
@@ -201,9 +202,9 @@ def powers(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
 def _packed(path: str, closing: int, limits: Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([closing], dtype="<u4").tobytes()
 
-    def emit(names: list, ids: list[bytes], base: int, made: int) -> tuple[pa.RecordBatch, int]:
+    def emit(names: list, ids: list[bytes], loss: list, base: int, made: int) -> tuple[pa.RecordBatch, int]:
         tokens = [len(x) // 4 for x in ids]
-        found = pack(tokens, tokens, limits)
+        found = pack(tokens, [n if m is None else min(n, max(0, m)) for n, m in zip(tokens, loss)], limits)
         sequences = []
         for s in found:
             total = sum(n for _, _, n in s)
@@ -221,21 +222,27 @@ def _packed(path: str, closing: int, limits: Limits) -> Callable[[Iterator[pa.Re
 
     def run(batches):
         t, base, made = ids_of(path), TaskContext.get().partitionId() << 33, 0
-        names, ids, held = [], [], 0
+        names, ids, loss, held = [], [], [], 0
         for part in slices(batches, "text", size=1 << 20):
             names += part.column(0).to_pylist()
             new = [x + end for x in t.encode_all([x or "" for x in part.column(1).to_pylist()])]
             ids += new
+            loss += part.column(2).to_pylist()
             held += sum(map(len, new)) // 4
             if len(names) >= GROUP_ROWS or held >= GROUP_IDS:
-                batch, made = emit(names, ids, base, made)
+                batch, made = emit(names, ids, loss, base, made)
                 yield batch
-                names, ids, held = [], [], 0
+                names, ids, loss, held = [], [], [], 0
         if names:
-            yield emit(names, ids, base, made)[0]
+            yield emit(names, ids, loss, base, made)[0]
     return run
 
 
-def packed(docs: DataFrame, path: str, closing: int = 1, limits: Limits = Limits()) -> DataFrame:
-    """One row a piece of every row of ``docs`` (doc_id, text); each sequence lies in one task."""
-    return docs.select("doc_id", "text").mapInArrow(_packed(path, closing, limits), SCHEMA)
+def packed(docs: DataFrame, path: str, closing: int = 1, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
+    """One row a piece of every row of ``docs`` (doc_id, text); each sequence lies in one task.
+
+    ``loss`` names a column with the number of loss-bearing tokens of each row, its last ones, the closing id among them.
+    Null, or no such column, means all tokens; then a loss limit of ``limits.tokens - 1`` or more never binds.
+    """
+    bearing = F.col(loss) if loss else F.lit(None)
+    return docs.select("doc_id", "text", bearing.cast("long").alias("loss")).mapInArrow(_packed(path, closing, limits), SCHEMA)

@@ -78,6 +78,28 @@ def test_rows(docs, empty):
     assert K.packed(empty, PATH).count() == 0
 
 
+def test_loss_limit_binds_through_the_operator(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(["word"] * rng.choice([3, 20, 90, 300])), rng.choice([None, -2, 0, 1, 5, 40, 10_000])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, answer int").coalesce(1)
+    limits = K.Limits(256, 16, 60)
+    out = K.packed(df, PATH, limits=limits, loss="answer").collect()
+    tokens = {r.doc_id: r.doc_tokens for r in out}
+    loss = {k: tokens[k] if n is None else min(tokens[k], max(0, n)) for k, _, n in rows}
+    ids = sorted(tokens)
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append((r.doc_id, r.start, r.length))
+    check_pieces(list(sequences.values()), [tokens[k] for k in ids], [loss[k] for k in ids], limits)
+
+    def most(found):
+        return max(sum(n for _, _, n in s) for s in found)
+    free = defaultdict(int)
+    for r in K.packed(df, PATH, limits=limits).collect():
+        free[r.sequence_id] += r.length
+    assert most(sequences.values()) > max(free.values())  # masked prompts fill up what loss alone would leave
+
+
 def test_padding_is_small(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     used = [r.n for r in K.packed(df, PATH).groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
