@@ -85,10 +85,20 @@ class Scanner:
         out = []
         for k, spans in reach.items():
             for lo, hi in spans:
-                for m in self.patterns[k].finditer(text, max(0, lo), max(0, min(len(text), hi))):
+                for m in self._all(k, text, max(0, lo), max(0, min(len(text), hi))):
                     out.append((m.start(), m.end(), self.notices[k][1], sum(m.fuzzy_counts)))
         return sorted(out)
 
+    def _all(self, k: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        """Best find of a notice between ``lo`` and ``hi``, then those of the stretches before and behind it, and so on."""
+        todo = [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            m = self.patterns[k].search(text, lo, hi) if hi - lo >= self.size[k] - self.notices[k][2] else None
+            if m:
+                yield m
+                todo += [(lo, m.start()), (m.end(), hi)]
+
     def exact(self, words: list[str]) -> list[tuple[int, str]]:
         """(first word, label) of every exact base phrase."""
         out = []

@@ -46,6 +46,24 @@ def test_every_notice_with_few_edits_is_found():
                 assert any(distance(L.flat(text.lower())[a:b], n) <= e for n, lab, e in L.NOTICES if lab == got)
 
 
+def test_damaged_copies_close_together_are_all_found():
+    s = L.Scanner()
+    text = "mozila public license xx mozilla public license yy mozilla publik license"
+    assert [x[3] for x in s.fuzzy(text) if x[2] == "mpl"] == [1, 0, 1]
+    rng = random.Random(9)
+    for notice, label, errors in L.NOTICES:
+        for _ in range(4):
+            text, places = "", []
+            for _ in range(5):
+                t = list(notice)
+                for k in rng.sample(range(3, len(t) - 3), rng.randint(0, errors)):
+                    t[k] = "#"
+                places.append((len(text), len(text) + len(t)))
+                text += "".join(t) + rng.choice([" xx ", " so. ", " and then "])
+            found = [(a, b) for a, b, got, _ in s.fuzzy(text) if got == label]
+            assert all(any(a < hi and lo < b for a, b in found) for lo, hi in places), text
+
+
 def test_clean_text_has_no_label():
     assert L.Scanner().scan(b"The licence of poets is not a matter of rights, and the public knows it.")[5] == ""
 
