@@ -33,12 +33,17 @@ def host_path(url: str = "url") -> tuple[Column, Column]:
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Sorted distinct tokens: host labels, the first two path segments, and names of query parameters."""
+    """Sorted distinct tokens: host labels, path segments, and query parameters, by name and with their value.
+
+    Support and confidence prune them.
+    """
     labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host:"), x))
-    segments = F.transform(F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, 2), lambda x: F.concat(F.lit("path:"), x))
+    segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), x))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
-    return F.array_sort(F.array_distinct(F.concat(labels, segments, names)))
+    pairs = F.filter(F.split(query, "&"), lambda x: x != "")
+    names = F.transform(pairs, lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
+    values = F.transform(F.filter(pairs, lambda x: F.contains(x, F.lit("="))), lambda x: F.concat(F.lit("query:"), x))
+    return F.array_sort(F.array_distinct(F.concat(labels, segments, names, values)))
 
 
 def policy_rule(host: Column, path: Column, policy: Sequence[tuple[str, str]]) -> tuple[Column, Column]:

@@ -31,6 +31,14 @@ def test_no_labels_and_no_rows(spark):
     assert U.judged(some.limit(0), labels, Q.POLICY).count() == 0
 
 
+def test_deep_segments_and_query_values_tell(spark):
+    deep = [(k, f"https://a{k}.org/x/y/{'z/' * (k % 3)}{'spam' if k % 2 else 'good'}/{k}") for k in range(40)]
+    value = [(k, f"https://b{k}.org/x?kind={'ads' if k % 2 else 'news'}&n={k}") for k in range(100, 140)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in deep + value if k % 20 < 14], "doc_id long, quality int, toxic int")
+    out = U.judged(spark.createDataFrame(deep + value, "page_id long, url string"), labels, (), support=0.02).collect()
+    assert {r.page_id: r.verdict for r in out} == {k: "block" if k % 2 else "allow" for k, _ in deep + value}
+
+
 def plain_rules(rows, support, confidence):
     out, n = {}, len(rows)
     seen = {}
