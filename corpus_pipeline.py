@@ -10,6 +10,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from petrichor.llm import language_id, near_dedup, packing, quality_rules
 from petrichor.llm.queries import remainder
@@ -17,8 +18,13 @@ from petrichor.session import ensure_checkpoint_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without a letter go."""
+    """Documents in a known language: without a letter, or coded no better than by uniform bytes in each language, they go.
+
+    With nothing to learn from, only documents without a letter go.
+    """
     model = language_id.train(docs.select("doc_id", "text", "lang").filter(remainder("doc_id", 4) != 2))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return language_id.flagged(docs, model).filter("_lang_pred <> 'und'").select(*docs.columns)
 
 

@@ -165,25 +165,26 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def judged(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text."""
+def judged(model: Model, texts: list[bytes], strict: bool = False) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text; ``strict``: ``und`` if no language codes the text better than order -1 alone."""
     named, sure = ["und"] * len(texts), np.zeros(len(texts))
     real = [i for i, t in enumerate(texts) if model.languages and LETTER.search(t.decode())]
     if real:
         bits = score(model, [texts[i] for i in real])
         best = bits.argmin(axis=1)
         weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
-        for i, b, p in zip(real, best, weight.max(axis=1) / weight.sum(axis=1)):
-            named[i], sure[i] = model.languages[b], p
+        for i, b, p, least in zip(real, best, weight.max(axis=1) / weight.sum(axis=1), bits.min(axis=1)):
+            if not strict or least < np.log2(model.symbols) * (len(fold(texts[i])) + 1):
+                named[i], sure[i] = model.languages[b], p
     return named, sure
 
 
 def _scored(model: Model, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``keep``: all columns and the language; else id, language and score. Slices share the batch's memory."""
+    """``keep``: all columns and the language, judged strictly; else id, language and score. Slices share the batch's memory."""
     def run(batches):
         for part in slices(batches, "text", size=1 << 20):
             at = part.schema.get_field_index("text")
-            named, sure = judged(model, as_bytes(part.column(at)))
+            named, sure = judged(model, as_bytes(part.column(at)), strict=keep)
             lang = pa.array(named, pa.string())
             if keep:
                 yield pa.RecordBatch.from_arrays([*part.columns, lang], names=[*part.schema.names, LANGUAGE])
@@ -219,5 +220,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def flagged(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns and the predicted language of each row as ``LANGUAGE``."""
+    """``docs`` with all its columns and the predicted language of each row as ``LANGUAGE``: ``und`` also for an unknown one."""
     return docs.mapInArrow(_scored(model, True), StructType([*docs.schema.fields, StructField(LANGUAGE, StringType())]))

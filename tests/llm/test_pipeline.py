@@ -2,6 +2,7 @@
 
 import public_tokenizers as P
 import regex
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -36,6 +37,19 @@ def test_stages(spark):
     assert sum(r.length for r in whole) == sum(len(x) // 4 + 1 for x in t.fresh([r.text for r in kept.values()]))
 
 
+def test_language_scores_decide(spark):
+    """A script that no language taught goes, known languages stay; with nothing to learn, all that has a letter stays."""
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(10 ** 9, "これは日本語の文書です。" * 9), (10 ** 9 + 1, "12 $$ 34"), (10 ** 9 + 2, None), (10 ** 9 + 3, "The house of the family is in the city.")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    both = real.unionByName(odd, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, both, SF).select("doc_id").collect()}
+    assert kept & {k for k, _ in rows} == {10 ** 9 + 3}
+    bare = both.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, bare, SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in both.select("doc_id", "text").collect() if regex.search(r"\p{L}", r.text or "")}
+
+
 def test_odd_documents(spark, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0
