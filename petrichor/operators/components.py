@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, dropped, written
 
 
 TILE = 64
@@ -40,8 +40,9 @@ def wet_components(wet: DataFrame, by) -> DataFrame:
 
     Areas are labelled inside fixed tiles first (a bounded group per task). Only areas that touch a tile border
     meet others: their border pixels are matched by equi-join on the neighbour pixel, and smallest-label
-    propagation with pointer jumping runs on that small graph of areas, checkpointed each round. Labels only ever fall,
-    so it runs until none does, whatever the length of an area.
+    propagation with pointer jumping runs on that small graph of areas, each round's labels a written table. Labels only ever
+    fall, so it runs until none does, whatever the length of an area; an area's root takes the smallest label that any of its
+    areas sees (hooking), so a line through n tiles takes about log n rounds.
     """
     by = list(by)
     tiles = wet.select(*by, "y", "x", "v").withColumn("_ty", F.floor(F.col("y") / TILE)).withColumn("_tx", F.floor(F.col("x") / TILE))
@@ -50,18 +51,8 @@ def wet_components(wet: DataFrame, by) -> DataFrame:
     border = px.filter(F.pmod("y", F.lit(TILE)).isin(0, TILE - 1) | F.pmod("x", F.lit(TILE)).isin(0, TILE - 1)).select(*by, "y", "x", "local")
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in _NEIGHBOURS]))
     near = border.withColumn("_s", step).select(*by, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"), F.col("local").alias("a"))
-    edges = cut_lineage(near.join(border, [*by, "y", "x"]).filter("a <> local").select(*by, "a", F.col("local").alias("b")).distinct())
-    labels = cut_lineage(edges.select(*by, "a").distinct().withColumn("label", F.col("a")))
-    moved = labels.limit(1).count()
-    while moved:
-        seen = labels.withColumnRenamed("a", "b").withColumnRenamed("label", "_nb")
-        best = edges.join(seen, [*by, "b"]).groupBy(*by, "a").agg(F.min("_nb").alias("_nb"))
-        new = labels.join(best, [*by, "a"], "left").select(*by, "a", "label", F.least("label", F.coalesce("_nb", "label")).alias("_new"))
-        jump = labels.select(*by, F.col("a").alias("_new"), F.col("label").alias("_jump"))
-        nxt = cut_lineage(new.join(jump, [*by, "_new"], "left").select(
-            *by, "a", "label", F.least("_new", F.coalesce("_jump", "_new")).alias("_next")))
-        moved = nxt.filter("_next <> label").limit(1).count()
-        labels = nxt.select(*by, "a", F.col("_next").alias("label"))
+    edges = written(near.join(border, [*by, "y", "x"]).filter("a <> local").select(*by, "a", F.col("local").alias("b")).distinct())
+    labels = smallest_labels(edges, by)
     out = px.join(labels.withColumnRenamed("a", "local"), [*by, "local"], "left")
     return out.select(*wet.columns, F.coalesce("label", "local").alias("label"))
 
@@ -71,3 +62,29 @@ def component_stats(labelled: DataFrame, by, min_size: int = 4, peak: float = 1.
     size, top = F.count(F.lit(1)), F.max("v")
     return labelled.groupBy(*by, "label").agg(size.alias("size"), top.alias("peak"),
                                               ((size >= min_size) | (top >= peak)).alias("significant"))
+
+
+def smallest_labels(edges: DataFrame, by=()) -> DataFrame:
+    """(by, a, label): the smallest node reachable from each node of ``edges`` (by, a, b), which lists every edge both ways.
+
+    Each round: a node's label takes the smallest label of its neighbours, the root that its old label names takes what any
+    of its nodes has seen, and labels jump to their label's label. Written tables keep the optimizer's size estimates at the
+    size of files.
+    """
+    by, old, new = list(by), [], []
+    spark = edges.sparkSession
+    labels = written(edges.groupBy(*by, "a").agg(F.least(F.col("a"), F.min("b")).alias("label")), old)
+    while True:
+        near = edges.join(labels.select(*by, F.col("a").alias("b"), F.col("label").alias("_near")), [*by, "b"]).groupBy(*by, "a").agg(F.min("_near").alias("_near"))
+        seen = labels.join(near, [*by, "a"]).select(*by, "a", F.col("label").alias("_old"), F.least("label", "_near").alias("_low"))
+        hooked = seen.select(*by, F.col("_old").alias("a"), "_low").union(seen.select(*by, "a", "_low")).groupBy(*by, "a").agg(F.min("_low").alias("_low"))
+        step = written(seen.select(*by, "a", "_old").join(hooked, [*by, "a"]), new)
+        jump = step.select(*by, F.col("a").alias("_low"), F.col("_low").alias("_jump"))
+        after = written(step.join(jump, [*by, "_low"]).select(*by, "a", "_old", F.least("_low", "_jump").alias("label")), new)
+        moved = after.filter("_old <> label").limit(1).count()
+        dropped(spark, old)
+        dropped(spark, new[:1])
+        old, new = new[1:], []
+        labels = after.drop("_old")
+        if not moved:
+            return labels
