@@ -8,7 +8,7 @@
 4. Of buckets whose other members still lie in several components, these members meet each other too, in pairs of blocks
    of bounded members and shingles. A task compares a pair of blocks inside: size ratio, collision-corrected estimate, then the
    full sets; it keeps a small union-find, so what it emits is at most one link a member, never all pairs.
-5. Components follow from smallest labels and pointer jumping, until nothing changes.
+5. Components follow from smallest labels, hooking of roots and pointer jumping, until nothing changes.
 
 No candidate of a band is dropped; with 40 bands of 5 registers a pair at the threshold of 0.8 shares no band with a
 chance of about 1e-7, and the estimate lets pass what is less than six standard errors below the threshold.
@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..operators.components import smallest_labels
+from ..session import cut_lineage, written
 from . import hyperminhash as H
 from .text import as_bytes, shingle_sets, slices
 
@@ -179,16 +180,7 @@ def _blocks(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """fp, label: the smallest fingerprint reachable, for all that have a link. Runs until no label falls."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = cut_lineage(both)
-    labels = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    while True:
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("_near"))
-        step = labels.join(near, "a").select("a", F.col("label").alias("_old"), F.least("label", "_near").alias("_at"))
-        jump = labels.select(F.col("a").alias("_at"), F.col("label").alias("_jump"))
-        new = cut_lineage(step.join(jump, "_at").select("a", "_old", F.least("_at", "_jump").alias("label")))
-        if new.filter("_old <> label").isEmpty():
-            return new.select(F.col("a").alias("fp"), "label")
-        labels = new.select("a", "label")
+    return smallest_labels(written(both)).select(F.col("a").alias("fp"), "label")
 
 
 def _bit_map(keys: DataFrame) -> bytes:

@@ -7,6 +7,7 @@ import numpy as np
 from petrichor.llm import hyperminhash as H
 from petrichor.llm import near_dedup as D
 from petrichor.llm.text import shingle_sets, words
+from petrichor.operators import components as C
 
 
 def plain_set(text, width):
@@ -112,3 +113,37 @@ def test_registers_of_empty_and_small_sets():
     assert not regs[0].any() and (regs[1] != 0).sum() == 1
     keys = H.bands(regs, 5)
     assert keys.shape == (2, 40) and len(set(keys[1].tolist())) == 40
+
+
+def test_a_chain_of_a_thousand_links_takes_few_rounds(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain's length, and no table's size estimate grows from round to round."""
+    sizes = []
+    real = C.written
+
+    def watched(df, keep=None):
+        out = real(df, keep)
+        sizes.append(int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return out
+    monkeypatch.setattr(C, "written", watched)
+    names = [bytes(x) for x in np.random.default_rng(3).permutation(1001).astype(">u2").reshape(-1, 1).view(np.uint8)]
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a binary, b binary")
+    out = {bytes(r.fp): bytes(r.label) for r in D.components(links).collect()}
+    assert set(out) == set(names) and set(out.values()) == {min(names)}
+    assert len(sizes) < 2 * 14 + 2 and max(sizes) < 1 << 20
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of 4 to 60 shingles at or just above 0.8: none may be lost."""
+    rng, rows, pairs = random.Random(11), [], []
+    for k in range(3000):
+        n = rng.randint(9, 60)
+        base = [f"w{k}_{i}" for i in range(n)]
+        cut = max(0, int(2 * 0.2 / 1.8 * n * rng.uniform(0.3, 0.55)))
+        other = base[cut:] + [f"x{k}_{i}" for i in range(cut)]
+        one, two = plain_set(" ".join(base), 4), plain_set(" ".join(other), 4)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        if 100 * len(one & two) >= 80 * len(one | two):
+            pairs.append(2 * k)
+    out = {r.doc_id: r.component_id for r in D.groups(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert len(pairs) > 1000
+    assert [p for p in pairs if out[p + 1] != p] == []
