@@ -156,13 +156,17 @@ def rank_histogram(df: DataFrame, by, seed: int, key: Column) -> DataFrame:
     return df.groupBy(*by, rank.cast("int").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dispersion(spread: DataFrame, ranks: DataFrame, by, members: int, eps: float = 1e-12) -> DataFrame:
-    """ME13: log ratio of spread to error, and the reliability index; empty ranks count as zero frequency."""
+def dispersion(spread: DataFrame, ranks: DataFrame, by, members: int | str, eps: float = 1e-12) -> DataFrame:
+    """ME13: log ratio of spread to error, and the reliability index; empty ranks count as zero frequency.
+
+    ``members`` is the size of the ensemble, or the column of ``spread`` that has it.
+    """
     by = list(by)
     total = ranks.groupBy(*by).agg(F.sum("n").alias("_t"))
-    expect = 1.0 / (members + 1)
-    j = ranks.join(total, by)
-    ri = j.groupBy(*by).agg((F.sum(F.abs(F.col("n") / F.col("_t") - expect)) + (members + 1 - F.count(F.lit(1))) * expect).alias("ri"))
+    sized = spread.select(*by, (F.col(members) if isinstance(members, str) else F.lit(members)).cast("double").alias("_m"))
+    j = ranks.join(total, by).join(sized, by)
+    expect, size = 1.0 / (F.col("_m") + 1), F.max("_m")
+    ri = j.groupBy(*by).agg((F.sum(F.abs(F.col("n") / F.col("_t") - expect)) + (size + 1 - F.count(F.lit(1))) / (size + 1)).alias("ri"))
     essr = F.abs(F.ln(F.greatest(F.col("spread"), F.lit(eps)) / F.greatest(F.col("rmse"), F.lit(eps))))
     return spread.select(*by, essr.alias("e_ssr")).join(ri, by)
 

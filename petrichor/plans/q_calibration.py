@@ -95,9 +95,9 @@ def ag18(spark, sf):
 
 
 MEMB_SQL = f"""{EMB_SQL}, rc as (select distinct label, 0.01 * label as b, 1.1 as c from e),
-m0 as (select e.label, list_avg(m) as mm, list_var_samp(m) as s2, y, 1 + vec_id % 5 as w, b, c from e join rc using (label)),
+m0 as (select e.label, len(m) as nm, list_avg(m) as mm, list_var_samp(m) as s2, y, 1 + vec_id % 5 as w, b, c from e join rc using (label)),
 m1 as (select *, y - (b + c * mm) as e0 from m0), m2 as (select label, sum(w * e0) / sum(w) as d, abs(sum(w * e0) / sum(w)) / sqrt(sum(w * e0 * e0) / sum(w)) as bias_fraction from m1 group by label),
-m3 as (select label, any_value(d) as d, any_value(bias_fraction) as bias_fraction, sqrt(sum(w * (e0 - d) ** 2) / sum(w * (1 + 1 / 16) * c * c * s2)) as gamma from m1 join m2 using (label) group by label)"""
+m3 as (select label, any_value(d) as d, any_value(bias_fraction) as bias_fraction, sqrt(sum(w * (e0 - d) ** 2) / sum(w * (1 + 1 / nm) * c * c * s2)) as gamma from m1 join m2 using (label) group by label)"""
 
 
 @query("ag19_fit_sampler", f"with {MEMB_SQL} select label, round(d, 6) as d, round(bias_fraction, 6) as bias_fraction, round(gamma, 6) as gamma from m3")

@@ -15,6 +15,8 @@ from .registry import query
 
 C = F.col
 MIN, HIST, HOR, GAP, GUARD, LEADS = 15, 3, 6, 3, 1, 3
+#: Slots of three hours have whole windows however few events there are.
+COARSE = 180
 MASK = (1 << LEADS) - 1
 
 
@@ -23,17 +25,21 @@ def nominal(spark, sf):
     return MF.nominal_index(B.whole_slots(spark, sf, MIN), B.SPLITS, MIN, HIST, HOR, GAP, GUARD)
 
 
-def signatures(spark, sf):
+def signatures(spark, sf, minutes: int = MIN):
     """Condition per issue slot: without a source where the strongest event is a view."""
     top = F.max_by("event_type", F.struct("value", "event_id"))
-    return (B.table(spark, sf, "events").groupBy(T.slot_index("ts", MIN).alias("slot")).agg(top.alias("_p"))
+    return (B.table(spark, sf, "events").groupBy(T.slot_index("ts", minutes).alias("slot")).agg(top.alias("_p"))
             .select("slot", F.when(C("_p") != "view", B.SOURCE_SIG).otherwise(B.NULL_SIG).alias("condition_signature")))
 
 
+def indexed(spark, sf, kept, minutes: int):
+    return (MF.event_index(kept).join(signatures(spark, sf, minutes), "slot")
+            .withColumn("available_leads_mask", F.lit(MASK)).withColumn("stratum", F.lit("event")))
+
+
 @B.stored
 def index(spark, sf):
-    return (MF.event_index(nominal(spark, sf)).join(signatures(spark, sf), "slot")
-            .withColumn("available_leads_mask", F.lit(MASK)).withColumn("stratum", F.lit("event")))
+    return indexed(spark, sf, nominal(spark, sf), MIN)
 
 
 @B.stored
@@ -41,33 +47,53 @@ def items(spark, sf):
     return MF.attach_folds(MF.expand_items(MF.split_probabilities(index(spark, sf))))
 
 
+@B.stored
+def coarse_index(spark, sf):
+    """The event index of three-hour slots: training items at every scale."""
+    return indexed(spark, sf, MF.nominal_index(B.whole_slots(spark, sf, COARSE), B.SPLITS, COARSE, HIST, HOR, GAP, GUARD), COARSE)
+
+
+@B.stored
+def coarse_items(spark, sf):
+    return MF.attach_folds(MF.expand_items(MF.split_probabilities(coarse_index(spark, sf))))
+
+
 IDENT = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
-NOMINAL_SQL = f"""{B.whole_slots_sql(MIN)}, {B.SPLITS_SQL},
+
+def nominal_sql(minutes=MIN):
+    k = minutes // MF.TICK
+    return f"""{B.whole_slots_sql(minutes)}, {B.SPLITS_SQL},
 runs as (select min(slot) as run_start, max(slot) as run_end, count(*) as run_len
          from (select slot, slot - row_number() over (order by slot) as g from slots) group by g),
-seeds as (select 'all' as source, run_start * 3 as s, run_end * 3 as e from runs), {merge_sql('seeds', GAP, 'm1')},
+seeds as (select 'all' as source, run_start * {k} as s, run_end * {k} as e from runs), {merge_sql('seeds', GAP, 'm1')},
 wide as (select source, s - {GUARD} as s, e + {GUARD} as e, n_seeds from m1), {merge_sql('wide', 0, 'm2', 'sum(n_seeds)')},
 blocks as (select s, e, 'event-' || substr(sha256({IDENT.format(B.slot_ts_sql('s', 5))} || '|' ||
    {IDENT.format(B.slot_ts_sql('e', 5))}), 1, 16) as block_id from m2),
 iss as (select unnest(range(run_start + {HIST - 1}, run_end - {HOR} + 1)) as slot from runs where run_len >= {HIST + HOR}),
-dep as (select slot, {B.slot_ts_sql('slot', MIN)} as t0_utc, {B.slot_ts_sql(f'slot - {HIST - 1}', MIN)} as dependency_start_utc,
-   {B.slot_ts_sql(f'slot + {HOR}', MIN)} as dependency_end_utc from iss),
+dep as (select slot, {B.slot_ts_sql('slot', minutes)} as t0_utc, {B.slot_ts_sql(f'slot - {HIST - 1}', minutes)} as dependency_start_utc,
+   {B.slot_ts_sql(f'slot + {HOR}', minutes)} as dependency_end_utc from iss),
 nom as (select dep.*, blocks.block_id, sp.name as nominal, sp.rank from dep
-  left join blocks on blocks.s <= (slot - {HIST - 1}) * 3 and (slot + {HOR}) * 3 <= blocks.e
+  left join blocks on blocks.s <= (slot - {HIST - 1}) * {k} and (slot + {HOR}) * {k} <= blocks.e
   left join splits sp on dependency_start_utc >= sp.s and dependency_end_utc < sp.e),
 best as (select block_id, arg_min(nominal, rank) as split from nom where nominal is not null group by block_id),
 nominal as (select nom.*, best.split, case when nominal is null then 'embargoed' when nominal <> best.split then 'cross_split'
   else 'kept' end as status from nom left join best using (block_id))"""
-SIGS_SQL = f"""sigs as (select epoch_us(ts) // {MIN * 60_000_000} as slot, case when arg_max(event_type, (value, event_id)) <> 'view'
+
+
+def index_sql(minutes=MIN):
+    sigs = f"""sigs as (select epoch_us(ts) // {minutes * 60_000_000} as slot, case when arg_max(event_type, (value, event_id)) <> 'view'
  then '{B.SOURCE_SIG}' else '{B.NULL_SIG}' end as condition_signature from events group by 1)"""
-INDEX_SQL = f"""{NOMINAL_SQL}, {SIGS_SQL}, idx as (select nominal.slot, t0_utc, dependency_start_utc, dependency_end_utc, block_id, split,
+    return f"""{nominal_sql(minutes)}, {sigs}, idx as (select nominal.slot, t0_utc, dependency_start_utc, dependency_end_utc, block_id, split,
  condition_signature, {MASK} as available_leads_mask, 'event' as stratum from nominal join sigs using (slot) where status = 'kept')"""
+
+
+NOMINAL_SQL, INDEX_SQL = nominal_sql(), index_sql()
 SID_SQL = ("substr(sha256(" + IDENT.format("t0_utc") + " || '|' || printf('%.1f', lead_hours) || '|' || condition_signature), 1, 24)")
 
 
-def items_sql(policy="block_balanced"):
+def items_sql(policy="block_balanced", minutes=MIN):
     draw = "1.0::double / (ps.nblocks * pb.nb)" if policy == "block_balanced" else "1.0::double / ps.ns"
-    return f"""{INDEX_SQL},
+    return f"""{index_sql(minutes)},
 pb as (select split, block_id, count(*) * {LEADS} as nb from idx group by all),
 ps as (select split, sum(nb)::bigint as ns, count(*) as nblocks from pb group by all),
 fb as (select block_id, nb as size, row_number() over (order by nb desc, sha256('11103' || chr(0) || block_id)) as rn

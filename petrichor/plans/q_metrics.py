@@ -29,7 +29,7 @@ def s6(cols):
     return ", ".join(f"round({c}, 6) as {c}" for c in cols)
 
 
-MM = f"""{EMB_SQL}, mm as (select *, list_avg(m) as mean, list_sort(m)[8] as med, list_var_samp(m) as s2 from e)"""
+MM = f"""{EMB_SQL}, mm as (select *, list_avg(m) as mean, list_sort(m)[(len(m) - 1) // 2 + 1] as med, list_var_samp(m) as s2 from e)"""
 
 
 @query("me01_continuous_errors", f"""with {MM} select label, count(*) as n, round(avg(abs(med - y)), 6) as mae, round(sqrt(avg((mean - y) ** 2)), 6) as rmse, round(avg(mean - y), 6) as bias, round(sum(mean), 6) as total from mm group by 1""")
@@ -85,8 +85,8 @@ def me03(spark, sf):
 
 
 @query("me04_fair_crps", f"""with {EMB_SQL}, a as (select vec_id, label, y, m, unnest(m) as v from e), b as (select vec_id, label, y, any_value(m) as m, avg(abs(v - y)) as err from a group by all),
-p as (select vec_id, label, err, (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) as pr from b)
-select vec_id, label, round(err - pr / (16 * 15), 6) as crps from p""")
+p as (select vec_id, label, err, len(m) as n, (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) as pr from b)
+select vec_id, label, round(err - pr / (n * (n - 1)), 6) as crps from p""")
 def me04(spark, sf):
     return members(spark, sf).select("vec_id", "label", r6(M.fair_crps(C("m"), C("y"))).alias("crps"))
 
@@ -103,7 +103,7 @@ def me05(spark, sf):
 
 
 CR_SQL = """cr as (select label, vec_id, avg(abs(v - y)) as err, any_value(m) as m, any_value(y) as y from (select *, unnest(m) as v from e) group by all),
-sc as (select label, avg(err - (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) / 240) as model, avg(abs(m[1] - y)) as ref from cr group by label)"""
+sc as (select label, avg(err - (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) / (len(m) * (len(m) - 1))) as model, avg(abs(m[1] - y)) as ref from cr group by label)"""
 
 
 @query("me06_crpss", f"with {EMB_SQL}, {CR_SQL} select label, round(model, 6) as model, round(ref, 6) as reference, round(1 - model / ref, 6) as skill from sc")
@@ -153,7 +153,7 @@ def me10(spark, sf):
     return r6s(out, ["cold", "lead", "season", "solar_bin", "level", "n"], ["gap", "abs_gap"])
 
 
-@query("me11_spread_skill", f"""with {MM} select label, ((y >= 0)::int + (y >= 0.1)::int)::int as intensity, round(sqrt(avg((1 + 1 / 16) * s2)), 6) as spread, round(sqrt(avg((mean - y) ** 2)), 6) as rmse, count(*) as n from mm group by all""")
+@query("me11_spread_skill", f"""with {MM} select label, ((y >= 0)::int + (y >= 0.1)::int)::int as intensity, round(sqrt(avg((1 + 1 / len(m)) * s2)), 6) as spread, round(sqrt(avg((mean - y) ** 2)), 6) as rmse, count(*) as n from mm group by all""")
 def me11(spark, sf):
     d = members(spark, sf).withColumn("intensity", T.intensity_bin(C("y"), (0.0, 0.1)))
     return r6s(ME.spread_skill(d, ["label", "intensity"]), ["label", "intensity", "n"], ["spread", "rmse"])
@@ -173,15 +173,17 @@ def me12(spark, sf):
     return ME.rank_histogram(tied(spark, sf), ["label"], 11, C("vec_id"))
 
 
-@query("me13_dispersion", f"""with {TIE_SQL}, tt as (select label, sum(n) as t, count(*) as k from rh group by 1), ri as (select label, sum(abs(n / t - 1 / 17)) + (17 - any_value(k)) / 17 as ri from rh join tt using (label) group by 1),
-sp as (select label, sqrt(avg((1 + 1 / 16) * list_var_samp(m))) as s, sqrt(avg((list_avg(m) - y) ** 2)) as r from e group by 1)
+@query("me13_dispersion", f"""with {TIE_SQL}, ne as (select label, max(len(m)) + 1 as ranks from e group by 1), tt as (select label, sum(n) as t, count(*) as k from rh group by 1), ri as (select label, sum(abs(n / t - 1 / ranks)) + (any_value(ranks) - any_value(k)) / any_value(ranks) as ri from rh join tt using (label) join ne using (label) group by 1),
+sp as (select label, sqrt(avg((1 + 1 / len(m)) * list_var_samp(m))) as s, sqrt(avg((list_avg(m) - y) ** 2)) as r from e group by 1)
 select label, round(abs(ln(s / r)), 6) as e_ssr, round(ri, 6) as ri from sp join ri using (label)""")
 def me13(spark, sf):
-    d = ME.dispersion(ME.spread_skill(members(spark, sf), ["label"]), ME.rank_histogram(tied(spark, sf), ["label"], 11, C("vec_id")), ["label"], 16)
+    m = members(spark, sf)
+    spread = ME.spread_skill(m, ["label"]).join(m.groupBy("label").agg(F.max(F.size("m")).alias("members")), "label")
+    d = ME.dispersion(spread, ME.rank_histogram(tied(spark, sf), ["label"], 11, C("vec_id")), ["label"], "members")
     return r6s(d, ["label"], ["e_ssr", "ri"])
 
 
-@query("me14_tail", f"""with {EMB_SQL}, t as (select label, avg(len(list_filter(m, lambda v: v >= 0.1)) / 16) as f_pred, avg((y >= 0.1)::int) as f_obs, quantile_cont(y, 0.9) as q90, quantile_cont(y, 0.99) as q99 from e group by 1)
+@query("me14_tail", f"""with {EMB_SQL}, t as (select label, avg(len(list_filter(m, lambda v: v >= 0.1)) / len(m)) as f_pred, avg((y >= 0.1)::int) as f_obs, quantile_cont(y, 0.9) as q90, quantile_cont(y, 0.99) as q99 from e group by 1)
 select label, round(f_pred, 6) as f_pred, round(f_obs, 6) as f_obs, round(abs(f_pred - f_obs), 6) as e_freq, round(q90, 6) as q90, round(q99, 6) as q99 from t""")
 def me14(spark, sf):
     m = members(spark, sf)

@@ -11,7 +11,7 @@ from ..operators import sets as ST
 from ..sources import bundle as BU
 from ..streaming.streams import scratch
 from . import bindings as B
-from .q_manifest import index, items, items_sql, w
+from .q_manifest import COARSE, MIN, coarse_index, coarse_items, index, items, items_sql, w
 from .q_scalars import uniform_sql
 from .registry import query
 
@@ -25,6 +25,17 @@ def cands(spark, sf):
         items(spark, sf).select("sample_id", "p_draw", "omega"), "sample_id")
 
 
+@B.stored
+def coarse_cands(spark, sf):
+    return ST.draw_candidates(coarse_items(spark, sf), "outer_train").join(coarse_items(spark, sf).select("sample_id", "p_draw", "omega"), "sample_id")
+
+
+@B.stored
+def coarse_draws(spark, sf):
+    c = coarse_cands(spark, sf)
+    return SA.draw_from_cdf(c, max(1, c.count()), SEED, PURPOSE)
+
+
 @B.stored
 def draws(spark, sf):
     """One epoch with replacement: as many draws as candidates."""
@@ -37,21 +48,34 @@ def augmented(spark, sf):
     return SA.materialize_signatures(draws(spark, sf), B.POLICY, B.NULL_SIG, SEED, SIG_PURPOSE)
 
 
-CDF_SQL = f"""{items_sql()}, cand as (select * from items where split = 'outer_train'),
+def cdf_sql(minutes=MIN):
+    return f"""{items_sql(minutes=minutes)}, cand as (select * from items where split = 'outer_train'),
 cdf0 as (select *, row_number() over o as rn, count(*) over () as n, sum(p_draw) over (order by t0_utc, lead_hours, condition_signature rows unbounded preceding) as hi0 from cand
   window o as (order by t0_utc, lead_hours, condition_signature)),
 cdf as (select *, coalesce(lag(hi0) over (order by rn), 0) as lo, case when rn = n then 1.0 else hi0 end as hi from cdf0)"""
-DRAWS_SQL = f"""{CDF_SQL}, us as (select i as global_example_index, {uniform_sql(SEED, PURPOSE, 'i')} as u from
+
+
+def draws_sql(minutes=MIN):
+    return f"""{cdf_sql(minutes)}, us as (select i as global_example_index, {uniform_sql(SEED, PURPOSE, 'i')} as u from
   (select unnest(range((select count(*) from cand))) as i)),
 draws as (select us.global_example_index, cdf.* exclude (lo, hi, hi0, rn, n) from us join cdf on lo <= u and u < hi)"""
+
+
 SID = ("substr(sha256(strftime(t0_utc, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || printf('%.1f', lead_hours) || '|' || {0}), 1, 24)")
-AUG_SQL = f"""{DRAWS_SQL}, {B.POLICY_SQL},
+
+
+def aug_sql(minutes=MIN):
+    return f"""{draws_sql(minutes)}, {B.POLICY_SQL},
 pick as (select draws.*, {uniform_sql(SEED, SIG_PURPOSE, 'global_example_index')} as u2 from draws),
 sel as (select pick.* exclude (u2), case when condition_signature = '{B.NULL_SIG}' then 2 when u2 < 0.25 then 0 when u2 < 0.75 then 1 else 2 end as ord from pick),
 aug as (select s.global_example_index, s.t0_utc, s.lead_hours, p.sig as condition_signature, s.block_id, s.stratum, s.split, s.fold_id,
   s.p_target * case when s.condition_signature = '{B.NULL_SIG}' then 1 else p.pt end as p_target,
   s.p_draw * case when s.condition_signature = '{B.NULL_SIG}' then 1 else p.pd end as p_draw, s.omega,
   {SID.format('p.sig').replace('t0_utc', 's.t0_utc').replace('lead_hours', 's.lead_hours')} as sample_id from sel s join policy p on p.ord = s.ord)"""
+
+
+CDF_SQL, DRAWS_SQL, AUG_SQL = cdf_sql(), draws_sql(), aug_sql()
+COARSE_DRAWS_SQL = draws_sql(COARSE)
 SHOW = "global_example_index, sample_id, condition_signature, block_id, round(p_target * 1e3, 6) as pt, round(p_draw * 1e3, 6) as pd, round(omega, 6) as om"
 
 
@@ -210,25 +234,25 @@ BUNDLE_SPLIT = "outer_train"
 
 
 def bundle(spark, sf, name: str):
-    n = items(spark, sf).filter(C("split") == BUNDLE_SPLIT).count()
-    return BU.build_training_bundle(index(spark, sf), items(spark, sf), scratch(spark, name) + "/t", BUNDLE_SPLIT, SEED, PURPOSE, max(1, n), (256, 256), 1 << 50)
+    n = coarse_items(spark, sf).filter(C("split") == BUNDLE_SPLIT).count()
+    return BU.build_training_bundle(coarse_index(spark, sf), coarse_items(spark, sf), scratch(spark, name) + "/t", BUNDLE_SPLIT, SEED, PURPOSE, max(1, n), (256, 256), 1 << 50)
 
 
-@query("it07_training_bundle_rows", w(DRAWS_SQL, f"select {SHOW} from draws", True))
+@query("it07_training_bundle_rows", w(COARSE_DRAWS_SQL, f"select {SHOW} from draws", True))
 def it07_rows(spark, sf):
     """Audit, draw, budget and publication in one call; the rows come back from the published files."""
     return show(bundle(spark, sf, "bundle07")["draws"])
 
 
-@query("it07_bundle_budget", w(DRAWS_SQL, "select count(*) as unique_items, count(*) * 524288 as dense_bytes from (select distinct t0_utc, lead_hours, condition_signature from draws)", True))
+@query("it07_bundle_budget", w(COARSE_DRAWS_SQL, "select count(*) as unique_items, count(*) * 524288 as dense_bytes from (select distinct t0_utc, lead_hours, condition_signature from draws)", True))
 def it07_budget(spark, sf):
     return bundle(spark, sf, "bundle07b")["budget"]
 
 
-@query("it08_augmented_bundle_rows", w(AUG_SQL, f"select {SHOW} from aug", True))
+@query("it08_augmented_bundle_rows", w(aug_sql(COARSE), f"select {SHOW} from aug", True))
 def it08_rows(spark, sf):
     """One policy signature a draw, published and read back."""
-    hold = items(spark, sf).filter(F.coalesce(C("split") != BUNDLE_SPLIT, F.lit(True)))
+    hold = coarse_items(spark, sf).filter(F.coalesce(C("split") != BUNDLE_SPLIT, F.lit(True)))
     made = BU.augment_bundle(bundle(spark, sf, "bundle08"), hold, scratch(spark, "augmented08") + "/t", B.POLICY, B.SOURCE_SIG, B.TP_OFF_SIG, B.NULL_SIG, SEED, SIG_PURPOSE)
     return show(made["draws"])
 
@@ -255,22 +279,22 @@ def it08(spark, sf):
         "condition_signature", "split", "block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("va02_damaged_manifest", w(DRAWS_SQL, """ select 'omega' as rule, count(*) as n from draws where lead_hours <= 1.5 union all
+@query("va02_damaged_manifest", w(COARSE_DRAWS_SQL, """ select 'omega' as rule, count(*) as n from draws where lead_hours <= 1.5 union all
  select 'probability', count(*) from draws where lead_hours = 1.5 union all select 'empty', 1""", True))
 def va02_damaged(spark, sf):
     """Null and NaN weights, an infinite probability, and an empty manifest are all named."""
-    lead, d = C("lead_hours"), draws(spark, sf)
+    lead , d = C("lead_hours"), coarse_draws(spark, sf)
     bad = (d.withColumn("omega", F.when(lead == 0.5, F.lit(None)).when(lead == 1.0, F.lit(float("nan"))).otherwise(C("omega")))
            .withColumn("p_draw", F.when(lead == 1.5, F.lit(float("inf"))).otherwise(C("p_draw"))))
     return SA.draw_violations(bad).unionByName(SA.draw_violations(d.limit(0))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("va02_candidate_draw_contracts", w(DRAWS_SQL, """, v as (select 'omega' as rule, count(*) as n from draws where lead_hours = 1.5 union all
+@query("va02_candidate_draw_contracts", w(COARSE_DRAWS_SQL, """, v as (select 'omega' as rule, count(*) as n from draws where lead_hours = 1.5 union all
  select 'duplicate_sample_id', count(*) from cand) select rule, n from v where n > 0""", True))
 def va02(spark, sf):
-    c = cands(spark, sf)
-    bad_draws = draws(spark, sf).withColumn("omega", F.when(C("lead_hours") == 1.5, C("omega") * 1.01).otherwise(C("omega")))
+    c = coarse_cands(spark, sf)
+    bad_draws = coarse_draws(spark, sf).withColumn("omega", F.when(C("lead_hours") == 1.5, C("omega") * 1.01).otherwise(C("omega")))
     doubled = c.unionByName(c.withColumn("lead_hours", C("lead_hours") + 6)).withColumn("p_target", C("p_target") / 2)
     return (SA.draw_violations(bad_draws).unionByName(SA.candidate_violations(doubled))
-            .unionByName(SA.draw_violations(draws(spark, sf))).unionByName(SA.candidate_violations(c))
+            .unionByName(SA.draw_violations(coarse_draws(spark, sf))).unionByName(SA.candidate_violations(c))
             .groupBy("rule").agg(F.count(F.lit(1)).alias("n")))

@@ -288,14 +288,14 @@ def pr28(spark, sf):
         "c_custkey", r6(G.shared_coord(C("x"), C("cx"))).alias("sx"), r6(G.shared_coord(C("y"), C("cy"))).alias("sy"))
 
 
-# ensemble members: first 16 entries of the embedding, observation = entry 17
-EMB_SQL = "e as (select vec_id, label, list_transform(embedding[1:16], lambda v: v::double) as m, embedding[17]::double as y from embeddings)"
+# ensemble members: all entries of the embedding but the last, which is the observation
+EMB_SQL = "e as (select vec_id, label, list_transform(embedding[1:len(embedding) - 1], lambda v: v::double) as m, embedding[len(embedding)]::double as y from embeddings)"
 
 
 def members(spark, sf):
     return B.table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 16).alias("m"),
-        F.element_at("embedding", 17).cast("double").alias("y"))
+        "vec_id", "label", F.slice(F.transform("embedding", lambda v: v.cast("double")), F.lit(1), F.greatest(F.size("embedding") - 1, F.lit(0))).alias("m"),
+        F.get("embedding", F.size("embedding") - 1).cast("double").alias("y"))
 
 
 CAL = dict(scale=2.0, b=0.05, d=0.01, c=1.2, gamma=0.9)
@@ -314,13 +314,13 @@ def pr32(spark, sf):
                     F.size(F.filter("a", lambda x: x == 0)).cast("long").alias("dry_members"))
 
 
-@query("pr33_lower_median", f"with {EMB_SQL} select vec_id, round(list_sort(m)[8], 6) as med from e")
+@query("pr33_lower_median", f"with {EMB_SQL} select vec_id, round(list_sort(m)[(len(m) - 1) // 2 + 1], 6) as med from e")
 def pr33(spark, sf):
     return members(spark, sf).select("vec_id", r6(M.lower_median(C("m"))).alias("med"))
 
 
 @query("pr34_exceed_fraction", f"""with {EMB_SQL} select vec_id, {', '.join(
-    f"len(list_filter(m, lambda v: v >= {t})) / 16 as f_{i}" for i, t in enumerate((0.01, 0.05, 0.1)))} from e""")
+    f"len(list_filter(m, lambda v: v >= {t})) / len(m) as f_{i}" for i, t in enumerate((0.01, 0.05, 0.1)))} from e""")
 def pr34(spark, sf):
     return members(spark, sf).select("vec_id", *[M.exceed_fraction(C("m"), t).alias(f"f_{i}")
                                                  for i, t in enumerate((0.01, 0.05, 0.1))])

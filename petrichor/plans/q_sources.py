@@ -183,7 +183,7 @@ def ud02(spark, sf):
 
 
 @query("ud02_sql_member_functions", f"""with {EMB_SQL}, b as (select vec_id, m, y, list_avg(list_transform(m, lambda v: abs(v - y))) as err from e)
-select vec_id, round(list_sort(m)[8], 6) as med, round(err - (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) / 240, 6) as crps from b""")
+select vec_id, round(list_sort(m)[(len(m) - 1) // 2 + 1], 6) as med, round(err - (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) / (len(m) * (len(m) - 1)), 6) as crps from b""")
 def ud02b(spark, sf):
     SQLF.register(spark)
     return members(spark, sf).selectExpr("vec_id", "round(lower_median(m), 6) + 0D AS med", "round(fair_crps(m, y), 6) + 0D AS crps")
