@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.time import micros
 from ..session import ensure_checkpoint_dir
@@ -26,8 +27,12 @@ def event_time(col: str = "ts") -> Column:
 
 
 def stream_scans(raw: DataFrame, minutes: int, delay: str, keys=("source", "slot", "y", "x")) -> DataFrame:
-    """ST01: slot-stamped scans, one row per (source, slot, pixel) within the watermark."""
-    return raw.withWatermark("t", delay).dropDuplicatesWithinWatermark(list(keys))
+    """ST01: scans with the number of their slot of ``minutes``, one row per (source, slot, pixel) within the watermark.
+
+    A scan without time has no slot and is left out.
+    """
+    stamped = raw.filter("t IS NOT NULL").withColumn("slot", F.floor(F.unix_micros("t") / (minutes * 60_000_000)))
+    return stamped.withWatermark("t", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def edge_twice(scans: DataFrame, step_minutes: int, window_minutes: int) -> DataFrame:
@@ -80,6 +85,61 @@ def stream_enrich(scans: DataFrame, static: DataFrame, on) -> DataFrame:
     return scans.join(static, on, "left")
 
 
+LATEST_OUTPUT = "key long, id long, t_us long, cycle_us long, value double"
+LATEST_STATE = "ids array<long>, times array<long>, cycles array<long>, values array<double>"
+
+
+def _latest(max_age_us: int) -> Callable:
+    """Scans wait until the watermark has passed them, so that a cycle published late still counts; then each takes the last cycle."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        ids, times, cycles, values = state.get if state.exists else ([], [], [], [])
+        waiting = list(zip(times, ids))
+        known = dict(zip(cycles, values))
+        for pdf in batches:
+            for t, i, cycle, v in zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["is_cycle"].tolist(), pdf["value"].tolist()):
+                if cycle:
+                    known[t] = max(v, known.get(t, v))  # several of one instant: the largest, whatever the order
+                else:
+                    waiting.append((t, i))
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(x for x in waiting if x[0] < mark)
+        waiting = sorted(x for x in waiting if x[0] >= mark)
+        order, out, at = sorted(known), [], -1
+        for t, i in ready:
+            while at + 1 < len(order) and order[at + 1] <= t:
+                at += 1
+            fresh = at >= 0 and t - order[at] <= max_age_us
+            out.append((key[0], i, t, order[at] if fresh else -1, known[order[at]] if fresh else 0.0))
+        # what no scan from the watermark on can take is let go: cycles older than the age, and all but the last before the mark
+        passed = [c for c in order if c <= mark]
+        kept = [c for c in passed[-1:] if mark - c <= max_age_us] + order[len(passed):]
+        if waiting or kept:
+            state.update(([i for _, i in waiting], [t for t, _ in waiting], kept, [known[c] for c in kept]))
+            wake = waiting[0][0] if waiting else kept[-1] + max_age_us
+            state.setTimeoutTimestamp(max(wake // 1000, mark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", "t_us", "cycle_us", "value"])
+    return run
+
+
+def stream_latest_cycle(scans: DataFrame, cycles: DataFrame, delay: str, max_age_s: int) -> DataFrame:
+    """ST08: each scan (key, id, t) with the last cycle (key, t, value) at or before it that is not older than ``max_age_s``.
+
+    Both streams are one, dealt by key. A scan is given out when the watermark has passed it, so cycles that come up to
+    ``delay`` late count. State of a key: the scans of the delay, the cycles from the watermark on and the last before it, which
+    expires with its age; a timer wakes keys that get no more rows.
+    """
+    a = scans.select("key", "t", "id", F.lit(False).alias("is_cycle"), F.lit(None).cast("double").alias("value"))
+    b = cycles.select("key", "t", F.lit(None).cast("long").alias("id"), F.lit(True).alias("is_cycle"), "value")
+    both = a.unionByName(b).filter("t IS NOT NULL AND key IS NOT NULL AND (NOT is_cycle OR value IS NOT NULL)").withWatermark("t", delay)
+    both = both.select("key", "t", "is_cycle", F.unix_micros("t").alias("us"), F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    out = both.groupBy("key").applyInPandasWithState(_latest(max_age_s * 1_000_000), LATEST_OUTPUT, LATEST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    found = F.col("cycle_us") >= 0
+    return out.select("key", "id", F.timestamp_micros("t_us").alias("t"), F.when(found, F.timestamp_micros("cycle_us")).alias("cycle"), F.when(found, F.col("value")).alias("value"))
+
+
 def stream_pair(left: DataFrame, right: DataFrame, delay: str, within: str, key: str) -> DataFrame:
     """ST08: stream-stream interval join, both sides watermarked: state is dropped after the interval."""
     a = left.withWatermark("lt", delay).alias("a")
@@ -89,19 +149,31 @@ def stream_pair(left: DataFrame, right: DataFrame, delay: str, within: str, key:
 
 
 # --- ST05 ------------------------------------------------------------------------------------------------
-TRIGGER_OUTPUT = "domain string, opened timestamp, closed timestamp, slots long"
-TRIGGER_STATE = "recent array<long>, opened long, until long, slots long"
+TRIGGER_OUTPUT = "domain string, opened_s long, closed_s long, slots long"
+TRIGGER_STATE = "pending array<long>, peaks array<double>, recent array<long>, opened long, until long, slots long"
+
+
+def _folded(slot_s: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Scans (domain, us, r) folded to the peak and the last instant of each slot, before any are shuffled."""
+    def run(batches):
+        for pdf in batches:
+            d = pdf.assign(slot=pdf["us"] // (slot_s * 1_000_000) * slot_s)
+            yield d.groupby(["domain", "slot"], as_index=False).agg(us=("us", "max"), r=("r", "max"))[["domain", "slot", "us", "r"]]
+    return run
 
 
-def _trigger(look_s: int, need: int, collect_s: int) -> Callable:
-    def run(key, batches: Iterator[pd.DataFrame], state):
-        # a batch holds one row per slot of the domain, so this stays small
-        recent, opened, until, slots = ([], -1, -1, 0) if not state.exists else state.get
-        recent, out = list(recent), []
-        rows = sorted({(int(t.timestamp()), bool(a)) for pdf in batches for t, a in zip(pdf["t"], pdf["active"])})
-        for t, active in rows:
+def _trigger(slot_s: int, look_s: int, need: int, collect_s: int, threshold: float) -> Callable:
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        pending, peaks, recent, opened, until, slots = state.get if state.exists else ([], [], [], -1, -1, 0)
+        waiting, recent, out = dict(zip(pending, peaks)), list(recent), []
+        for pdf in batches:
+            for slot, r in zip(pdf["slot"].tolist(), pdf["r"].tolist()):
+                waiting[slot] = max(r, waiting.get(slot, r))
+        mark = state.getCurrentWatermarkMs() / 1000
+        for t in sorted(s for s in waiting if s + slot_s < mark):  # whole slots only, in order, whatever order they came in
+            active = waiting.pop(t) >= threshold
             if opened >= 0 and t > until:
-                out.append((key[0], pd.Timestamp(opened, unit="s"), pd.Timestamp(until, unit="s"), slots))
+                out.append((key[0], opened, until, slots))
                 opened, until, slots = -1, -1, 0
             recent = [s for s in recent if s > t - look_s]
             if opened < 0 and len(recent) >= need:  # decided from the past alone
@@ -111,42 +183,83 @@ def _trigger(look_s: int, need: int, collect_s: int) -> Callable:
                 until = max(until, t + collect_s) if active else until
             if active:
                 recent.append(t)
-        state.update((recent, opened, until, slots))
+        if opened >= 0 and until + slot_s < mark:  # the timer: no slot came that would close it
+            out.append((key[0], opened, until, slots))
+            opened, until, slots = -1, -1, 0
+        recent = [s for s in recent if s > mark - slot_s - look_s]
+        order = sorted(waiting)
+        if waiting or recent or opened >= 0:
+            state.update((order, [waiting[t] for t in order], recent, opened, until, slots))
+            wake = min([t + slot_s for t in order[:1]] + [until + slot_s] * (opened >= 0) + [max(recent, default=0) + look_s + slot_s] * (not order and opened < 0))
+            state.setTimeoutTimestamp(int(max(wake * 1000, mark * 1000 + 1)))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["domain", "opened", "closed", "slots"])
+            yield pd.DataFrame(out, columns=["domain", "opened_s", "closed_s", "slots"])
     return run
 
 
-def stream_trigger(activity: DataFrame, look: int = 3 * 3600, need: int = 2, collect: int = 9 * 3600) -> DataFrame:
-    """ST05: per domain keep the last hours of active slots, open a collection from past slots only, hold it for
-    at least ``collect`` seconds after the last active slot. Input: (domain, t, active), one row per slot, so the
-    state of a domain is bounded by the slots of ``look`` seconds."""
-    return activity.groupBy("domain").applyInPandasWithState(
-        _trigger(look, need, collect), TRIGGER_OUTPUT, TRIGGER_STATE, "append", "NoTimeout")
+def stream_trigger(scans: DataFrame, slot: int, delay: str, threshold: float, look: int = 3 * 3600, need: int = 2, collect: int = 9 * 3600) -> DataFrame:
+    """ST05: open a collection for a domain after ``need`` active slots in the last ``look`` seconds, from the past alone, and hold it
+    for at least ``collect`` seconds after the last active slot. Input: scans (domain, t, r); a slot of ``slot`` seconds is active if
+    its peak reaches ``threshold``.
+
+    Slots wait in the state until the watermark has passed them, so their order of arrival doesn't matter. A timer closes a
+    collection when the watermark passes its end, without a later slot. State of a domain: the slots of ``delay`` and
+    ``look``; a domain that is quiet and has nothing open has none.
+    """
+    slim = scans.select("domain", F.unix_micros("t").alias("us"), "r").filter("domain IS NOT NULL AND us IS NOT NULL AND r IS NOT NULL")
+    slots = slim.mapInPandas(_folded(slot), "domain string, slot long, us long, r double")
+    out = (slots.withColumn("t", F.timestamp_micros("us")).withWatermark("t", delay).groupBy("domain").applyInPandasWithState(
+        _trigger(slot, look, need, collect, threshold), TRIGGER_OUTPUT, TRIGGER_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select("domain", F.timestamp_seconds("opened_s").alias("opened"), F.timestamp_seconds("closed_s").alias("closed"), "slots")
 
 
 # --- sinks -------------------------------------------------------------------------------------------------
 def late_report(sink: str, slot_minutes: int, allowed_s: int) -> Callable[[DataFrame, int], None]:
-    """ST06: for foreachBatch; counts rows per slot that arrive more than ``allowed_s`` after the newest seen so far.
+    """ST06: for foreachBatch; counts rows per slot that arrive more than ``allowed_s`` after the newest of all earlier batches.
 
-    The newest time is kept next to the counts as a table, so the report survives a restart.
+    Each batch owns a folder by its number in both tables, counts and newest times, and overwrites it: a batch that is run again
+    after a failure leaves what it left the first time, as it looks at lower numbers only.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = f"{sink}/newest"
-        try:
-            before = spark.read.parquet(seen).agg(F.max("newest")).first()[0]
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            before = None
-        limit = F.lit(before) - F.expr(f"INTERVAL {allowed_s} SECONDS") if before is not None else F.lit(None).cast("timestamp")
-        late = F.coalesce(F.col("t") < limit, F.lit(False))
+        before = None
+        if batch_id > 0:
+            lower = spark.read.schema("newest timestamp, batch_id long").parquet(f"{sink}/newest").filter(F.col("batch_id") < batch_id)
+            before = lower.agg(F.max(F.unix_micros("newest")).alias("us")).first()["us"]
+        late = F.lit(False) if before is None else F.coalesce(F.unix_micros("t") < F.lit(before - allowed_s * 1_000_000), F.lit(False))
         (batch.groupBy(F.window("t", f"{slot_minutes} minutes").start.alias("slot"))
          .agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"))
-         .withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{sink}/report"))
-        batch.agg(F.max("t").alias("newest")).filter("newest is not null").write.mode("append").parquet(seen)
+         .write.mode("overwrite").parquet(f"{sink}/report/batch_id={batch_id}"))
+        batch.agg(F.max("t").alias("newest")).write.mode("overwrite").parquet(f"{sink}/newest/batch_id={batch_id}")
     return run
 
 
+def late_table(spark: SparkSession, sink: str) -> DataFrame:
+    """Counts of all batches per slot."""
+    rows = spark.read.schema("slot timestamp, rows long, late long, batch_id long").parquet(f"{sink}/report")
+    return rows.groupBy("slot").agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
+
+
+def arriving(spark: SparkSession, parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], name: str,
+             each: Callable[[str], Callable[[DataFrame, int], None]] | None = None) -> str:
+    """Let ``parts`` arrive one after another: each is written to one folder and the same query, stopped in between, goes on over it.
+
+    ``build`` makes the query from the stream of that folder. Its rows are appended to files, or every batch goes to
+    ``each(folder)``. Gives the folder of the results.
+    """
+    base = scratch(spark, name)
+    source, out, ck = f"{base}/source", f"{base}/out", f"{base}/ck"
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 100_000).parquet(source)
+        w = build(stream).writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
+        w = w.foreachBatch(each(out)) if each else w.outputMode("append").format("parquet").option("path", out)
+        w.start().awaitTermination()
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     base = spark.conf.get("spark.checkpoint.dir", None)
