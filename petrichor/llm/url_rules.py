@@ -1,10 +1,11 @@
 """Operator 3: URL filter by a host-and-path policy and mined association rules, in DataFrame functions only.
 
 The policy comes first. Where none of its rules fits, the method decides: frequent combinations of URL tokens are mined
-from labelled URLs by Spark's FP-growth, kept as rules ``tokens -> label`` if their support and confidence reach the bounds,
+from labelled URLs by Spark's FP-growth. Frequent tokens that occur in exactly the same labelled URLs are one item there, named by
+the smallest of them: k tokens that always come together would give 2^k combinations and say no more than one. Combinations are kept as rules ``tokens -> label`` if their support and confidence reach the bounds,
 and matched through an inverted index: a rule is filed under its rarest token, a URL looks up each of its tokens and meets
 only rules filed there, and a rule fits if the URL has all of its tokens. The most confident rule wins, then the one with
-more tokens, then more support, then ``block``; without any rule the URL is allowed.
+more items, then more support, then ``block``; without any rule the URL is allowed. A URL has an item if it has any token of it.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no tokens, and is allowed; so is everything if
 there are no labels to mine; repeated rows are judged alike; columns beyond the two that are read are ignored.
@@ -22,6 +23,8 @@ from ..session import cut_lineage, small_side
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "label=block", "label=allow"
+#: Item of a labelled URL without any frequent token: it counts among all, and no URL is looked up by it.
+NOTHING = "-"
 #: Least share of labelled URLs that have a combination, and least share of these that have the rule's label.
 SUPPORT, CONFIDENCE = 0.005, 0.6
 
@@ -56,6 +59,21 @@ def policy_rule(host: Column, path: Column, policy: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
+def contracted(labelled: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(token, item) of the frequent tokens of ``labelled`` (items): tokens of exactly the same rows share an item.
+
+    Rows are told apart by two 64-bit sums of random numbers of their ids. At most 1 / ``support`` times the mean number
+    of tokens a row are frequent, whatever the number of rows.
+    """
+    rows = labelled.select("items", F.monotonically_increasing_id().alias("_row"))
+    rows = cut_lineage(rows)
+    least = F.lit(support * rows.count())
+    prints = [F.sum(F.xxhash64("_row", F.lit(k)).cast("decimal(38,0)")).alias(f"_{k}") for k in (1, 2)]
+    tokens = rows.select("_row", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"), *prints).filter(F.col("_n") >= least)
+    names = tokens.groupBy("_n", "_1", "_2").agg(F.min("token").alias("item"))
+    return tokens.join(names, ["_n", "_1", "_2"]).select("token", "item")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (antecedent, label, confidence, support, token) from ``labelled`` (items, label); ``token`` is the rarest one."""
     baskets = cut_lineage(labelled.filter("label IS NOT NULL AND size(items) > 0").select(F.array_append("items", F.col("label")).alias("items")))
@@ -71,10 +89,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return found.join(rarest, "antecedent").select("antecedent", "label", "confidence", "support", "token")
 
 
-def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """items, best (confidence, n, support, label) of every token set that some rule fits."""
+def renamed(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """``sets`` (items) with ``held``, the items that ``names`` (token, item) gives for its tokens; null without any."""
+    held = sets.select("items", F.explode("items").alias("token")).join(names, "token").groupBy("items").agg(F.array_sort(F.collect_set("item")).alias("held"))
+    return sets.join(held, "items", "left")
+
+
+def matched(sets: DataFrame, rules: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """items, best (confidence, n, support, label) of every token set that some rule fits; ``names`` as ``contracted`` gives them."""
     index = small_side(rules)
-    hit = sets.select("items", F.explode("items").alias("token")).join(index, "token").filter(F.size(F.array_except("antecedent", "items")) == 0)
+    if names is None:
+        held = sets.select("items", F.col("items").alias("held"))
+    else:
+        held = renamed(sets.select("items"), names).filter("held IS NOT NULL")
+    hit = held.select("items", "held", F.explode("held").alias("token")).join(index, "token").filter(F.size(F.array_except("antecedent", "held")) == 0)
     return hit.groupBy("items").agg(F.max(F.struct("confidence", F.size("antecedent").alias("n"), "support", "label")).alias("best"))
 
 
@@ -91,8 +119,13 @@ def judged(pages: DataFrame, labels: DataFrame, policy: Sequence[tuple[str, str]
     rows = cut_lineage(rows.select("page_id", "host", "path", "items", rule.alias("rule"), verdict.alias("_verdict")))
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.coalesce(F.min("quality"), F.lit(1)) == 0).alias("_low"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("_toxic"))
     taught = F.when(F.col("_verdict") == "block", BLOCK).when(F.col("_verdict") == "allow", ALLOW).when(F.col("_low") | F.col("_toxic"), BLOCK).when(F.col("_low").isNotNull(), ALLOW)
-    rules = mine(rows.join(bad, "page_id", "left").select("items", taught.alias("label")), support, confidence)
-    best = matched(rows.filter("rule IS NULL").select("items").distinct(), rules)
+    labelled = cut_lineage(rows.join(bad, "page_id", "left").select("items", taught.alias("label")).filter("label IS NOT NULL AND size(items) > 0"))
+    names = small_side(contracted(labelled, support))
+    counted = labelled.groupBy("items", "label").agg(F.count(F.lit(1)).alias("_n"))  # equal baskets meet the names once
+    baskets = counted.join(renamed(counted.select("items").distinct(), names), "items").select(
+        F.coalesce("held", F.array(F.lit(NOTHING))).alias("items"), "label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+    rules = mine(baskets.select("items", "label"), support, confidence)
+    best = matched(rows.filter("rule IS NULL").select("items").distinct(), rules, names)
     method = F.when(F.col("best.label") == BLOCK, "block").otherwise("allow")
     return rows.join(best, "items", "left").select("page_id", "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"),
                                                     F.when(F.col("rule").isNull(), F.col("best.confidence")).alias("confidence"))

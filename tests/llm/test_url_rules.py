@@ -71,3 +71,19 @@ def test_mining_and_matching(spark):
         assert (tuple(s) in best) == bool(fits)
         if fits:
             assert abs(best[tuple(s)].confidence - max(fits)[0]) < 1e-9 and best[tuple(s)].label in (U.BLOCK, U.ALLOW)
+
+
+def test_tokens_that_always_come_together_are_one_item(spark):
+    """Sixty segments of one shared path: by plain mining 2**60 combinations."""
+    shared = "/".join(f"s{k}" for k in range(60))
+    rows = [(k, f"https://a{k}.org/{shared}/{k}" if k % 10 == 0 else f"https://b{k}.org/x/{k % 7}") for k in range(400)]
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k, _ in rows if k < 300], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(rows + [(1000, "https://new.org/s7/other"), (1001, "https://new.org/x/y")], "page_id long, url string")
+    out = {r.page_id: r.verdict for r in U.judged(pages, labels, ()).collect()}
+    assert {k for k, v in out.items() if v == "block"} == {k for k, _ in rows if k % 10 == 0} | {1000}
+
+
+def test_contraction_names_equal_baskets(spark):
+    rows = [(["a", "b", "c"],), (["a", "b"],), (["c", "d"],), (["e"],)] * 5
+    got = {r.token: r["item"] for r in U.contracted(spark.createDataFrame(rows, "items array<string>"), 0.2).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
