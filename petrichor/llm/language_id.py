@@ -8,10 +8,11 @@ are sparse: of each order the sorted (context, byte) cells that were seen, so th
 language leaves the others as they are. Scoring looks up each different cell of a block of text once, escaping down where
 it is absent. The language with the shortest code wins, ties to the smaller name.
 
-Fit: at most ``TRAIN_DOCS`` labelled documents of each language, the first by a hash of id and text.
+Fit: at most ``TRAIN_DOCS`` different labelled documents of each language, the first by a hash of id and text, of those
+with at most ``TRAIN_BYTES`` bytes, so that the driver's sample is bounded in bytes too. Longer texts are scored like all others.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with nothing to learn from every text is
-``und``; null languages teach nothing; repeated rows count each; whole texts are scored, whatever their length.
+``und``; null languages teach nothing; repeated rows are one document of the sample; whole texts are scored, whatever their length.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .text import as_bytes, slices
 
-ORDER, TRAIN_DOCS = 3, 400
+ORDER, TRAIN_DOCS, TRAIN_BYTES = 3, 400, 1 << 18
 #: Bytes are symbols; a context of ``ORDER`` of them and the next one fill 32 bits.
 SYMBOLS = 256
 #: Positions of a text looked up at a time.
@@ -124,8 +125,8 @@ def code_lengths(index: np.ndarray, count: np.ndarray, size: int) -> tuple[np.nd
     return index, bits, seen, np.log2((total + distinct) / distinct).astype(np.float32)
 
 
-def fit(samples: dict[str, list[bytes]], cells: int | None = None) -> Model:
-    """Count the context trees of each language's sample texts. ``cells`` bounds nothing: no table of all cells is made."""
+def fit(samples: dict[str, list[bytes]]) -> Model:
+    """Count the context trees of each language's sample texts."""
     languages = sorted(samples)
     counted = []
     for language in languages:
@@ -196,12 +197,25 @@ def _scored(model: Model, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], It
 def train(labelled: DataFrame, docs_each: int = TRAIN_DOCS) -> Model:
     """Model from ``labelled`` (doc_id, text, lang): ids of the sample are chosen first, then only their texts are read.
 
-    The sample is ``docs_each`` documents a language: a bounded set of ids, whatever the table's size.
+    The sample is the ``docs_each`` smallest distinct keys (hashes of id and text) of each language: a bounded set, whatever the
+    table's size, and repeated rows count once. Keys are spread evenly, so an estimate of their number tells below which
+    one the sample lies; only keys below it are sorted, four times the sample or so, and more where that was too few.
     """
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    known = labelled.filter(F.col("lang").isNotNull() & F.octet_length("text").between(1, TRAIN_BYTES))
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")
-    ranked = known.select("lang", key.alias("_key")).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_key")))
-    last = {r["lang"]: r["last"] for r in ranked.filter(F.col("_rank") <= docs_each).groupBy("lang").agg(F.max("_key").alias("last")).collect()}
+    keyed = known.select("lang", key.alias("_key"))
+    numbers = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("_key").alias("n")).collect()}
+    share = {lang: 4 * docs_each / max(1, n) for lang, n in numbers.items()}
+    last: dict[str, int] = {}
+    while share:
+        below = None
+        for lang, part in share.items():
+            one = (F.col("lang") == lang) & (F.col("_key") <= F.lit(min((1 << 63) - 1, int((min(part, 1.0) - 0.5) * 2**64))))
+            below = one if below is None else below | one
+        ranked = keyed.filter(below).distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_key")))
+        found = ranked.filter(F.col("_rank") <= docs_each).groupBy("lang").agg(F.max("_key").alias("last"), F.count(F.lit(1)).alias("n")).collect()
+        last |= {r["lang"]: r["last"] for r in found if r["n"] == docs_each or share[r["lang"]] >= 1}
+        share = {lang: 4 * part for lang, part in share.items() if lang not in last}
     if not last:
         return Model([], np.zeros(256, np.uint8), 1, [])
     take = None

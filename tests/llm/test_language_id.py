@@ -26,7 +26,7 @@ def plain_bits(cells, size, ctx, sym):
 
 
 def test_code_lengths():
-    m = L.fit({"x": [b"abracadabra abracadabra", b"cab"], "y": [b"the cat sat on the mat"]}, cells=2 * 14 ** 4)
+    m = L.fit({"x": [b"abracadabra abracadabra", b"cab"], "y": [b"the cat sat on the mat"]})
     rng = np.random.default_rng(0)
     for _ in range(400):
         c = [int(v) for v in rng.integers(0, m.symbols, 4)]
@@ -92,3 +92,18 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(k).encode()) % 4 == 2 for k in real)
     out = L.predict(d.filter(held), m).collect()
     assert sum(real[r.doc_id] == r.lang_pred for r in out) >= 0.95 * len(out)
+
+
+def test_repeated_rows_are_one_document_of_the_sample(spark, monkeypatch):
+    rows = [(k, f"document {k} tells of its own number {k * k} and of nothing else", "en") for k in range(300)] + [(k, f"le texte {k}", "fr") for k in range(50)]
+    one = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = one.orderBy(F.xxhash64("doc_id", "text")).first()
+    many = spark.createDataFrame(rows + [tuple(first)] * 500, one.schema)
+    for docs_each in (400, 20, 3):
+        assert L.train(many, docs_each).name == L.train(one, docs_each).name
+    order = sorted((r.k, r.text) for r in one.filter("lang = 'en'").select(F.xxhash64("doc_id", "text").alias("k"), "text").collect())
+    want = L.fit({"en": [t.encode() for _, t in order[:20]]})
+    got = L.train(one.filter("lang = 'en'"), 20)
+    assert got.name == want.name
+    monkeypatch.setattr(L, "TRAIN_BYTES", 12)  # only the shortest count
+    assert L.train(one).languages == ["fr"]
