@@ -2,8 +2,10 @@
 
 Exact base: places where a phrase's words stand consecutively. Fuzzy part: a notice that occurs with at most ``errors``
 edits contains one of ``errors + 1`` pieces of it unchanged (pigeonhole), so one Aho-Corasick pass over the text finds all
-places that can hold it; around each, a bounded-error pattern confirms the edits and gives the span. Matching runs on
-text with A-Z lower-cased and each run of ASCII white space as one blank.
+places that can hold it. Each is a window as long as the notice and the edits around it; windows that start within the edits
+of each other are one. A bounded-error pattern confirms the edits in a window and gives the span. Finds of a notice don't overlap:
+the one with fewest edits stands, and what it leaves of another's window is searched again. Windows have a fixed length, so the work is in
+proportion to the text. Matching runs on text with A-Z lower-cased and each run of ASCII white space as one blank.
 
 Defined cases: null and empty text have no word, no place and no label, and score 0; a text of any length is read whole;
 repeated rows give repeated results; other columns are ignored.
@@ -11,6 +13,8 @@ repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -42,6 +46,8 @@ NOTICES = (
 )
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 SPACE = re.compile("[\\x20\\x09-\\x0D]+")
+#: Stretches of text that a worker remembers.
+KNOWN = 1 << 16
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -66,39 +72,62 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
         self.patterns = [regex.compile(f"(?be)(?:{regex.escape(notice)}){{e<={errors}}}") for notice, _, errors in notices]
-        # the automaton gives nearly all places of frequent short pieces; a bound on edits needs two pieces in reach
+        self.known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         self.size = [len(n) for n, _, _ in notices]
 
-    def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of confirmed notices in ``text`` as ``flat`` gives it; overlapping finds of one notice are merged."""
-        reach: dict[int, list[list[int]]] = {}
+    def best(self, k: int, stretch: str) -> tuple[int, int, int] | None:
+        """(edits, start, end) of notice ``k`` in a short stretch of text; stretches are remembered, as they come again."""
+        if len(stretch) < self.size[k] - self.notices[k][2]:
+            return None
+        known = self.known.get((k, stretch), ())
+        if known == ():
+            m = self.patterns[k].search(stretch)
+            known = (sum(m.fuzzy_counts), m.start(), m.end()) if m else None
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[k, stretch] = known
+        return known
+
+    def windows(self, text: str) -> dict[int, list[list[int]]]:
+        """Stretches of ``text`` that can hold each notice."""
+        out: dict[int, list[list[int]]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for k, offset in where:
                 errors = self.notices[k][2]
                 lo = end - length + 1 - offset - errors
-                hi = lo + self.size[k] + 2 * errors
-                spans = reach.setdefault(k, [])
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][0], spans[-1][1] = min(lo, spans[-1][0]), max(hi, spans[-1][1])
+                spans = out.setdefault(k, [])
+                near = next((w for w in spans[-3:] if abs(lo - w[2]) <= errors), None)  # the same occurrence, by another piece
+                if near:
+                    near[0], near[1] = min(near[0], lo), max(near[1], lo + self.size[k] + 2 * errors)
                 else:
-                    spans.append([lo, hi])
+                    spans.append([lo, lo + self.size[k] + 2 * errors, lo])
+        return out
+
+    def fuzzy(self, text: str) -> list[tuple[int, int, str, int]]:
+        """(start, end, label, edits) of confirmed notices in ``text`` as ``flat`` gives it; finds of one notice don't overlap."""
         out = []
-        for k, spans in reach.items():
-            for lo, hi in spans:
-                for m in self._all(k, text, max(0, lo), max(0, min(len(text), hi))):
-                    out.append((m.start(), m.end(), self.notices[k][1], sum(m.fuzzy_counts)))
+        for k, spans in self.windows(text).items():
+            todo: list[tuple[int, int, int, int, int]] = []
+
+            def search(lo: int, hi: int, k=k, todo=todo):
+                lo, hi = max(0, lo), min(len(text), hi)
+                if lo < hi and (m := self.best(k, text[lo:hi])):
+                    heapq.heappush(todo, (m[0], lo + m[1], lo + m[2], lo, hi))
+            for lo, hi, _ in spans:
+                search(lo, hi)
+            starts, ends = [], []  # of what stands, in order
+            while todo:
+                edits, start, end, lo, hi = heapq.heappop(todo)
+                first, last = bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)
+                if first == last:
+                    starts.insert(first, start)
+                    ends.insert(first, end)
+                    out.append((start, end, self.notices[k][1], edits))
+                elif (starts[first], ends[first]) != (start, end):
+                    search(lo, starts[first])
+                    search(ends[last - 1], hi)
         return sorted(out)
 
-    def _all(self, k: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
-        """Best find of a notice between ``lo`` and ``hi``, then those of the stretches before and behind it, and so on."""
-        todo = [(lo, hi)]
-        while todo:
-            lo, hi = todo.pop()
-            m = self.patterns[k].search(text, lo, hi) if hi - lo >= self.size[k] - self.notices[k][2] else None
-            if m:
-                yield m
-                todo += [(lo, m.start()), (m.end(), hi)]
-
     def exact(self, words: list[str]) -> list[tuple[int, str]]:
         """(first word, label) of every exact base phrase."""
         out = []

@@ -74,3 +74,25 @@ def test_rows(docs, empty):
     for r in out:
         if r.doc_id in (2, 3, 4):
             assert (r.n_words, r.n_base, r.first_word, r.labels, r.score) == (0, 0, None, "", 0.0)
+
+
+def test_long_repetitive_text_takes_time_in_proportion():
+    """Twenty times the text may take some thirty times as long at most; all places are found."""
+    import time
+    s, took = L.Scanner(), []
+    for n in (2000, 40000):
+        text = "all rigts reserved " * n + "all rights"
+        began = time.perf_counter()
+        found = s.fuzzy(text)
+        took.append(time.perf_counter() - began)
+        assert [x[:2] for x in found if x[2] == "reserved"] == [(19 * i, 19 * i + 18) for i in range(n)]
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_several_hundred_notices(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfklm" for b in "aeiou" for c in ("rst", "nd", "x", "lm")]
+    notices = tuple((" ".join(rng.sample(words, 6)), f"n{k}", 2) for k in range(400))
+    rows = [(k, "Some words before. " + notices[k][0][:7] + "#" + notices[k][0][8:] + " and some after.", "") for k in range(0, 400, 7)]
+    out = L.scan(spark.createDataFrame(rows, "doc_id long, text string, labels string"), notices=notices).collect()
+    assert all(r.labels.split(",") == [f"n{r.doc_id}"] for r in out)
