@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..operators.ordered import dense_index, placed, prefix_sum, running_sum
 from ..session import cut_lineage, small_side
 
-#: Most words of a packet, and documents of a source that are scanned in one chunk.
-PACKET, CHUNK = 256, 50_000
+#: Most words of a packet, and about the most documents of a source that are scanned in one chunk (there are 16 at least).
+PACKET, CHUNK = 256, 20_000
 
 
 def words(text: str = "text") -> Column:
@@ -77,9 +77,9 @@ def mixed(docs: DataFrame, weights: Sequence[int], share: float = 1.5, repeats:
 
     # place in the queue: prefix sums of shuffled documents, chunk by chunk of the digest
     largest = per_source.agg(F.max("n").alias("n")).first()["n"] or 0
-    digits = max(0, math.ceil(math.log(max(1, largest / CHUNK), 16)))
+    digits = max(1, math.ceil(math.log(max(1, largest / CHUNK), 16)))
     side = small_side(level.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "place", "target"))
-    queued = slim.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_chunk", F.substring("key", 1, digits) if digits else F.lit(""))
+    queued = slim.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_chunk", F.substring("key", 1, digits))
     order = ["key", F.asc_nulls_first("doc_id"), "size"]
     queue = cut_lineage(running_sum(queued, ["place"], "_chunk", order, {"end": F.col("size")}).select(
         "doc_id", "size", "source_size", "place", "target", (F.col("end") - F.col("size")).cast("long").alias("start")))
