@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +35,7 @@ from .text import slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct chunks that a worker remembers before the older generation of them is let go.
-KEPT = 120_000
+KEPT = 400_000
 #: Rows and token ids of a packing group.
 GROUP_ROWS, GROUP_IDS = 1024, 4 << 20
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]|[^\S \t\n\r]")
@@ -57,6 +57,7 @@ class Ids:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -77,8 +78,9 @@ class Ids:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
-        packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        """Ids of a plain word, straight from the model; ASCII stands for itself there."""
+        known = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        packed = self.words[word] = array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
         return packed
 
     def learn(self, chunks: set[str]) -> None:
@@ -89,7 +91,11 @@ class Ids:
             if ids is not None:
                 self.seen[c] = ids
             elif self.findall and not PLAIN.search(c):
-                self.seen[c] = b"".join([known(w) or self.word(w) for w in self.findall(c.lower())])
+                c_words = self.findall(c.lower())
+                if len(c_words) == 1:
+                    self.seen[c] = known(c_words[0]) or self.word(c_words[0])
+                else:
+                    self.seen[c] = b"".join([known(w) or self.word(w) for w in c_words])
             else:
                 slow.append(c)
         if slow:
