@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signature as SG
 from ..functions import time as T
+from .ordered import placed, running_last
 
 
 def canonicalize_fields(fields: DataFrame, channels) -> DataFrame:
@@ -58,26 +58,24 @@ def covariate_window(draws: DataFrame, hours: DataFrame, lead_minutes: Column, m
         era.alias("era_present"), tp_on.alias("tp_present"), (era & traj & acc & ~inst_ok).alias("violation"))
 
 
-def asof_cycle(issues: DataFrame, cycles: DataFrame, latency_days: int, width_days: int = 64) -> DataFrame:
-    """JN08: latest cycle c with c + latency <= t0; both sides in whole days (t0_day, cycle_day).
+def asof_cycle(issues: DataFrame, cycles: DataFrame, latency: int, partitions: int | None = None, t0: str = "t0_day", cycle: str = "cycle_day",
+               lead: str | None = None) -> DataFrame:
+    """JN08: the latest cycle c with c + latency <= t0, its age, and what its availability is old.
 
-    Each cycle is current until the next one, so the as-of join is a containment join: the stretch of a cycle is
-    listed once per bucket it touches, the join is an equi-join on the bucket, and no issue row is ever sorted
-    against all others. Distinct issue days join first; rows follow by key.
+    ``t0``, ``cycle``, ``latency`` and ``lead`` are whole numbers of one unit, whichever: days, seconds, microseconds. With ``lead``
+    there is ``rollout_lead`` too, the time from the cycle to t0 + lead. Cycles at the instants from which they may be used and
+    issues go through one global order, range parts of bounded size, and the last cycle is carried along; each issue is read
+    once and joined with nothing. Many issues of one instant are told apart by a hash of the row, so they fill several parts.
+    An issue without time, or before the first cycle, has no cycle.
     """
-    def bucket(c):
-        return F.call_function("div", c, F.lit(width_days))
-    end = F.lead("cycle_day").over(W.orderBy("cycle_day"))  # one row per distinct cycle: bounded by the calendar
-    c = cycles.select("cycle_day").distinct().withColumn("_next", end)
-    last = issues.agg(F.max("t0_day").alias("_last"))  # one row
-    c = c.join(F.broadcast(last)).withColumn("_from", F.col("cycle_day") + latency_days).withColumn(
-        "_to", F.coalesce(F.col("_next") + latency_days, F.col("_last") + 1)).filter("_to > _from")
-    listed = c.withColumn("_b", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to") - 1))))
-    days = issues.select("t0_day").distinct().withColumn("_b", bucket(F.col("t0_day")))
-    hit = days.join(listed, (days["_b"] == listed["_b"]) & (F.col("_from") <= F.col("t0_day")) & (F.col("t0_day") < F.col("_to")))
-    hit = hit.select("t0_day", "cycle_day", (F.col("t0_day") - F.col("cycle_day")).alias("cycle_age"),
-                     (F.col("t0_day") - F.col("cycle_day") - latency_days).alias("availability_age"))
-    return issues.join(hit, "t0_day", "left")
+    rows = issues.select(F.col(t0).alias("_at"), F.lit(1).alias("_kind"), F.struct(*issues.columns).alias("_row"), F.xxhash64(*issues.columns).alias("_h"), F.lit(None).cast("long").alias("_c"))
+    known = cycles.filter(F.col(cycle).isNotNull()).select(F.col(cycle).cast("long").alias("_c")).distinct()
+    known = known.select((F.col("_c") + latency).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("_c").alias("_h"), "_c")
+    line = placed(known.unionByName(rows), ["_at", "_kind", "_h"], partitions)
+    found = running_last(line, [], "_part", "_pos", {"_c": F.col("_c")}).filter("_kind = 1")
+    age = F.col("_at") - F.col("_c")
+    extra = [] if lead is None else [(age + F.col(f"_row.{lead}")).alias("rollout_lead")]
+    return found.select("_row.*", F.when(F.col("_at").isNotNull(), F.col("_c")).alias(cycle), age.alias("cycle_age"), (age - latency).alias("availability_age"), *extra)
 
 
 def overlap_resample(hourly: DataFrame, windows: DataFrame, key, width: int = 3600) -> DataFrame:

@@ -211,6 +211,38 @@ def axis_violations(axis: DataFrame, key) -> DataFrame:
     return d.groupBy(*key).agg((F.min("_d") > 0).alias("_up"), (F.max("_d") < 0).alias("_down")).filter("not (_up or _down)").select(*key)
 
 
+def near_mean(stations: DataFrame, cells: DataFrame, key, radius: float, x0: float, y0: float, dx: float, dy: float, value: str = "fc") -> DataFrame:
+    """JN27: per station (key, sx, sy) the mean of ``value`` over the cells (cx, cy) whose centres lie within ``radius``.
+
+    The plane is cut in square tiles of two radii. A station lies in one tile; a cell is listed in the tiles that a
+    radius around its centre reaches, four at most. They meet by tile, and the distance decides.
+    """
+    key, side = list(key), 2.0 * radius
+
+    def tile(c):
+        return F.floor(c / side)
+    at = cells.filter(F.col(value).isNotNull()).select(((F.col("cx") + 0.5) * dx + x0).alias("_x"), ((F.col("cy") + 0.5) * dy + y0).alias("_y"), F.col(value).alias("_v"))
+    listed = at.withColumn("_tx", F.explode(F.sequence(tile(F.col("_x") - radius), tile(F.col("_x") + radius)))).withColumn(
+        "_ty", F.explode(F.sequence(tile(F.col("_y") - radius), tile(F.col("_y") + radius))))
+    there = stations.select(*key, "sx", "sy").withColumn("_tx", tile(F.col("sx"))).withColumn("_ty", tile(F.col("sy")))
+    far = (F.col("_x") - F.col("sx")) * (F.col("_x") - F.col("sx")) + (F.col("_y") - F.col("sy")) * (F.col("_y") - F.col("sy"))
+    return there.join(listed, ["_tx", "_ty"]).filter(far <= radius * radius).groupBy(*key).agg(F.avg("_v").alias(f"{value}_near"), F.count(F.lit(1)).alias("cells_near"))
+
+
+def collocation_scores(pairs: DataFrame, by, thresholds, fc: str = "fc", near: str = "fc_near", obs: str = "obs") -> DataFrame:
+    """JN27: bias (also of the near mean), MAE, correlation, contingency at every threshold and quantiles of the error, per group."""
+    from .sampling import grouped_quantiles
+    by = list(by)
+    d = pairs.withColumn("_e", F.col(fc) - F.col(obs))
+    f, o = F.col(fc), F.col(obs)
+    counts = []
+    for i, t in enumerate(thresholds):
+        counts += [F.count_if((f >= t) & (o >= t)).alias(f"hits_{i}"), F.count_if((f < t) & (o >= t)).alias(f"misses_{i}"), F.count_if((f >= t) & (o < t)).alias(f"false_alarms_{i}")]
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("bias"), F.avg(F.col(near) - o).alias("near_bias"), F.avg(F.abs("_e")).alias("mae"), F.corr(fc, obs).alias("r"), *counts)
+    q = grouped_quantiles(d, by, "_e", {"q10": 0.1, "median_bias": 0.5, "q90": 0.9}).drop("n")
+    return g.join(q, by)
+
+
 def collocate(stations: DataFrame, cells: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
     """JN27: station (sx, sy) to the grid cell that holds it, by equi-join on the cell number."""
     at = stations.withColumn("cx", F.floor((F.col("sx") - x0) / dx)).withColumn("cy", F.floor((F.col("sy") - y0) / dy))

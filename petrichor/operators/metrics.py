@@ -106,6 +106,48 @@ def climatology(train: DataFrame, pixel: str, pool: str, min_samples: int = 1000
     return d.select(*by, pixel, level.alias("level"), freq.alias("freq"))
 
 
+def empirical_climatology(train: DataFrame, pixel: str, pool: str, value: str, key: Column, k: int = 256, min_samples: int = 1000,
+                          by=("lead", "season"), seed: int = 11107) -> DataFrame:
+    """ME07: a sample of at most ``k`` values per (by, pixel), from the pixel, else the pooled cell, else the domain, by the number of values.
+
+    A sample is the ``k`` values whose rows have the smallest hash of ``key``, all of them where there are fewer. Such samples
+    merge: a pool's is that of its pixels' samples together, so raw rows are read once, and tasks pass on ``k`` rows a group
+    at most. Null values take no part.
+    """
+    by = list(by)
+
+    def lowest(d: DataFrame, keys: list[str]) -> DataFrame:
+        first = W.partitionBy(*keys).orderBy("_u", "_v")
+        return d.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r")
+    rows = train.filter(F.col(value).isNotNull()).select(*by, pixel, pool, H.hash_uniform(seed, "climatology", key).alias("_u"), F.col(value).cast("double").alias("_v"))
+    fine = cut_lineage(lowest(rows, [*by, pixel, pool]))
+    mid = cut_lineage(lowest(fine, [*by, pool]))
+    top = lowest(mid, by)
+    n = rows.groupBy(*by, pixel, pool).agg(F.count(F.lit(1)).alias("n"))
+    n1 = n.groupBy(*by, pool).agg(F.sum("n").alias("n1"))
+
+    def listed(d: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return d.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias(name))
+    s = (n.join(n1, [*by, pool]).join(listed(fine, [*by, pixel, pool], "_a"), [*by, pixel, pool])
+         .join(listed(mid, [*by, pool], "_b"), [*by, pool]).join(listed(top, by, "_c"), by))
+    own, pooled = F.col("n") >= min_samples, F.col("n1") >= min_samples
+    return s.select(*by, pixel, F.when(own, "pixel").when(pooled, "pool").otherwise("domain").alias("level"),
+                    F.when(own, F.col("_a")).when(pooled, F.col("_b")).otherwise(F.col("_c")).alias("sample"))
+
+
+def empirical_crps(sample: Column, y: Column) -> Column:
+    """CRPS of the empirical distribution of a sorted ``sample``: mean distance to ``y`` less half the mean distance of two values."""
+    n = F.size(sample)
+    err = M.total(F.transform(sample, lambda x: F.abs(x - y))) / n
+    return F.when(n > 0, err - M.total(F.transform(sample, lambda x, i: (2 * i - n + 1) * x)) / (n * n))
+
+
+def climatology_crps(df: DataFrame, clim: DataFrame, cell, by, y: str = "y") -> DataFrame:
+    """ME06 reference: mean CRPS of ``df`` (cell, y) under the climatology of its cell; a row without one is left out of the mean."""
+    cell = list(cell)
+    return df.join(clim.select(*cell, "sample"), cell, "left").groupBy(*by).agg(F.avg(empirical_crps(F.col("sample"), F.col(y))).alias("crps"))
+
+
 def brier(df: DataFrame, by, p: str = "p") -> DataFrame:
     e = F.col(p) - F.col("w")
     return df.groupBy(*by).agg((F.sum(F.col("omega") * e * e) / F.sum("omega")).alias("brier"))
@@ -178,6 +220,25 @@ def tail(df: DataFrame, by, threshold: float) -> DataFrame:
     return df.groupBy(*by).agg(fp.alias("f_pred"), fo.alias("f_obs"), F.abs(fp - fo).alias("e_freq"))
 
 
+def wet_histogram(df: DataFrame, by, edges, obs: str = "y", members: str = "m") -> DataFrame:
+    """ME14: counts of wet values only, observed and of all members, in bins [edge, next edge), the last one open; empty bins stay.
+
+    A value below the first edge isn't wet. Counts are sums of one row each, so parts merge by adding them.
+    """
+    edges = [float(e) for e in edges]
+    parts = list(zip(edges, [*edges[1:], float("inf")]))
+
+    def inside(v, low, high):
+        return (v >= low) & (v < F.lit(high)) if high != float("inf") else (v >= low) & ~F.isnan(v)
+    seen = F.array(*[F.count_if(inside(F.col(obs), a, b)) for a, b in parts])
+
+    def drawn_in(low, high):
+        return F.sum(F.size(F.filter(members, lambda v: inside(v, low, high))).cast("long"))
+    drawn = F.array(*[drawn_in(a, b) for a, b in parts])
+    g = df.groupBy(*by).agg(F.arrays_zip(F.array(*[F.lit(e) for e in edges]).alias("edge"), seen.alias("observed"), drawn.alias("members")).alias("h"))
+    return g.select(*by, F.posexplode("h").alias("bin", "h")).select(*by, "bin", "h.edge", "h.observed", "h.members")
+
+
 def oof_shift(pairs: DataFrame, by) -> DataFrame:
     """ME15: rows (p_full, p_fold, mu_full, mu_fold, z): shifts, their quantiles, residual RMS ratio."""
     by = list(by)
@@ -234,17 +295,18 @@ def block_bootstrap(contrib: DataFrame, values, replicates: int = 2000, seed: in
                     block: str = "block_id") -> DataFrame:
     """ME20: sums of ``values`` per replicate after drawing whole blocks inside each stratum.
 
-    One row per (stratum, block) holds the contributions of every arm, so all arms share the same draw. The
-    draws are a table of replicates x blocks made in parallel; equal draws fold to a multiplicity before the join.
+    One row per (stratum, block) holds the contributions of every arm, so all arms share the same draw. Every block
+    stands for one slot of each replicate as well: it unfolds to the replicates, whose number is a parameter, and never
+    a replicate to all blocks. Equal draws fold to a multiplicity before the join.
     """
     values = list(values)
     # the raw rows are read once: everything below starts from one row per block
     per = cut_lineage(contrib.groupBy(stratum, block).agg(*[F.sum(v).alias(v) for v in values]))
     idx = hashed_index(per.withColumn("_h", F.sha2(F.col(block).cast("string"), 256)), "_h", block, "_i", [stratum])
-    sizes = small_side(per.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")))
-    # replicates are spread over tasks; each carries its strata and unfolds its own slots
-    draws = (contrib.sparkSession.range(replicates).select(F.col("id").alias("replicate")).join(sizes)
-             .withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))))
+    idx = cut_lineage(idx)
+    sizes = small_side(idx.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")))
+    draws = idx.select(stratum, F.col("_i").alias("_slot")).join(sizes, stratum).withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     u = H.hash_uniform(seed, "bootstrap", F.concat_ws("|", "replicate", stratum, "_slot"))
     pick = F.coalesce(F.floor(u * F.col("_n")), F.lit(0))
     picks = draws.withColumn("_i", pick).groupBy("replicate", stratum, "_i").agg(F.count(F.lit(1)).alias("_k"))
@@ -272,22 +334,51 @@ def seed_stability(scores: DataFrame, reference: str) -> DataFrame:
     return s.withColumn("sigma", sigma).withColumn("tie", F.abs("delta") < F.col("sigma"))
 
 
-def gate(intervals: DataFrame, rules: DataFrame) -> DataFrame:
+# fixed values: absolute gate by lead band (hours), baseline and metric; sides as in ``gate``
+BAND_RULES = (
+    ("0.5-1.0", "persistence", "crps_relative", "upper_below", 0.02), ("0.5-1.0", "persistence", "fss_difference", "lower_above", -0.01),
+    ("0.5-1.0", "pysteps", "crps_relative", "upper_below", 0.02), ("0.5-1.0", "pysteps", "fss_difference", "lower_above", -0.01),
+    ("1.5-2.0", "persistence", "crps_gain", "lower_over", 0.0), ("1.5-2.0", "persistence", "fss_difference", "lower_over", 0.0),
+    ("1.5-2.0", "pysteps", "crps_gain", "lower_over", 0.0), ("1.5-2.0", "pysteps", "fss_difference", "lower_over", 0.0),
+    ("2.5-4.0", "radar_only", "crps_gain", "lower_over", 0.0), ("2.5-4.0", "radar_only", "bss_difference", "lower_over", 0.0),
+    ("4.5-6.0", "coarse_tp", "crps_gain", "lower_over", 0.0), ("4.5-6.0", "radar_only", "crps_gain", "lower_over", 0.0),
+    ("all", "climatology", "bss", "lower_over", 0.0),
+)
+# fixed values: an arm that breaks either isn't trained further
+CULL_RULES = (("E1", "upper_below", 0.05), ("E2", "lower_above", -0.02))
+
+
+def band_rules(spark) -> DataFrame:
+    return spark.createDataFrame(list(BAND_RULES), "band string, baseline string, metric string, side string, bound double")
+
+
+def cull_rules(spark) -> DataFrame:
+    return spark.createDataFrame(list(CULL_RULES), "metric string, side string, bound double")
+
+
+def gate(intervals: DataFrame, rules: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """ME23: intervals (arm, baseline, metric, low, high) against rules (metric, side, bound); AND over all.
 
-    Fails closed: a rule whose metric is missing for a baseline, or whose interval or bound is null or NaN, is a failed
-    rule. ``failed`` counts rules over the arm's baselines.
+    Rules may name a ``band`` and a ``baseline`` of their own; intervals then have these columns too. Rules without baseline hold
+    for every baseline of an arm: those in ``pairs`` (arm, baseline) if given, else those that it has intervals for. Sides:
+    ``upper_below`` (high <= bound), ``lower_above`` (low >= bound), ``lower_over`` (low > bound), any other is never met.
+
+    Fails closed: a rule whose interval is missing, or whose interval or bound is null or NaN, is a failed rule, and so is every
+    arm where there are no rules. ``failed`` counts rules over the arm's baselines.
     """
     def at_most(a, b):  # NaN counts as the largest number, so it is refused by name
         return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (a <= b), F.lit(False))
     ok = F.when(F.col("side") == "upper_below", at_most(F.col("high"), F.col("bound"))).when(
-        F.col("side") == "lower_above", at_most(F.col("bound"), F.col("low"))).otherwise(F.lit(False))
-    met = (intervals.join(rules, "metric").groupBy("arm", "baseline", "metric", "side").agg(F.bool_and(ok).alias("ok"))
-           .groupBy("arm", "baseline").agg(F.count_if("ok").alias("_met")))
-    asked = rules.select("metric", "side").distinct().agg(F.count(F.lit(1)).alias("_asked"))  # one row
-    every = intervals.select("arm", "baseline").distinct().join(met, ["arm", "baseline"], "left").join(F.broadcast(asked))
+        F.col("side") == "lower_above", at_most(F.col("bound"), F.col("low"))).when(
+        F.col("side") == "lower_over", at_most(F.col("bound"), F.col("low")) & (F.col("bound") != F.col("low"))).otherwise(F.lit(False))
+    on = [c for c in ("band", "baseline", "metric") if c in rules.columns]
+    unit = ["arm"] if "baseline" in on else ["arm", "baseline"]
+    met = (intervals.join(rules, on).groupBy(*dict.fromkeys([*unit, *on, "side"])).agg(F.bool_and(ok).alias("ok"))
+           .groupBy(*unit).agg(F.count_if("ok").alias("_met")))
+    asked = rules.select(*on, "side").distinct().agg(F.count(F.lit(1)).alias("_asked"))  # one row
+    every = (intervals if pairs is None else pairs).select(*unit).distinct().join(met, unit, "left").join(F.broadcast(asked))
     short = F.col("_asked") - F.coalesce("_met", F.lit(0))
-    return every.groupBy("arm").agg((F.max(short) == 0).alias("passed"), F.sum(short).alias("failed"))
+    return every.groupBy("arm").agg(((F.max(short) == 0) & (F.max("_asked") > 0)).alias("passed"), F.sum(short).alias("failed"))
 
 
 def finalists(scores: DataFrame, k: int, always: list[str]) -> DataFrame:

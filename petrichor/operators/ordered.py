@@ -45,6 +45,20 @@ def running_sum(df: DataFrame, by, chunk: str, order: Sequence, values: dict, in
                  lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), inclusive)
 
 
+def running_last(df: DataFrame, by, chunk: str, position: str, values: dict) -> DataFrame:
+    """Last value that isn't null up to each row, in order of ``position``; a chunk hands on one row."""
+    by = _names(by)
+    keys = [*by, chunk]
+    local = W.partitionBy(*keys).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*by).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    there = {k: F.col(v) if isinstance(v, str) else v for k, v in values.items()}
+    ends = df.groupBy(*keys).agg(*[F.max_by(v, F.when(v.isNotNull(), F.col(position))).alias(f"_t_{k}") for k, v in there.items()])
+    carry = ends.select(*keys, *[F.last(f"_t_{k}", ignorenulls=True).over(before).alias(f"_c_{k}") for k in there])
+    scanned = df.select("*", *[F.last(v, ignorenulls=True).over(local).alias(f"_l_{k}") for k, v in there.items()])
+    out = scanned.join(carry, keys, "left")
+    return out.select(*[c for c in df.columns if c not in values], *[F.coalesce(f"_l_{k}", f"_c_{k}").alias(k) for k in values])
+
+
 def placed(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Range-partition and sort by a unique key, then fix the placement in a reliable checkpoint.
 

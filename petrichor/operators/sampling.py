@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from .manifest import union_all, violation
-from .ordered import dense_index, hashed_index, placed, running_sum
+from .ordered import dense_index, hashed_index, placed, running_last, running_sum
 
 CANONICAL = ("t0_utc", "lead_hours", "condition_signature")
 EXACT = "decimal(28,26)"  # probabilities are summed exactly, so the answer does not depend on partitioning
@@ -34,9 +34,9 @@ def prefix_cdf(cands: DataFrame, order=CANONICAL, p: str = "p_draw") -> DataFram
 def draw_from_cdf(cands: DataFrame, draws: int, seed: int, purpose: str, order=CANONICAL) -> DataFrame:
     """JN16: draws with replacement. Each index has its own uniform; the first cumulative above it wins.
 
-    Uniforms and interval starts go through one global order; a draw's candidate is the last start at or before it, so
-    its number is a running count. Draws and candidates then meet on that number. No list is built for a heavy
-    candidate, and its draws lie in as many range parts as they fill.
+    Uniforms and interval starts go through one global order; a draw's candidate is the last start at or before it, carried
+    along the line from part to part. No list is built for a heavy candidate and nothing is joined on it: its draws lie
+    in as many range parts as they fill.
     """
     kept = [c for c in cands.columns if c != "omega"]
     cdf = prefix_cdf(cands, order)
@@ -46,8 +46,7 @@ def draw_from_cdf(cands: DataFrame, draws: int, seed: int, purpose: str, order=C
     drawn = u.select(H.hash_uniform(seed, purpose, F.col("global_example_index")).alias("_v"), F.lit(1).alias("_kind"), "global_example_index",
                      F.lit(None).cast(start.schema["_c"].dataType).alias("_c"))
     line = placed(start.unionByName(drawn), ["_v", "_kind", "global_example_index"])
-    line = running_sum(line.withColumn("_i", F.lit(0)), [], "_part", ["_pos"], {"_i": (F.col("_kind") == 0).cast("long")})
-    hit = line.filter("_kind = 1").select("_i", "global_example_index").join(line.filter("_kind = 0").select("_i", "_c"), "_i")
+    hit = running_last(line, [], "_part", "_pos", {"_c": F.col("_c")}).filter("_kind = 1")
     return (hit.select("global_example_index", "_c.*").withColumn("omega", F.col("p_target") / F.col("p_draw"))
             .select("global_example_index", *kept, "omega"))
 
@@ -229,17 +228,29 @@ def draw_violations(draws: DataFrame) -> DataFrame:
     ])
 
 
+def _draw_rules(cands: DataFrame) -> list[DataFrame]:
+    """Rules of the draw probabilities of candidates: each in (0, 1], and one in sum."""
+    c = F.col("p_draw")
+    fine = F.when(c.between(0, 1), c.cast(EXACT))
+    total = cands.agg(F.sum(fine).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 0")  # that there are none is said once
+    return [violation(cands.filter(fine.isNull() | (c <= 0) | F.isnan(c)), "draw_probability", F.col("sample_id")),
+            violation(total.filter("coalesce(abs(s - 1) > 1e-12, true)"), "draw_sum", F.coalesce(F.col("s").cast("string"), F.lit("none")))]
+
+
 def candidate_violations(cands: DataFrame) -> DataFrame:
-    """VA02 for candidates."""
+    """VA02 for candidates; with a column ``p_draw`` its rules too."""
     c = F.col
     ident = cands.groupBy(*CANONICAL).count().filter("count > 1")
     ids = cands.groupBy("sample_id").count().filter("count > 1")
     plain = F.when(c("p_target").between(0, 1), c("p_target").cast(EXACT))  # others have a rule of their own and can't be cast
+    odd = ~plain.isNotNull()
     total = cands.agg(F.sum(plain).alias("s"))
+    rules = [] if "p_draw" not in cands.columns else _draw_rules(cands)
     return union_all([
+        *rules,
         violation(ids, "duplicate_sample_id", c("sample_id"), c("count")),
         violation(ident, "duplicate_identity", F.concat_ws("|", *CANONICAL), c("count")),
-        violation(cands.filter("p_target is null or isnan(p_target) or p_target <= 0 or p_target > 1"), "probability", c("sample_id")),
+        violation(cands.filter(odd | (c("p_target") <= 0) | F.isnan("p_target")), "probability", c("sample_id")),
         violation(cands.filter("fold_id < 0"), "fold", c("sample_id")),
         violation(total.filter("coalesce(abs(s - 1) > 1e-12, true)"), "target_sum", F.coalesce(c("s").cast("string"), F.lit("none"))),
     ])

@@ -44,18 +44,41 @@ def split_violations(splits: DataFrame) -> DataFrame:
         violation(splits.withColumn("_n", nxt).filter(c("_n") < c("end")), "overlap", c("name"), c("_n"))])
 
 
-def policy_violations(policy: DataFrame, source: str, tp_off: str, null_sig: str) -> DataFrame:
-    """VA03: policy (signature, p_target, p_draw), a handful of rows."""
+def policy_violations(policy: DataFrame, source: str, tp_off: str, null_sig: str, strategy: str = "matched_arm") -> DataFrame:
+    """VA03: policy (signature, p_target, p_draw), a handful of rows.
+
+    Null, NaN and infinite probabilities break their rule, and a sum that they leave undefined its own. Every access mode of an
+    entry with a source must have it with and without tp. ``matched_arm`` allows the source's access mode only;
+    ``full_with_target_end_causal_augmentation`` asks for a full-trajectory source and exactly the full and the causal mode.
+    """
     c = F.col
     total = policy.agg(F.sum("p_target").alias("t"), F.sum("p_draw").alias("d"), F.collect_set("signature").alias("s"))
     need = F.array(F.lit(source), F.lit(tp_off), F.lit(null_sig))
     other = (SG.provider(c("signature")) != source.split(":")[0]) & (c("signature") != null_sig)
+    def bad(x):
+        return x.isNull() | F.isnan(x) | (x <= 0) | (x == float("inf"))
+    f = SG.fields(c("signature"))
+    present = policy.filter(SG.is_canonical(c("signature")) & f["era"]).select(f["access"].alias("access"), f["tp"].alias("tp"))
+    modes = present.groupBy("access").agg(F.count_distinct("tp").alias("states"))
+    access = source.rsplit(":", 1)[-1]
+    allowed = {"matched_arm": [access], "full_with_target_end_causal_augmentation": ["full_trajectory", "target_end_causal"]}.get(strategy)
+    if allowed is None:
+        raise ValueError(f"unknown access strategy {strategy}")
+    have = modes.agg(F.collect_set("access").alias("have"))  # at most as many as there are modes
+    missing = F.array_except(F.array(*[F.lit(m) for m in allowed]), "have")
+    strategies = [violation(modes.filter(~c("access").isin(*allowed)), "access_strategy", c("access"), "not allowed"),
+                  violation(have.select(F.explode(missing).alias("m")), "access_strategy", c("m"), "missing")]
+    if strategy != "matched_arm" and access != "full_trajectory":
+        strategies.append(violation(total, "access_strategy", F.lit(source), "source"))
     return union_all([
-        violation(policy.filter("p_target <= 0 or p_draw <= 0"), "probability", c("signature")),
+        *strategies,
+        violation(modes.filter("states < 2"), "tp_pair", c("access")),
+        violation(policy.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate_signature", c("signature"), c("n")),
+        violation(policy.filter(bad(c("p_target")) | bad(c("p_draw"))), "probability", c("signature")),
         violation(policy.filter(~SG.is_canonical(c("signature"))), "not_canonical", c("signature")),
         violation(policy.filter(other), "provider_switch", c("signature")),
-        violation(total.filter("abs(t - 1) > 1e-12"), "target_sum", F.lit("policy")),
-        violation(total.filter("abs(d - 1) > 1e-12"), "draw_sum", F.lit("policy")),
+        violation(total.filter("coalesce(isnan(t) or abs(t - 1) > 1e-12, true)"), "target_sum", F.lit("policy")),
+        violation(total.filter("coalesce(isnan(d) or abs(d - 1) > 1e-12, true)"), "draw_sum", F.lit("policy")),
         violation(total.select(F.explode(F.array_except(need, "s")).alias("m")), "missing_entry", c("m"))])
 
 

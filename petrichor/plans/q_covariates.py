@@ -75,6 +75,20 @@ def jn08(spark, sf):
     return CV.asof_cycle(iss, cyc, 3).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t0_day", "cycle_day", "cycle_age", "availability_age")
 
 
+LAT_US = 5 * 3600 * 1_000_000
+
+
+@query("jn08_asof_instants", f"""with c as (select distinct epoch_us(ts) as c from events where event_type = 'signup' and value >= 30),
+e as (select event_id, epoch_us(ts) as t, (event_id % 12 + 1) * 1800000000 as ld from events), a as (select c + {LAT_US}::bigint as at, c from c)
+select event_id, a.c as cycle, e.t - a.c as cycle_age, e.t - a.c - {LAT_US}::bigint as availability_age, e.t - a.c + ld as rollout_lead from e asof left join a on e.t >= a.at""")
+def jn08_instants(spark, sf):
+    """Cycles at any instant of the day, usable five hours later, and the time from the cycle to each event's target."""
+    e = B.table(spark, sf, "events")
+    cyc = e.filter("event_type = 'signup' and value >= 30").select(T.micros("ts").alias("cycle"))
+    iss = e.select("event_id", T.micros("ts").alias("t"), ((C("event_id") % 12 + 1) * F.lit(1_800_000_000)).alias("ld"))
+    return CV.asof_cycle(iss, cyc, LAT_US, t0="t", cycle="cycle", lead="ld").select("event_id", "cycle", "cycle_age", "availability_age", "rollout_lead")
+
+
 @query("jn09_overlap_resample", """with h as (select event_type as source, epoch_us(ts) // 3600000000 * 3600 as js, epoch_us(ts) // 3600000000 * 3600 + 3600 as je, sum(value) as amount from events group by all),
 wn as (select distinct event_type as source, epoch_us(ts) // 1800000000 as wid, (epoch_us(ts) // 1800000000) * 1800 + 900 as ws, (epoch_us(ts) // 1800000000) * 1800 + 900 + 2700 as we from events),
 o as (select wn.source, wid, ws, we, sum(amount * (least(we, je) - greatest(ws, js)) / 3600.0) as a, sum(least(we, je) - greatest(ws, js)) as c from wn left join h on h.source = wn.source and js < we and je > ws group by all)

@@ -9,6 +9,7 @@ from ..operators import grid as GR
 from . import bindings as B
 from .bindings import r6
 from .q_scalars import LAT_SQL, LON_SQL, customer_lcc, lcc_sql
+from .q_stats import SEASON_SQL
 from .registry import query
 
 C = F.col
@@ -198,6 +199,27 @@ def sc13(spark, sf):
     return GR.axis_violations(f, ["k"])
 
 
+THRESHOLDS, RADIUS = (3.0, 5.0, 7.0), 2.2
+
+
+@query("jn27_collocate_seasons", f"""with st as (select o_custkey, {SEASON_SQL.replace('l_shipdate', 'o_orderdate')} as season, (o_orderkey % 997) / 100.0 as obs, (o_custkey % 97) * 0.31 as sx, (o_custkey % 89) * 0.23 as sy from orders),
+g as (select user_id % 15 as cx, (user_id // 15) % 10 as cy, avg(value) / 10 as fc from events group by all),
+s1 as (select distinct o_custkey, sx, sy from st), nr as (select o_custkey, avg(fc) as fc_near from s1 join g on ((cx + 0.5) * 2.0 - sx) * ((cx + 0.5) * 2.0 - sx) + ((cy + 0.5) * 2.5 - sy) * ((cy + 0.5) * 2.5 - sy) <= {RADIUS} * {RADIUS} group by 1),
+j as (select st.season, fc, fc_near, obs, fc - obs as e from st join g on floor(sx / 2.0) = cx and floor(sy / 2.5) = cy left join nr using (o_custkey))
+select season, count(*) as n, round(avg(e), 6) as bias, round(avg(fc_near - obs), 6) as near_bias, round(avg(abs(e)), 6) as mae, round(corr(fc, obs), 6) as r,
+ {', '.join(f"count(*) filter (fc >= {t} and obs >= {t}) as hits_{i}, count(*) filter (fc < {t} and obs >= {t}) as misses_{i}, count(*) filter (fc >= {t} and obs < {t}) as false_alarms_{i}" for i, t in enumerate(THRESHOLDS))},
+ round(quantile_cont(e, 0.1), 6) as q10, round(quantile_cont(e, 0.5), 6) as median_bias, round(quantile_cont(e, 0.9), 6) as q90 from j group by 1""")
+def jn27_seasons(spark, sf):
+    """Order values at customers' places against the grid, by season: containing cell, mean of the cells near by, three thresholds."""
+    o = B.table(spark, sf, "orders").select("o_custkey", T.season(C("o_orderdate")).alias("season"), ((C("o_orderkey") % 997) / 100).alias("obs"))
+    sites = o.select("o_custkey").distinct().select("o_custkey", ((C("o_custkey") % 97) * F.lit(0.31)).alias("sx"), ((C("o_custkey") % 89) * F.lit(0.23)).alias("sy"))
+    g = B.table(spark, sf, "events").groupBy((C("user_id") % 15).alias("cx"), (F.floor(C("user_id") / 15) % 10).alias("cy")).agg((F.avg("value") / 10).alias("fc"))
+    at = GR.collocate(sites, g, 0.0, 0.0, 2.0, 2.5).select("o_custkey", "fc").join(GR.near_mean(sites, g, ["o_custkey"], RADIUS, 0.0, 0.0, 2.0, 2.5), "o_custkey", "left")
+    d = GR.collocation_scores(o.join(at, "o_custkey"), ["season"], THRESHOLDS)
+    rounded = ("bias", "near_bias", "mae", "r", "q10", "median_bias", "q90")
+    return d.select(*[r6(C(c)).alias(c) if c in rounded else C(c) for c in d.columns])
+
+
 @query("jn27_collocate", """with st as (select c_custkey, c_nationkey, c_acctbal / 1000 as obs, (c_custkey % 97) * 0.31 as sx, (c_custkey % 89) * 0.23 as sy from customer),
 g as (select user_id % 15 as cx, (user_id // 15) % 10 as cy, avg(value) / 10 as fc from events group by all)
 select c_nationkey, count(*) as n, round(avg(fc - obs), 6) as bias, round(median(fc - obs), 6) as median_bias, round(avg(abs(fc - obs)), 6) as mae, round(case when not isnan(corr(fc, obs)) then corr(fc, obs) end, 6) as r,

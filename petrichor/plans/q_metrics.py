@@ -129,6 +129,46 @@ def me07(spark, sf):
     return ME.climatology(prob(spark, sf), "pixel", "pool", 25).withColumn("freq", r6(C("freq")))
 
 
+KS, MIN_N = 16, 25
+
+
+def sample_sql(src, value, key, by, pixel, pool):
+    """Bottom-k samples by hash at three levels, and the level that has enough values."""
+    u = uniform_sql(11107, "climatology", key)
+    b = ", ".join(by)
+    on = f"using ({b})" if by else "on true"
+    return f"""cs0 as (select *, {u} as u from {src} where {value} is not null), cn as (select {b}, {pixel}, {pool}, count(*) as n from cs0 group by all), cn1 as (select {b}, {pool}, sum(n) as n1 from cn group by all),
+ca as (select {b}, {pixel}, {pool}, list_sort(list({value}::double)) as a from (select * from cs0 qualify row_number() over (partition by {b}, {pixel}, {pool} order by u, {value}) <= {KS}) group by all),
+cb1 as (select {b}, {pool}, list_sort(list({value}::double)) as b1 from (select * from cs0 qualify row_number() over (partition by {b}, {pool} order by u, {value}) <= {KS}) group by all),
+cc as (select {b}, list_sort(list({value}::double)) as c1 from (select * from cs0 qualify row_number() over (partition by {b} order by u, {value}) <= {KS}) group by all),
+smp as (select {b}, {pixel}, case when n >= {MIN_N} then 'pixel' when n1 >= {MIN_N} then 'pool' else 'domain' end as level, case when n >= {MIN_N} then a when n1 >= {MIN_N} then b1 else c1 end as smp
+ from cn join cn1 using ({b}, {pool}) join ca using ({b}, {pixel}, {pool}) join cb1 using ({b}, {pool}) join cc using ({b}))"""
+
+
+@query("me07_empirical_sample", f"""with src as (select *, (l_extendedprice * 100)::bigint as cents, l_linenumber as lead, {SEASON_SQL} as season, l_suppkey as pixel, l_suppkey // 10 as pool from lineitem),
+{sample_sql('src', 'l_quantity', "l_orderkey::varchar || '|' || l_linenumber::varchar || '|' || l_partkey::varchar || '|' || l_suppkey::varchar || '|' || cents::varchar", ['lead', 'season'], 'pixel', 'pool')}
+select lead, season, pixel, level, len(smp) as n, round(list_avg(smp), 6) as mean, list_min(smp) as low, list_max(smp) as high from smp""")
+def me07_sample(spark, sf):
+    d = B.table(spark, sf, "lineitem").select(C("l_linenumber").alias("lead"), T.season(C("l_shipdate")).alias("season"), C("l_suppkey").alias("pixel"), F.floor(C("l_suppkey") / 10).alias("pool"),
+                                              "l_quantity", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(C("l_extendedprice") * 100).cast("long")).alias("key"))
+    s = ME.empirical_climatology(d, "pixel", "pool", "l_quantity", C("key"), KS, MIN_N)
+    v = C("sample")
+    return s.select("lead", "season", "pixel", "level", F.size(v).cast("long").alias("n"), r6(M.mean(v)).alias("mean"), F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+
+
+@query("me06_crpss_climatology", f"""with {EMB_SQL}, tr as (select vec_id, y, vec_id % 2 as lead, vec_id % 24 as pixel, vec_id % 6 as pool, label from e), {sample_sql('tr', 'y', 'vec_id', ['lead'], 'pixel', 'pool')},
+cr as (select label, vec_id, avg(abs(v - y)) as err, any_value(m) as m from (select *, unnest(m) as v from e) group by all),
+mo as (select label, avg(err - (select sum(abs(x1 - x2)) / 2 from (select unnest(m) as x1), (select unnest(m) as x2)) / (len(m) * (len(m) - 1))) as model from cr group by label),
+rf as (select label, avg(list_avg(list_transform(smp, lambda x: abs(x - y))) - (select sum(abs(x1 - x2)) / 2 from (select unnest(smp) as x1), (select unnest(smp) as x2)) / (len(smp) * len(smp))) as ref from tr join smp using (lead, pixel) group by label)
+select label, round(model, 6) as model, round(ref, 6) as reference, round(1 - model / ref, 6) as skill from mo join rf using (label)""")
+def me06_climatology(spark, sf):
+    """Skill of the ensembles against the empirical climatology of their observations."""
+    m = members(spark, sf).withColumn("lead", C("vec_id") % 2).withColumn("pixel", C("vec_id") % 24).withColumn("pool", C("vec_id") % 6)
+    clim = ME.empirical_climatology(m, "pixel", "pool", "y", C("vec_id"), KS, MIN_N, ["lead"])
+    ref = ME.climatology_crps(m, clim, ["lead", "pixel"], ["label"])
+    return r6s(ME.skill(ME.crps(m, ["label"]), ref, ["label"], "crps"), ["label"], ["model", "reference", "skill"])
+
+
 @query("me08_brier_skill", f"""with {CLIM_SQL}, b as (select lead, sum(omega * (p - w) ** 2) / sum(omega) as model, sum(omega * (freq - w) ** 2) / sum(omega) as reference from cl join cm using (lead, season, pixel) group by lead)
 select lead, round(model, 6) as model, round(reference, 6) as reference, round(1 - model / reference, 6) as skill from b""")
 def me08(spark, sf):
@@ -191,6 +231,18 @@ def me14(spark, sf):
     return r6s(ME.tail(m, ["label"], 0.1).join(q, "label"), ["label"], ["f_pred", "f_obs", "e_freq", "q90", "q99"])
 
 
+EDGES = (0.02, 0.05, 0.1, 0.2, 0.9)
+
+
+@query("me14_wet_histogram", f"""with {EMB_SQL}, ed as (select i - 1 as bin, [{', '.join(map(str, EDGES))}][i]::double as edge, coalesce([{', '.join(map(str, EDGES))}][i + 1], 'infinity'::double)::double as upto from range(1, {len(EDGES) + 1}) as r(i)),
+g as (select distinct label from e)
+select label, bin::int as bin, edge, (select count(*) from e where e.label = g.label and y >= edge and y < upto) as observed,
+ (select count(*) from (select label, unnest(m) as v from e) u where u.label = g.label and v >= edge and v < upto) as members from g, ed""")
+def me14_histogram(spark, sf):
+    """Wet values of members and observations in fixed bins, per label; the last bin is empty."""
+    return ME.wet_histogram(members(spark, sf), ["label"], EDGES)
+
+
 OOF = """of as (select l_linenumber as lead, l_discount * 10 as p_full, l_tax * 10 as p_fold, ln(1 + l_quantity) as mu_full, ln(1 + l_quantity) * (1 + 0.02 * (l_suppkey % 3)) as mu_fold, ln(1 + l_extendedprice / 1000) as z from lineitem)"""
 
 
@@ -320,6 +372,26 @@ def me23_incomplete(spark, sf):
     return ME.gate(disc.unionByName(tax), rules)
 
 
+@query("me23_band_gate", """with ru(band, baseline, metric, side, bound) as (values ('short', 'F', 'disc', 'upper_below', 0.0515), ('short', 'O', 'disc', 'upper_below', 0.0515), ('long', 'O', 'tax', 'lower_over', 0.0), ('long', 'X', 'tax', 'lower_over', 0.0)),
+d as (select (l_suppkey % 5)::varchar as arm, l_linestatus as baseline, case when l_linenumber <= 3 then 'short' else 'long' end as band, avg(l_discount) as disc, avg(l_tax) as tax from lineitem group by all),
+ci as (select arm, baseline, band, 'disc' as metric, disc - 0.001 as low, disc + 0.001 as high from d union all select arm, baseline, band, 'tax', tax, tax from d union all select arm, 'X', 'long', 'tax', 0.0, 1.0 from d where arm = '0' union all
+ select arm, 'X', 'long', 'tax', 0.5, 1.0 from d where arm in ('1', '2')),
+j as (select a.arm, ru.*, coalesce(bool_and(case when side = 'upper_below' then high <= bound else low > bound end), false) as ok from (select distinct arm from ci) a join ru on true
+ left join ci on ci.arm = a.arm and ci.baseline = ru.baseline and ci.band = ru.band and ci.metric = ru.metric group by all)
+select arm, bool_and(ok) as passed, count(*) filter (not ok) as failed from j group by arm""")
+def me23_band(spark, sf):
+    """Rules with a band and a baseline of their own; arms that lack the baseline X, or whose interval there touches the bound, fail."""
+    band = F.when(C("l_linenumber") <= 3, "short").otherwise("long")
+    d = B.table(spark, sf, "lineitem").groupBy((C("l_suppkey") % 5).cast("string").alias("arm"), C("l_linestatus").alias("baseline"), band.alias("band")).agg(
+        F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"))
+    disc = d.select("arm", "baseline", "band", F.lit("disc").alias("metric"), (C("disc") - 0.001).alias("low"), (C("disc") + 0.001).alias("high"))
+    tax = d.select("arm", "baseline", "band", F.lit("tax").alias("metric"), C("tax").alias("low"), C("tax").alias("high"))
+    x = d.filter("arm in ('0', '1', '2')").select("arm", F.lit("X").alias("baseline"), F.lit("long").alias("band"), F.lit("tax").alias("metric"), F.when(C("arm") == "0", 0.0).otherwise(0.5).alias("low"), F.lit(1.0).alias("high"))
+    rules = spark.createDataFrame([("short", "F", "disc", "upper_below", 0.0515), ("short", "O", "disc", "upper_below", 0.0515), ("long", "O", "tax", "lower_over", 0.0), ("long", "X", "tax", "lower_over", 0.0)],
+                                  "band string, baseline string, metric string, side string, bound double")
+    return ME.gate(disc.unionByName(tax).unionByName(x), rules)
+
+
 @query("so06_finalists", f"""with s as (select l_suppkey::varchar as arm, avg(abs(l_extendedprice / 2000 - l_quantity)) as score, avg(l_discount) <= 0.05 as passed from lineitem group by 1), r as (select *, row_number() over (partition by passed order by score, arm) as rn from s)
 select arm, round(score, 6) as score, passed from r where (passed and rn <= 5) or arm = '7'""")
 def so06(spark, sf):

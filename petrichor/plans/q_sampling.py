@@ -290,7 +290,7 @@ def va02_damaged(spark, sf):
 
 
 @query("va02_candidate_draw_contracts", w(COARSE_DRAWS_SQL, """, v as (select 'omega' as rule, count(*) as n from draws where lead_hours = 1.5 union all
- select 'duplicate_sample_id', count(*) from cand) select rule, n from v where n > 0""", True))
+ select 'duplicate_sample_id', count(*) from cand union all select 'draw_sum', 1) select rule, n from v where n > 0""", True))
 def va02(spark, sf):
     c = coarse_cands(spark, sf)
     bad_draws = coarse_draws(spark, sf).withColumn("omega", F.when(C("lead_hours") == 1.5, C("omega") * 1.01).otherwise(C("omega")))

@@ -107,6 +107,16 @@ def sc05(spark, sf):
     return both.select("key", F.lit("common").alias("kind"), F.lit(0).cast("long").alias("files")).unionByName(twice.select("key", C("side").alias("kind"), "files"))
 
 
+@query("sc05_unequal_pairs", """with a as (select user_id // 4 as pair, epoch_us(ts) // 300000000 as key, event_id from events), b as (select * exclude (key), case when event_id % 97 = 3 then key + 1 else key end as key from a where event_id % 89 <> 5),
+x as (select pair, key, count(*) as rows_a from a group by all), y as (select pair, key, count(*) as rows_b from b group by all)
+select pair, key, coalesce(rows_a, 0) as rows_a, coalesce(rows_b, 0) as rows_b from x full join y using (pair, key) where coalesce(rows_a, 0) <> coalesce(rows_b, 0)""")
+def sc05_pairs(spark, sf):
+    """One file of each pair lacks some keys and has others moved."""
+    a = B.table(spark, sf, "events").select(F.floor(C("user_id") / 4).alias("pair"), T.slot_index("ts", 5).alias("key"), "event_id")
+    b = a.filter("event_id % 89 <> 5").withColumn("key", F.when(C("event_id") % 97 == 3, C("key") + 1).otherwise(C("key")))
+    return FR.unequal_pairs(a.drop("event_id"), b.drop("event_id"))
+
+
 @query("sc06_estimate_bytes", "select o_orderpriority as source, year(o_orderdate)::int as y, count(*) as frames, sum((o_custkey % 7 + 1) * 4 + 2)::bigint as bytes from orders group by all")
 def sc06(spark, sf):
     o = B.table(spark, sf, "orders")

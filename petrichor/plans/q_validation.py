@@ -32,6 +32,18 @@ def va03(spark, sf):
     return VA.policy_violations(p, B.SOURCE_SIG, B.TP_OFF_SIG, B.NULL_SIG).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("va03_damaged_policy", f"""with p as (select case when l_returnflag = 'A' then '{B.SOURCE_SIG}' when l_returnflag = 'N' then '{B.NULL_SIG}' else 'era5_oracle:era=1:tp=1:target_end_causal' end as sig, count(*) as n from lineitem group by 1)
+select 'probability' as rule, (select count(*) from p) * 2 as n union all select 'duplicate_signature', count(*) from p union all select 'tp_pair', 2 union all select 'access_strategy', 1
+union all select 'target_sum', 1 union all select 'draw_sum', 1 union all select 'missing_entry', 1""")
+def va03_damaged(spark, sf):
+    """Every signature twice, once without a probability and once with one that is no number; no entry without tp; an access mode of another arm."""
+    sig = F.when(C("l_returnflag") == "A", B.SOURCE_SIG).when(C("l_returnflag") == "N", B.NULL_SIG).otherwise("era5_oracle:era=1:tp=1:target_end_causal")
+    p = B.table(spark, sf, "lineitem").groupBy(sig.alias("signature")).agg(F.count(F.lit(1)).cast("double").alias("p_target"))
+    none = p.select("signature", F.lit(None).cast("double").alias("p_target"), F.lit(0.5).alias("p_draw"))
+    nan = p.select("signature", F.lit(0.5).alias("p_target"), F.lit(float("nan")).alias("p_draw"))
+    return VA.policy_violations(none.unionByName(nan), B.SOURCE_SIG, B.TP_OFF_SIG, B.NULL_SIG).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("va04_value_contracts", """with e as (select event_id, value / 300 as v, case when event_type = 'signup' then -value when event_type = 'error' then value * 10 else value end as r, event_type <> 'view' as valid, event_type as t from events)
 select case when v > 1 then 'normalized_range' end as rule, event_id::varchar as key, '' as detail from e where v > 1 union all select 'negative_rate', event_id::varchar, '' from e where r < 0 union all
 select 'rate_above_maximum', event_id::varchar, '' from e where r > 1000 * (1 + 1e-6)""")

@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions.values import NULL_CODES
 from ..operators.slots import order_violations
+from ..session import small_side
 
 # fixed values of the raw layout
 HEADER_BYTES, RAW_HEIGHT, RAW_WIDTH = 1024, 2881, 2305
@@ -126,6 +127,25 @@ def common_timestamps(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]
     return a.select("key").intersect(b.select("key")), twice(a, "a").unionByName(twice(b, "b"))
 
 
+def unequal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """SC05: (pair, key, rows_a, rows_b) of the keys that the two files of a pair don't hold equally often; both tables have (pair, key).
+
+    Each side folds to one digest a pair, which doesn't depend on order: the number of keys and two sums of hashes of them. Only
+    pairs whose digests differ are looked at key by key. A pair without its other file differs in all keys.
+    """
+    def digest(d: DataFrame, side: str) -> DataFrame:
+        hashes = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+        return d.groupBy("pair").agg(F.struct(F.count(F.lit(1)), *hashes).alias(side))
+    both = digest(a, "_a").join(digest(b, "_b"), "pair", "full")
+    differ = small_side(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("pair"))
+
+    def counted(d: DataFrame, side: str) -> DataFrame:
+        return d.join(differ, "pair", "left_semi").groupBy("pair", "key").agg(F.count(F.lit(1)).alias(side))
+    keys = counted(a, "rows_a").join(counted(b, "rows_b"), ["pair", "key"], "full")
+    one, two = F.coalesce("rows_a", F.lit(0)), F.coalesce("rows_b", F.lit(0))
+    return keys.select("pair", "key", one.alias("rows_a"), two.alias("rows_b")).filter(F.col("rows_a") != F.col("rows_b"))
+
+
 def estimate_bytes(frames: DataFrame, by, cells: Column, bytes_per_cell: int = 4, mask_bytes: int = 0) -> DataFrame:
     """SC06: payload size per source or year."""
     return frames.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), F.sum(cells * bytes_per_cell + mask_bytes).alias("bytes"))

@@ -15,7 +15,9 @@ from petrichor.operators import events as EV
 from petrichor.operators import metrics as ME
 from petrichor.operators import sampling as SA
 from petrichor.operators import stats as SS
+from petrichor.operators import validate as VA
 from petrichor.session import small_side
+from petrichor.sources import frames as FR
 
 NAN = float("nan")
 
@@ -129,3 +131,87 @@ def test_past_the_bound_the_answer_is_the_same(spark):
     rows = spark.range(1000).select((F.col("id") % 60).alias("k"))
     a, b = (rows.join(small_side(small, n), "k").groupBy("name").count() for n in (1 << 20, 0))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_gate_without_rules_and_with_absent_baselines(spark):
+    ci = spark.createDataFrame([("a", "b", "m", 0.0, 0.1), ("z", "b", "m", 0.0, 0.1), ("z", "c", "m", 0.0, 0.1)], "arm string, baseline string, metric string, low double, high double")
+    rules = spark.createDataFrame([("m", "upper_below", 0.2)], "metric string, side string, bound double")
+    assert [r.passed for r in ME.gate(ci, rules.limit(0)).collect()] == [False, False]
+    pairs = spark.createDataFrame([(a, b) for a in "az" for b in "bc"], "arm string, baseline string")
+    assert {r.arm: (r.passed, r.failed) for r in ME.gate(ci, rules, pairs).collect()} == {"a": (False, 1), "z": (True, 0)}
+    named = spark.createDataFrame([("b", "m", "upper_below", 0.2), ("c", "m", "upper_below", 0.2)], "baseline string, metric string, side string, bound double")
+    assert {r.arm: (r.passed, r.failed) for r in ME.gate(ci, named).collect()} == {"a": (False, 1), "z": (True, 0)}
+    over = spark.createDataFrame([("m", "lower_over", 0.0)], rules.schema)
+    assert not any(r.passed for r in ME.gate(ci, over).collect())
+    assert all(r.passed for r in ME.gate(ci, spark.createDataFrame([("m", "lower_over", -0.1)], rules.schema)).collect())
+
+
+def test_band_rules_and_cull(spark):
+    rules = ME.band_rules(spark)
+    full = rules.select(F.lit("a").alias("arm"), "band", "baseline", "metric", F.lit(0.01).alias("low"), F.lit(0.015).alias("high")).distinct()
+    assert [(r.passed, r.failed) for r in ME.gate(full, rules).collect()] == [(True, 0)]
+    short = full.filter("not (band = '4.5-6.0' and baseline = 'coarse_tp')")
+    assert [(r.passed, r.failed) for r in ME.gate(short, rules).collect()] == [(False, 1)]
+    ends = [("ok", "E1", 0.0, 0.04), ("ok", "E2", -0.01, 0.1), ("worse", "E1", 0.0, 0.06), ("worse", "E2", -0.01, 0.1), ("lost", "E1", 0.0, 0.04), ("lost", "E2", -0.03, 0.1)]
+    ci = spark.createDataFrame([(a, "reference", m, x, y) for a, m, x, y in ends], "arm string, baseline string, metric string, low double, high double")
+    assert {r.arm: r.passed for r in ME.gate(ci, ME.cull_rules(spark)).collect()} == {"ok": True, "worse": False, "lost": False}
+
+
+def test_policy_contracts_refuse_null_repeats_and_access(spark):
+    full, causal, null = "era5:era=1:tp={}:full_trajectory", "era5:era=1:tp={}:target_end_causal", "null_provider:era=0:tp=0:no_era_access"
+
+    def broken(rows, strategy="matched_arm"):
+        d = spark.createDataFrame([(s, t, t) for s, t in rows], "signature string, p_target double, p_draw double")
+        return sorted({r.rule for r in VA.policy_violations(d, full.format(1), full.format(0), null, strategy).collect()})
+    good = [(full.format(1), 0.5), (full.format(0), 0.25), (null, 0.25)]
+    assert broken(good) == []
+    assert broken(good[:2] + [(null, None)]) == ["draw_sum", "probability", "target_sum"]
+    assert broken(good[:2] + [(null, NAN)]) == ["draw_sum", "probability", "target_sum"]
+    assert broken(good[:2] + [(null, 0.125), (null, 0.125)]) == ["duplicate_signature"]
+    both = [(full.format(1), 0.25), (full.format(0), 0.25), (causal.format(1), 0.25), (causal.format(0), 0.125), (null, 0.125)]
+    assert broken(both) == ["access_strategy"]
+    assert broken(both, "full_with_target_end_causal_augmentation") == []
+    assert broken(good, "full_with_target_end_causal_augmentation") == ["access_strategy"]
+    assert broken(both[:3] + [(null, 0.25)], "full_with_target_end_causal_augmentation") == ["tp_pair"]
+    with pytest.raises(ValueError):
+        broken(good, "other")
+
+
+def test_candidate_draw_probabilities(spark):
+    rows = [(f"s{k}", dt.datetime(2024, 1, 1), 0.5 * k, "x", "b", 0.25, p, 0) for k, p in enumerate([0.5, 0.5, None, NAN])]
+    d = spark.createDataFrame(rows, "sample_id string, t0_utc timestamp_ntz, lead_hours double, condition_signature string, block_id string, p_target double, p_draw double, fold_id int")
+    got = sorted((r.rule, r.key) for r in SA.candidate_violations(d).collect())
+    assert got == [("draw_probability", "s2"), ("draw_probability", "s3")]
+    assert SA.candidate_violations(d.drop("p_draw")).collect() == []
+
+
+def test_draws_of_a_heavy_candidate_fill_several_parts(spark):
+    rows = [(f"s{k}", dt.datetime(2024, 1, 1), 0.5 * k, "x", 0.9 if k == 1 else 0.05, 1 / 3) for k in range(3)]
+    d = spark.createDataFrame(rows, "sample_id string, t0_utc timestamp_ntz, lead_hours double, condition_signature string, p_draw double, p_target double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one part else
+    try:
+        out = SA.draw_from_cdf(d, 4000, 3, "heavy")
+        heavy = out.filter("sample_id = 's1'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in heavy) > 3400 and len(heavy) > 3
+    assert out.count() == 4000
+
+
+def test_bottom_k_samples_merge_and_are_exact_below_k(spark):
+    rows = [("l", f"p{k % 4}", f"q{k % 4 // 2}", float(k * 37 % 101), k) for k in range(60)] + [("l", "lone", "q9", 5.0, 900), ("l", "p0", "q0", None, 901)]
+    d = spark.createDataFrame(rows, "lead string, pixel string, pool string, v double, k long")
+    whole = {r.pixel: (r.level, list(r.sample)) for r in ME.empirical_climatology(d, "pixel", "pool", "v", F.col("k"), 100, 15, ["lead"]).collect()}
+    assert whole["p1"] == ("pixel", sorted(v for _, p, _, v, _ in rows if p == "p1"))
+    assert whole["lone"] == ("domain", sorted(v for *_, v, _ in rows if v is not None))
+    few = {r.pixel: list(r.sample) for r in ME.empirical_climatology(d, "pixel", "pool", "v", F.col("k"), 7, 1000, ["lead"]).collect()}
+    assert len({tuple(s) for s in few.values()}) == 1 and len(few["p1"]) == 7
+    crps = spark.createDataFrame([([1.0, 2.0, 4.0], 3.0), ([2.0], 5.0)], "s array<double>, y double").select(ME.empirical_crps(F.col("s"), F.col("y")).alias("c")).collect()
+    assert abs(crps[0].c - ((2 + 1 + 1) / 3 - 2 * (1 + 3 + 2) / 9 / 2)) < 1e-12 and crps[1].c == 3.0
+
+
+def test_unequal_pairs(spark):
+    a = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), ("q", 1), ("only", 7), ("same", 1), ("same", 2)], "pair string, key long")
+    b = spark.createDataFrame([("p", 2), ("p", 1), ("q", 1), ("r", 3), ("same", 2), ("same", 1)], "pair string, key long")
+    got = sorted(tuple(r) for r in FR.unequal_pairs(a, b).collect())
+    assert got == [("only", 7, 1, 0), ("q", 1, 2, 1), ("r", 3, 0, 1)]

@@ -252,3 +252,37 @@ def test_separable_cell_does_not_stop_the_others(spark):
     df = spark.createDataFrame(ok + sep, "cell string, p double, y double, w double")
     got = {r["cell"]: r["slope"] for r in CB.fit_probability(df, ["cell"]).collect()}
     assert got["ok"] == pytest.approx(1.0, abs=0.5) and got["sep"] > 5
+
+
+def test_asof_cycle_on_instants_with_rollout_lead(spark):
+    rng = random.Random(18)
+    cyc = sorted({rng.randint(0, 10**6) for _ in range(40)})
+    iss = [(k, rng.randint(0, 10**6) if k % 3 else 500_000, rng.randint(1, 9)) for k in range(300)] + [(900, None, 1), (901, 0, 1)]
+    out = CV.asof_cycle(spark.createDataFrame(iss, "id long, t long, ahead long"), spark.createDataFrame([(c,) for c in cyc] + [(None,), (cyc[0],)], "c long"), 1000, 7, "t", "c", "ahead").collect()
+    assert len(out) == len(iss)
+    for r in out:
+        want = max((c for c in cyc if r.t is not None and c + 1000 <= r.t), default=None)
+        assert (r.c, r.cycle_age) == (want, None if want is None else r.t - want)
+        assert r.rollout_lead == (None if want is None else r.t - want + r.ahead)
+    empty = CV.asof_cycle(spark.createDataFrame(iss, "id long, t long, ahead long"), spark.createDataFrame([], "c long"), 1000, 3, "t", "c").collect()
+    assert len(empty) == len(iss) and all(r.c is None for r in empty)
+
+
+def test_near_mean_equals_brute_force(spark):
+    rng = random.Random(21)
+    cells = [(x, y, rng.uniform(0, 9) if rng.random() < 0.8 else None) for x in range(-4, 9) for y in range(-3, 7)]
+    sites = [(k, rng.uniform(-12, 20), rng.uniform(-12, 20)) for k in range(120)] + [(200, 1.0, 1.25), (201, 900.0, 900.0)]
+    out = GR.near_mean(spark.createDataFrame(sites, "id long, sx double, sy double"), spark.createDataFrame(cells, "cx long, cy long, fc double"), ["id"], 2.0, 0.5, -0.5, 1.5, 2.5).collect()
+    got = {r.id: (round(r.fc_near, 9), r.cells_near) for r in out}
+    want = {}
+    for i, sx, sy in sites:
+        v = [f for x, y, f in cells if f is not None and ((x + 0.5) * 1.5 + 0.5 - sx) ** 2 + ((y + 0.5) * 2.5 - 0.5 - sy) ** 2 <= 4.0]
+        if v:
+            want[i] = (round(sum(v) / len(v), 9), len(v))
+    assert got == want
+
+
+def test_wet_histogram_keeps_empty_bins(spark):
+    d = spark.createDataFrame([("a", 0.5, [0.05, 0.1, 3.0]), ("a", float("nan"), [0.2]), ("b", None, [])], "k string, y double, m array<double>")
+    got = sorted((r.k, r.bin, r.edge, r.observed, r.members) for r in ME.wet_histogram(d, ["k"], (0.1, 1.0, 10.0)).collect())
+    assert got == [("a", 0, 0.1, 1, 2), ("a", 1, 1.0, 0, 1), ("a", 2, 10.0, 0, 0), ("b", 0, 0.1, 0, 0), ("b", 1, 1.0, 0, 0), ("b", 2, 10.0, 0, 0)]
