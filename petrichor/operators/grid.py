@@ -7,9 +7,12 @@ or destination line) are therefore the only tables broadcast here.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
 from ..functions.values import A_WET, clip
 
@@ -157,28 +160,84 @@ def densify(cells: DataFrame, by, height: int, width: int, values) -> DataFrame:
     return (grid.join(have, [*by, "y", "x"], "left").withColumn("present", F.coalesce("_p", F.lit(False))).drop("_p"))
 
 
-def neighbourhood_sum(dense: DataFrame, by, length: int, values: dict[str, Column]) -> DataFrame:
-    """WN08: sums over the even square -(L/2-1)..+L/2, cut at the border; separable, one grid row or column per task."""
+#: Side of the tiles in which neighbourhoods are worked out.
+TILE = 64
+
+
+def _tiled(dense: DataFrame, by, low: int, high: int, inputs: dict[str, Column], work, schema: str) -> DataFrame:
+    """``dense`` with what ``work`` gives for each pixel from the pixels at offsets ``low`` to ``high`` in both directions.
+
+    Pixels are dealt once, by (by, tile). A pixel near a tile's edge goes to the tiles beside it too, as halo, so a tile has all
+    that its own pixels need and is a bounded group of (TILE + high - low) squared pixels. ``work`` takes the rows of a tile as an
+    Arrow table, with places of all pixels and numbers of its own ones, and returns columns for the latter.
+    """
     by = list(by)
+
+    def tiles(c):
+        return F.explode(F.sequence(F.floor((F.col(c) - high) / TILE), F.floor((F.col(c) - low) / TILE)))
+    kept = dense.columns
+    d = dense.select(*kept, *[v.alias(f"_in_{k}") for k, v in inputs.items()]).withColumn("_ty", tiles("y")).withColumn("_tx", tiles("x"))
+    own = (F.floor(F.col("y") / TILE) == F.col("_ty")) & (F.floor(F.col("x") / TILE) == F.col("_tx"))
+    out = StructType([*dense.schema.fields, *StructType.fromDDL(schema).fields])
+
+    def run(t: pa.Table) -> pa.Table:
+        y, x = np.asarray(t["y"]).astype(np.int64), np.asarray(t["x"]).astype(np.int64)
+        mine = np.flatnonzero(np.asarray(t["_own"]))
+        place = (y - y.min(), x - x.min())
+        shape = (int(place[0].max()) + 1, int(place[1].max()) + 1)
+        rows = t.take(pa.array(mine)).select(kept)
+        for name, column in work(t, place, shape, mine).items():
+            rows = rows.append_column(name, column)
+        return rows
+    return d.withColumn("_own", own).groupBy(*by, "_ty", "_tx").applyInArrow(run, out)
+
+
+def _moved_sum(grid: np.ndarray, low: int, high: int, axis: int) -> np.ndarray:
+    """For each place the sum of ``grid`` at offsets ``low`` to ``high`` along ``axis``; nothing lies outside."""
+    out = np.zeros_like(grid)
+    n = grid.shape[axis]
+    for k in range(low, high + 1):
+        if abs(k) < n:
+            to, of = [slice(None)] * 2, [slice(None)] * 2
+            to[axis], of[axis] = slice(max(0, -k), n - max(0, k)), slice(max(0, k), n - max(0, -k))
+            out[tuple(to)] += grid[tuple(of)]
+    return out
+
+
+def neighbourhood_sum(dense: DataFrame, by, length: int, values: dict[str, Column]) -> DataFrame:
+    """WN08: sums over the even square -(L/2-1)..+L/2, cut at the border; null where no value lies in it. One shuffle, by tile."""
     lo, hi = -(length // 2 - 1), length // 2
-    row = W.partitionBy(*by, "y").orderBy("x").rangeBetween(lo, hi)
-    col = W.partitionBy(*by, "x").orderBy("y").rangeBetween(lo, hi)
-    d = dense.select(*dense.columns, *[F.sum(v).over(row).alias(f"_{k}") for k, v in values.items()])
-    return d.select(*dense.columns, *[F.sum(f"_{k}").over(col).alias(k) for k in values])
+    kinds = {f.name: f.dataType for f in dense.select(*[v.alias(k) for k, v in values.items()]).schema}
+    whole = {k: isinstance(t, (ByteType, ShortType, IntegerType, LongType)) for k, t in kinds.items()}
+    inputs = {k: v.cast("long" if whole[k] else "double") for k, v in values.items()}
+
+    def work(t, place, shape, mine):
+        out = {}
+        for k in whole:
+            column = t[f"_in_{k}"].combine_chunks()
+            there = np.asarray(column.is_valid())
+            grid, seen = np.zeros(shape, dtype=np.int64 if whole[k] else np.float64), np.zeros(shape, dtype=np.int64)
+            grid[place], seen[place] = np.asarray(column.fill_null(0)), there
+            for axis in (1, 0):
+                grid, seen = _moved_sum(grid, lo, hi, axis), _moved_sum(seen, lo, hi, axis)
+            at = (place[0][mine], place[1][mine])
+            out[k] = pa.array(grid[at], mask=seen[at] == 0)
+        return out
+    return _tiled(dense, by, lo, hi, inputs, work, ", ".join(f"`{k}` {'bigint' if whole[k] else 'double'}" for k in values))
 
 
 def chebyshev_bin(dense: DataFrame, by, invalid: Column) -> DataFrame:
-    """WN09: distance class to the nearest invalid cell: 0, 1-2, 3-8, far."""
-    by = list(by)
-
-    def within(d, k, out):
-        row = W.partitionBy(*by, "y").orderBy("x").rangeBetween(-k, k)
-        col = W.partitionBy(*by, "x").orderBy("y").rangeBetween(-k, k)
-        return d.withColumn(f"_r{k}", F.max("_inv").over(row)).withColumn(out, F.max(f"_r{k}").over(col)).drop(f"_r{k}")
-    d = dense.withColumn("_inv", invalid.cast("int"))
-    d = within(within(d, 2, "_near"), 8, "_mid")
-    label = F.when(F.col("_inv") == 1, "0").when(F.col("_near") == 1, "1-2").when(F.col("_mid") == 1, "3-8").otherwise("far")
-    return d.withColumn("distance_bin", label).drop("_inv", "_near", "_mid")
+    """WN09: distance class to the nearest invalid cell: 0, 1-2, 3-8, far. One shuffle, by tile."""
+    def work(t, place, shape, mine):
+        bad = np.zeros(shape, dtype=np.int64)
+        bad[place] = np.asarray(t["_in_bad"].combine_chunks().fill_null(0))
+        at = (place[0][mine], place[1][mine])
+        label = np.full(len(mine), "far", dtype=object)
+        for reach, name in ((8, "3-8"), (2, "1-2"), (0, "0")):
+            near = _moved_sum(_moved_sum(bad, -reach, reach, 1), -reach, reach, 0)
+            label[near[at] > 0] = name
+        return {"distance_bin": pa.array(label, pa.string())}
+    return _tiled(dense, by, -8, 8, {"bad": invalid.cast("long")}, work, "distance_bin string")
 
 
 def curvilinear_spacing(grid: DataFrame, by=()) -> DataFrame:

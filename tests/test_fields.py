@@ -286,3 +286,26 @@ def test_wet_histogram_keeps_empty_bins(spark):
     d = spark.createDataFrame([("a", 0.5, [0.05, 0.1, 3.0]), ("a", float("nan"), [0.2]), ("b", None, [])], "k string, y double, m array<double>")
     got = sorted((r.k, r.bin, r.edge, r.observed, r.members) for r in ME.wet_histogram(d, ["k"], (0.1, 1.0, 10.0)).collect())
     assert got == [("a", 0, 0.1, 1, 2), ("a", 1, 1.0, 0, 1), ("a", 2, 10.0, 0, 0), ("b", 0, 0.1, 0, 0), ("b", 1, 1.0, 0, 0), ("b", 2, 10.0, 0, 0)]
+
+
+def test_neighbourhoods_across_tiles_take_one_shuffle(spark, monkeypatch):
+    """Sums and distance classes on fields of several tiles against plain loops, nulls and gaps in them."""
+    monkeypatch.setattr(GR, "TILE", 5)
+    rng = random.Random(31)
+    rows = [(f, y, x, rng.choice([None, 1.0, 2.5, -3.0]), rng.random() < 0.02) for f in ("a", "b") for y in range(-3, 14) for x in range(17) if rng.random() < 0.9]
+    d = spark.createDataFrame(rows, "f string, y int, x int, v double, bad boolean")
+    out = GR.neighbourhood_sum(d, ["f"], 6, {"s": F.col("v"), "n": F.col("v").isNotNull().cast("long")})
+    assert out.columns == ["f", "y", "x", "v", "bad", "s", "n"]
+    for r in out.collect():
+        near = [v for f, y, x, v, _ in rows if f == r.f and -2 <= y - r.y <= 3 and -2 <= x - r.x <= 3 and v is not None]
+        assert r.n == len(near) and (abs(r.s - sum(near)) < 1e-9 if near else r.s is None)
+    bins = GR.chebyshev_bin(d, ["f"], F.col("bad"))
+    for r in bins.collect():
+        k = min((max(abs(y - r.y), abs(x - r.x)) for f, y, x, _, b in rows if f == r.f and b), default=99)
+        assert r.distance_bin == ("0" if k == 0 else "1-2" if k <= 2 else "3-8" if k <= 8 else "far")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (GR.neighbourhood_sum(d, ["f"], 6, {"s": F.col("v")}), GR.chebyshev_bin(d, ["f"], F.col("bad"))):
+            assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
