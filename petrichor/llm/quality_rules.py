@@ -1,10 +1,15 @@
 """Operator 9: quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A document first meets the base rules (too few words, too many words in repeated windows). The rules of the cascade look
-at the counts and at the text; each has a predicate that is true where the document fails. On a bounded sample the cost
-of every rule (seconds to evaluate it on the sample, less those of an empty pass) and its rejection rate are measured,
-and the rules are put in order of rejections per cost. The verdict is one nested CASE, so a document that fails stops
-there. The order changes the work and the name of the first failed rule, never the verdict.
+A rule has a predicate that is true where the document fails, over features of the text. All rules share the number of words
+and of their characters; each makes the other features that it needs itself. On a bounded sample the cost of every rule
+(seconds to make its own features and its predicate, less those of an empty pass) and its rejection rate are measured, and
+the rules are put in order of rejections per cost. ``filtered`` runs them as a cascade: each rule gets the text of the
+documents that passed all rules before it and null for the others, so nothing is counted any more for a document that
+has failed. The order changes the work, never the verdict. The base rules (too few words, too many words in repeated
+windows) are part of the cascade like all others.
+
+``judged`` is for who wants all counts of all documents: there the counts are made for every row, the base comes first, and only
+what the counts don't hold is left to the cascade.
 
 Words are runs without the six ASCII white-space bytes. A repeated window is three successive words found twice or more
 in the text. Windows are compared by two independent hashes, each packed with the position into one long and sorted as
@@ -131,26 +136,87 @@ def _word_replace(sql: str, name: str, by: str) -> str:
     return re.sub(rf"(?<![\w.]){name}(?!\w)", by, sql)
 
 
+#: The base as rules of the cascade.
+BASE_RULES: dict[str, str] = {"few_words": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words"}
+_SHARED = ("n_words", "word_chars")
+
+
+def _uses(rule: str, feature: str) -> bool:
+    return _word_replace(rule, feature, "") != rule
+
+
+def _shared(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the text, its words and what all rules share of them; the mark keeps a later filter above these columns."""
+    out = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_q_words", _words(F.col("_q_text")))
+    return out.withColumn("_q_all", F.struct(F.size("_q_words").cast("long").alias("n_words"), F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
+                                             F.monotonically_increasing_id().alias("mark")))
+
+
+def _step(docs: DataFrame, rule: str, open_: Column) -> tuple[DataFrame, Column]:
+    """``docs`` with the features of one rule, made where ``open_`` holds, and the rule's predicate over them."""
+    zero = F.lit(0).cast("long")
+    text, fields = F.when(open_, F.col("_q_text")), []
+    out = docs
+    if _uses(rule, "n_repeat_words"):
+        n = F.size("_q_open").cast("long")
+        bits = F.col("_q_bits")
+        out = out.withColumn("_q_open", F.when(open_, F.col("_q_words")).otherwise(F.array().cast("array<string>"))).withColumn("_q_bits", _position_bits(n))
+        starts = F.when(n >= 4, F.sequence(zero, n - 3)).otherwise(F.array().cast("array<bigint>"))
+        out = out.withColumn("_q_sorted", F.sort_array(_windows(F.col("_q_open"), starts, 0, bits))).withColumn("_q_first", _equal_neighbours(F.col("_q_sorted"), bits))
+        again = _bound(F.sort_array(_windows(F.col("_q_open"), F.col("_q_first"), 1, bits)), lambda s: _equal_neighbours(s, bits))
+        out = out.withColumn("_q_repeats", F.when(F.size("_q_first") == 0, zero).otherwise(_covered(again)))
+        fields.append(F.col("_q_repeats").alias("n_repeat_words"))
+    if _uses(rule, "n_symbols"):
+        fields.append(F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"))
+    if _uses(rule, "n_lines") or _uses(rule, "n_dup_lines"):
+        out = out.withColumn("_q_lines", F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+        fields += [F.size("_q_lines").cast("long").alias("n_lines"), (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines")]
+    out = out.withColumn("_q_own", F.struct(text.alias("text"), *fields, F.monotonically_increasing_id().alias("mark")))
+    predicate = rule
+    for f in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "text"):
+        predicate = _word_replace(predicate, f, f"_q_all.{f}" if f in _SHARED else f"_q_own.{f}")
+    return out, open_ & F.coalesce(F.expr(predicate), F.lit(False))
+
+
 def order(docs: DataFrame, rules: Mapping[str, str] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on a sample of at most ``rows`` documents, ties by name."""
+    """Rule names by rejections per second of a rule's own work, on a sample of at most ``rows`` documents; ties by name."""
     n = docs.count()
     share = max(1, n // rows)
-    sample = counted(docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(share)) == 0).limit(rows), text).select("_q").cache()
+    sample = _shared(docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(share)) == 0).limit(rows), text).cache()
     try:
         size = sample.count()
         if not size:
             return sorted(rules)
-        rejected = sample.agg(*[F.count_if(_predicate(p)).alias(k) for k, p in rules.items()]).first()
-
-        def seconds(c: Column) -> float:
-            began = time.perf_counter()
-            sample.agg(F.count_if(c)).first()
-            return time.perf_counter() - began
-        empty = min(seconds(F.col("_q.n_words") < -1) for _ in range(2))
-        cost = {k: max(1e-3, min(seconds(_predicate(p)) for _ in range(2)) - empty) for k, p in rules.items()}
+        every = F.lit(True)
+
+        def measured(rule: str) -> tuple[int, float]:
+            out, failed = _step(sample, rule, every)
+            ask = out.select(failed.alias("x")).agg(F.count_if("x").alias("n"))
+            took = []
+            for _ in range(3):
+                began = time.perf_counter()
+                found = ask.first()["n"]
+                took.append(time.perf_counter() - began)
+            return found, min(took)
+        empty = measured("n_words < -1")[1]
+        rate = {k: (found / size) / max(1e-3, took - empty) for k, p in rules.items() for found, took in [measured(p)]}
     finally:
         sample.unpersist()
-    return sorted(rules, key=lambda k: (-rejected[k] / size / cost[k], k))
+    return sorted(rules, key=lambda k: (-rate[k], k))
+
+
+def filtered(docs: DataFrame, rules: Mapping[str, str] = RULES, text: str = "text", sequence: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``_failed``: the first rule of the cascade that fails, base rules included, else null."""
+    every = {**BASE_RULES, **rules}
+
+    def state(failed: Column) -> Column:
+        """The mark is non-deterministic: no step is written out in terms of those before it, and no filter moves below one."""
+        return F.struct(failed.alias("failed"), F.monotonically_increasing_id().alias("mark"))
+    out = _shared(docs, text).withColumn("_q_state", state(F.lit(None).cast("string")))
+    for k in sequence or order(docs, every, text):
+        out, failed = _step(out, every[k], F.col("_q_state.failed").isNull())
+        out = out.withColumn("_q_state", state(F.when(failed, F.lit(k)).otherwise(F.col("_q_state.failed"))))
+    return out.select(*docs.columns, F.col("_q_state.failed").alias("_failed"))
 
 
 def judged(docs: DataFrame, rules: Mapping[str, str] = RULES, text: str = "text", sequence: list[str] | None = None) -> DataFrame:

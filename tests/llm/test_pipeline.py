@@ -56,6 +56,6 @@ def test_odd_documents(spark, docs, empty):
         assert stage(spark, empty, SF).count() == 0
 
 
-def test_eleven_queries():
+def test_fourteen_queries():
     names = [n for n in entry.queries() if n == "pipeline" or n[:2] == "op" and n[2].isdigit()]
-    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
+    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 14))])

@@ -74,3 +74,24 @@ def test_native_plan(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = Q.judged(d, sequence=sorted(Q.RULES)).select(F.col("_kept"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_cascade_gives_the_verdict_of_all_counts_in_any_order(spark, docs, empty):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    names = sorted([*Q.BASE_RULES, *Q.RULES])
+    want = Q.judged(d, sequence=sorted(Q.RULES)).select("doc_id", F.col("_kept").alias("kept"))
+    for sequence in (names, names[::-1], Q.order(d, {**Q.BASE_RULES, **Q.RULES})):
+        assert sorted(sequence) == names
+        got = Q.filtered(d, sequence=sequence).select("doc_id", F.col("_failed").isNull().alias("kept"))
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+    assert Q.filtered(docs).columns == [*docs.columns, "_failed"] and Q.filtered(empty).count() == 0
+
+
+def test_a_failed_document_is_not_counted_any_more(spark):
+    d = spark.createDataFrame([(1, "short"), (2, " ".join(f"word{k}" for k in range(80)))], "doc_id long, text string")
+    alarm = {"alarm": "CASE WHEN text = 'short' THEN raise_error('counted') ELSE false END"}
+    out = {r.doc_id: r._failed for r in Q.filtered(d, alarm, sequence=["few_words", "alarm", "repeats"]).collect()}
+    assert out == {1: "few_words", 2: None}
+    windows = Q.filtered(d, {}, sequence=["few_words", "repeats"])
+    text = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_q_open" in text and "Exchange" not in text  # words of open documents alone go into the windows
