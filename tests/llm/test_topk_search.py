@@ -16,8 +16,8 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_search(spark, block):
+@pytest.mark.parametrize("block, slice_rows", [(2, 7), (4096, 32768)])
+def test_search(spark, block, slice_rows):
     import random
     rng = random.Random(4)
     rows = [(i, [rng.choice([0.0, 0.25, -0.5, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(80)]
@@ -26,7 +26,14 @@ def test_search(spark, block):
     import struct
     exact = [(i, None if e is None else [None if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in e]) for i, e in rows]
     q = T.quantised(df)
-    out = T.search(q.filter("vec_id % 10 = 0"), q, 5, block=block)
+    out = T.search(q.filter("vec_id % 10 = 0"), q, 5, block=block, rows=slice_rows)
     assert sorted(tuple(r) for r in out.collect()) == brute(exact, 5, 10)
     assert T.search(q.filter("vec_id < 0"), q, 5).count() == 0
     assert T.search(q.filter("vec_id = 10"), q.limit(0), 5).count() == 0
+
+
+def test_huge_components_do_not_run_over(spark):
+    rows = [(0, [3e38, -3e38]), (1, [3e38, 3e38]), (2, [3e38, -1.0]), (3, [-3e38, 3e38])]
+    q = T.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    top = 1 << 54
+    assert [(r.vec_id, r.score) for r in T.search(q.filter("vec_id = 0"), q, 5).orderBy("rank").collect()] == [(2, top + 256 * (1 << 27)), (1, 0), (3, -2 * top)]
