@@ -206,15 +206,20 @@ def required_keys(leads: DataFrame, signatures: DataFrame, thresholds: list[floa
             .withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))))
 
 
-def resolve_calibration(cells: DataFrame, records: DataFrame, keys, params: dict[str, float]) -> DataFrame:
-    """JN22: exact-key lookup. mode = fitted / terminal_identity; a key without a record is an error row."""
+def resolve_calibration(cells: DataFrame, records: DataFrame, keys, params: dict[str, float], disabled: str | None = None) -> DataFrame:
+    """JN22: exact-key lookup. mode = fitted / terminal_identity / selection_disabled; a key without a record is an error row.
+
+    ``disabled`` names a boolean column of the records: where it holds, selection has left this calibration out, the raw value passes
+    as with a terminal record, and the mode says which of the two it is.
+    """
     keys = list(keys)
-    r = records.select(*keys, F.lit(True).alias("_hit"), F.col("terminal").alias("_t"), *[F.col(p).alias(f"_{p}") for p in params])
+    off = F.coalesce(F.col(disabled), F.lit(False)) if disabled else F.lit(False)
+    r = records.select(*keys, F.lit(True).alias("_hit"), off.alias("_off"), (F.col("terminal") & ~off).alias("_t"), *[F.col(p).alias(f"_{p}") for p in params])
     j = cells.join(r, keys, "left")
     hit = F.coalesce("_hit", F.lit(False))
-    mode = F.when(~hit, "missing_record").when(F.col("_t"), "terminal_identity").otherwise("fitted")
+    mode = F.when(~hit, "missing_record").when(F.col("_off"), "selection_disabled").when(F.col("_t"), "terminal_identity").otherwise("fitted")
     return j.select(*cells.columns, mode.alias("mode"), *[
-        F.when(hit, F.when(F.col("_t"), F.lit(float(v))).otherwise(F.col(f"_{p}"))).alias(p) for p, v in params.items()])
+        F.when(hit, F.when(F.col("_t") | F.col("_off"), F.lit(float(v))).otherwise(F.col(f"_{p}"))).alias(p) for p, v in params.items()])
 
 
 def resolve_scale(cells: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame]:

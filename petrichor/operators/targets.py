@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .manifest import union_all, violation
 
 PIXEL = ("y", "x")
 
@@ -119,3 +120,22 @@ def partition_timeline(issues: DataFrame, events_hit: DataFrame, background: Dat
     e = events_hit.select("slot").distinct().withColumn("_event", F.lit("event"))
     return (issues.select("slot").join(e, "slot", "left").join(background.select("slot", "class"), "slot", "left")
             .select("slot", F.coalesce("_event", "class", F.lit("unassigned")).alias("stratum")))
+
+
+def timeline_violations(issues: DataFrame, items: DataFrame, targets: DataFrame) -> DataFrame:
+    """IT05: what a partition of the timeline must not do, as rows (rule, key, detail).
+
+    ``items`` (slot, stratum) is the partition of ``issues`` (slot); ``targets`` (slot, any_wet, significant) says what was
+    observed. A strict-dry slot with a wet pixel is contaminated; a slot with a significant component outside events isn't covered;
+    a slot without a stratum is unassigned, one with several rows is assigned twice. A slot without a target counts as neither wet
+    nor significant.
+    """
+    j = items.join(targets.select("slot", "any_wet", "significant"), "slot", "left")
+    per = issues.select("slot").distinct().join(items.groupBy("slot").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.coalesce(F.col("stratum") == "unassigned", F.lit(True))).alias("_open")), "slot", "left")
+    none = F.coalesce(F.col("_n"), F.lit(0)) == 0
+    return union_all([
+        violation(j.filter("stratum = 'strict_dry' and any_wet"), "strict_dry_contaminated", F.col("slot")),
+        violation(j.filter("significant and coalesce(stratum <> 'event', true)"), "significant_not_covered", F.col("slot"), F.coalesce("stratum", F.lit(""))),
+        violation(per.filter(none | F.col("_open")), "unassigned", F.col("slot")),
+        violation(per.filter("_n > 1"), "assigned_twice", F.col("slot"), F.col("_n"))])

@@ -155,6 +155,17 @@ def jn22(spark, sf):
     return out.withColumn("b", r6(C("b"))).withColumn("c", r6(C("c")))
 
 
+@query("jn22_selection_disabled", f"""with {ROWS_SQL}, {LOC_SQL}, rec as (select lead, b, c, lead <= 2 as terminal, lead in (2, 3) as off from loc where lead <> 7),
+j as (select rw.lead, rw.condition_signature, rec.*, rec.lead is not null as hit from (select distinct lead, condition_signature from rw) rw left join rec on rec.lead = rw.lead)
+select lead, condition_signature, case when not hit then 'missing_record' when off then 'selection_disabled' when terminal then 'terminal_identity' else 'fitted' end as mode, round(case when hit then case when terminal or off then 0 else b end end, 6) as b from j""")
+def jn22_disabled(spark, sf):
+    """A record that selection has left out passes the raw value, whether it is terminal or fitted."""
+    rec = location(spark, sf).filter("lead <> 7").withColumn("terminal", C("lead") <= 2).withColumn("off", C("lead").isin(2, 3))
+    cells = rows(spark, sf).select("lead", "condition_signature").distinct()
+    out = CB.resolve_calibration(cells, rec, ["lead"], {"b": 0.0}, "off")
+    return out.withColumn("b", r6(C("b")))
+
+
 @query("jn23_resolve_scale", ladder_sql("blocks >= 80 and ess >= 45 and rank < 1") + """ select lead, condition_signature, count(*) as n, case when terminal then 'regression_only' else 'scaled' end as route,
  round(any_value(case when not terminal then greatest(sqrt(sq / mass), 1e-3) end), 6) as scale from rw join pick using (lead, condition_signature) group by all""")
 def jn23(spark, sf):

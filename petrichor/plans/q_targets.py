@@ -134,6 +134,21 @@ def it05(spark, sf):
     return TG.partition_timeline(issues, hit, background(spark, sf))
 
 
+@query("it05_timeline_assertions", f"""with {BG_SQL}, tw as (select slot, coalesce(any_wet, false) as any_wet from tg), pt as (select sl.slot, case when sl.slot % 7 = 0 then 'strict_dry' when sl.slot % 11 = 0 then 'event' else class end as stratum from sl left join bgc using (slot) where sl.slot % 13 <> 0)
+select 'strict_dry_contaminated' as rule, count(*) as n from pt join tw using (slot) where any_wet and stratum = 'strict_dry' having count(*) > 0 union all
+select 'significant_not_covered', count(*) from pt join tw using (slot) where any_wet and coalesce(stratum <> 'event', true) having count(*) > 0 union all
+select 'unassigned', count(*) from sl left join pt using (slot) where stratum is null having count(*) > 0 union all
+select 'assigned_twice', count(*) from pt where slot % 17 = 0 having count(*) > 0""")
+def it05_assertions(spark, sf):
+    """A damaged partition: some slots called dry, some left out, some given twice."""
+    issues = frames(spark, sf).select("slot").distinct()
+    seen = target(spark, sf).groupBy("slot").agg(F.coalesce(F.max(F.when(C("valid"), C("raw") >= 900)), F.lit(False)).alias("any_wet")).withColumn("significant", C("any_wet"))
+    s = F.when(C("slot") % 7 == 0, "strict_dry").when(C("slot") % 11 == 0, "event").otherwise(C("class"))
+    parts = issues.join(background(spark, sf), "slot", "left").select("slot", s.alias("stratum")).filter("slot % 13 <> 0")
+    twice = parts.filter("slot % 17 = 0").withColumn("stratum", F.lit("event"))
+    return TG.timeline_violations(issues, parts.unionByName(twice), seen).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 GRID_SQL = """g as (select epoch_us(ts) // 21600000000 as field, user_id // 15 as y, user_id % 15 as x, max(value) as v from events group by all having max(value) >= 60)"""
 
 

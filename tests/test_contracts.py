@@ -15,6 +15,7 @@ from petrichor.operators import events as EV
 from petrichor.operators import metrics as ME
 from petrichor.operators import sampling as SA
 from petrichor.operators import stats as SS
+from petrichor.operators import targets as TG
 from petrichor.operators import validate as VA
 from petrichor.session import small_side
 from petrichor.sources import frames as FR
@@ -215,3 +216,18 @@ def test_unequal_pairs(spark):
     b = spark.createDataFrame([("p", 2), ("p", 1), ("q", 1), ("r", 3), ("same", 2), ("same", 1)], "pair string, key long")
     got = sorted(tuple(r) for r in FR.unequal_pairs(a, b).collect())
     assert got == [("only", 7, 1, 0), ("q", 1, 2, 1), ("r", 3, 0, 1)]
+
+
+def test_timeline_must_be_a_partition(spark):
+    issues = spark.createDataFrame([(k,) for k in range(6)], "slot long")
+    items = spark.createDataFrame([(0, "event"), (1, "strict_dry"), (2, "strict_dry"), (3, "marginal_background"), (3, "event"), (4, "unassigned")], "slot long, stratum string")
+    seen = spark.createDataFrame([(0, True, True), (1, False, False), (2, True, False), (3, True, True), (4, True, True)], "slot long, any_wet boolean, significant boolean")
+    got = sorted((r.rule, r.key) for r in TG.timeline_violations(issues, items, seen).collect())
+    assert got == [("assigned_twice", "3"), ("significant_not_covered", "3"), ("significant_not_covered", "4"), ("strict_dry_contaminated", "2"), ("unassigned", "4"), ("unassigned", "5")]
+
+
+def test_disabled_calibration_passes_the_raw_value(spark):
+    cells = spark.createDataFrame([(k,) for k in range(5)], "lead long")
+    records = spark.createDataFrame([(0, 0.5, False, False), (1, 0.5, True, False), (2, 0.5, False, True), (3, 0.5, True, None)], "lead long, b double, terminal boolean, off boolean")
+    got = {r.lead: (r.mode, r.b) for r in CB.resolve_calibration(cells, records, ["lead"], {"b": 0.0}, "off").collect()}
+    assert got == {0: ("fitted", 0.5), 1: ("terminal_identity", 0.0), 2: ("selection_disabled", 0.0), 3: ("terminal_identity", 0.0), 4: ("missing_record", None)}
