@@ -35,7 +35,9 @@ from .text import slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct chunks that a worker remembers before the older generation of them is let go.
-KEPT = 400_000
+KEPT = 250_000
+#: Distinct words inside longer chunks that it remembers besides.
+WORDS = 100_000
 #: Rows and token ids of a packing group.
 GROUP_ROWS, GROUP_IDS = 1024, 4 << 20
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]|[^\S \t\n\r]")
@@ -80,12 +82,18 @@ class Ids:
     def word(self, word: str) -> bytes:
         """Ids of a plain word, straight from the model; ASCII stands for itself there."""
         known = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-        packed = self.words[word] = array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(known)]).tobytes()
+
+    def part(self, word: str) -> bytes:
+        """Ids of a plain word inside a longer chunk: as a chunk of its own it may be known already."""
+        packed = self.words.get(word) or self.seen.get(word) or self.older.get(word)
+        if packed is None:
+            packed = self.words[word] = self.word(word)
         return packed
 
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of ``chunks``; plain ones are lower-cased already or are so here."""
-        slow, known = [], self.words.get
+        slow, part = [], self.part
         for c in chunks:
             ids = self.older.get(c)
             if ids is not None:
@@ -93,9 +101,9 @@ class Ids:
             elif self.findall and not PLAIN.search(c):
                 c_words = self.findall(c.lower())
                 if len(c_words) == 1:
-                    self.seen[c] = known(c_words[0]) or self.word(c_words[0])
+                    self.seen[c] = self.words.get(c) or self.word(c_words[0])
                 else:
-                    self.seen[c] = b"".join([known(w) or self.word(w) for w in c_words])
+                    self.seen[c] = b"".join([part(w) for w in c_words])
             else:
                 slow.append(c)
         if slow:
@@ -121,7 +129,7 @@ class Ids:
                 out[i] = ids
         if len(self.seen) > KEPT or any(len(t) > 4096 for t in missing):
             self.older, self.seen = {t: i for t, i in self.seen.items() if len(t) <= 64}, {}
-        if len(self.words) > KEPT:
+        if len(self.words) > WORDS:
             self.words = {}
         return out
 
