@@ -46,4 +46,4 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def kept(rows: DataFrame, dimensions: int | None = None, vector: str = "embedding", scale: int = 256, also: tuple[str, ...] = ()) -> DataFrame:
     """vec_id, ``also`` and integer components ``q`` of the whole vectors of ``rows``."""
-    return rows.filter(whole(vector, dimensions)).select("vec_id", *also, integers(vector, scale).alias("q"))
+    return rows.filter(whole(vector, dimensions)).select(F.col("vec_id").cast("long").alias("vec_id"), *also, integers(vector, scale).alias("q"))
