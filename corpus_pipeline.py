@@ -29,8 +29,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the cascade."""
-    return quality_rules.judged(docs).filter("_kept").select(*docs.columns)
+    """Documents that pass the cascade, the base rules in it."""
+    return quality_rules.filtered(docs).filter("_failed IS NULL").select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
