@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..operators import grid as GR
+from ..session import cut_lineage
 from . import bindings as B
 from .bindings import r6
 from .q_scalars import LAT_SQL, LON_SQL, customer_lcc, lcc_sql
@@ -21,6 +22,8 @@ dx as (select k as idx, a + (b - a) * k / 12 as centre from bx, (select unnest(r
 
 
 def axes(spark, sf):
+    """Source and target axes. Means are taken once: each use would add doubles in another order, and a weight that is zero
+    up to rounding could come out above the tolerance of the weights."""
     e = B.table(spark, sf, "events")
     a = F.avg("value")
 
@@ -31,7 +34,7 @@ def axes(spark, sf):
         ends = s.agg(F.min("centre").alias("a"), F.max("centre").alias("b"))
         return ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("idx"), "a", "b").select(
             "idx", (C("a") + (C("b") - C("a")) * C("idx") / n).alias("centre"))
-    sx, sy = src(C("user_id") % 15, 2.0), src(F.floor(C("user_id") / 15) % 10, 3.0)
+    sx, sy = cut_lineage(src(C("user_id") % 15, 2.0)), cut_lineage(src(F.floor(C("user_id") / 15) % 10, 3.0))
     return sx, sy, dst(sx, 12), dst(sy, 8)
 
 

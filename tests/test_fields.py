@@ -309,3 +309,14 @@ def test_neighbourhoods_across_tiles_take_one_shuffle(spark, monkeypatch):
             assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_weights_come_from_one_evaluation_of_the_axes(spark, monkeypatch):
+    """Means of doubles differ in their last bits from one evaluation to the next; the weights must not mix evaluations."""
+    from petrichor.plans import q_grid
+    noise = F.udf(lambda v: v + random.uniform(0, 1e-7), "double").asNondeterministic()
+    read = q_grid.B.table
+    monkeypatch.setattr(q_grid.B, "table", lambda s, sf, name: read(s, sf, name).withColumn("value", noise("value")))
+    sf = "/root/testdata/sf0.01"
+    row = q_grid.jn10b(spark, sf).first()
+    assert (row["weights"], row["violations"]) == (37, 0)
