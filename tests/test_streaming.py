@@ -126,3 +126,19 @@ def test_late_report_run_twice_changes_nothing(spark, tmp_path):
     for i in (1, 2, 3):
         run(frames[i], i)
     assert shown() == first
+
+
+def test_latest_cycle_of_many_keys_in_one_group():
+    rng = random.Random(4)
+    rows = [(rng.randrange(5), rng.randrange(1, 2_000_000), k, k % 4 == 0, float(k)) for k in range(600)]
+    late = sorted(rows, key=lambda x: x[1] + rng.uniform(0, 250_000))
+    frame = lambda b: pd.DataFrame([(k, t, -1 if c else i, c, v) for k, t, i, c, v in b], columns=["key", "us", "id", "is_cycle", "value"])
+    batches = [late[i:i + 50] for i in range(0, len(late), 50)] + [[(9, 5_000_000, 999, False, 0.0)]]
+    out, state = stream(SM._latest(100_000), batches, frame, lambda x: x[1] / 1000, 300, lambda o: (o.key, o.id, o.cycle_us, o.value))
+    want = []
+    for k, t, i, c, _ in rows:
+        if not c:
+            past = [(ct, v) for ck, ct, _, cc, v in rows if cc and ck == k and ct <= t and t - ct <= 100_000]
+            want.append((k, i, *max(past, default=(-1, 0.0))))
+    assert sorted(out) == sorted(want)
+    assert state.value[0] == [999] and state.value[4] == [9] and state.value[2] == state.value[5] == []
