@@ -56,7 +56,8 @@ class Ids:
     Words of plain Latin chunks go straight to the tokenizer's model; anything else takes the tokenizer's own way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -127,7 +128,7 @@ class Ids:
         if odd:
             for i, ids in zip(odd, self.fresh([texts[i] for i in odd])):
                 out[i] = ids
-        if len(self.seen) > KEPT or any(len(t) > 4096 for t in missing):
+        if len(self.seen) > self.kept or any(len(t) > 4096 for t in missing):
             self.older, self.seen = {t: i for t, i in self.seen.items() if len(t) <= 64}, {}
         if len(self.words) > WORDS:
             self.words = {}
@@ -135,8 +136,8 @@ class Ids:
 
 
 @lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, kept: int = KEPT) -> Ids:
+    return Ids(path, kept)
 
 
 def pack(tokens: list[int], loss: list[int], limits: Limits = Limits()) -> list[list[tuple[int, int, int]]]:
@@ -213,7 +214,7 @@ def powers(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
     return out
 
 
-def _packed(path: str, closing: int, limits: Limits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(path: str, closing: int, limits: Limits, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([closing], dtype="<u4").tobytes()
 
     def emit(names: list, ids: list[bytes], loss: list, base: int, made: int) -> tuple[pa.RecordBatch, int]:
@@ -235,7 +236,7 @@ def _packed(path: str, closing: int, limits: Limits) -> Callable[[Iterator[pa.Re
         return batch, made + len(sequences)
 
     def run(batches):
-        t, base, made = ids_of(path), TaskContext.get().partitionId() << 33, 0
+        t, base, made = ids_of(path, kept), TaskContext.get().partitionId() << 33, 0
         names, ids, loss, held = [], [], [], 0
         for part in slices(batches, "text", size=1 << 20):
             names += part.column(0).to_pylist()
@@ -252,11 +253,13 @@ def _packed(path: str, closing: int, limits: Limits) -> Callable[[Iterator[pa.Re
     return run
 
 
-def packed(docs: DataFrame, path: str, closing: int = 1, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str, closing: int = 1, limits: Limits = Limits(), loss: str | None = None,
+           kept: int = KEPT) -> DataFrame:
     """One row a piece of every row of ``docs`` (doc_id, text); each sequence lies in one task.
 
     ``loss`` names a column with the number of loss-bearing tokens of each row, its last ones, the closing id among them.
-    Null, or no such column, means all tokens; then a loss limit of ``limits.tokens - 1`` or more never binds.
+    Null, or no such column, means all tokens; then a loss limit of ``limits.tokens - 1`` or more never binds. ``kept`` is the
+    number of distinct chunks that a worker remembers: more take memory and save time, and the result is the same.
     """
     bearing = F.col(loss) if loss else F.lit(None)
-    return docs.select("doc_id", "text", bearing.cast("long").alias("loss")).mapInArrow(_packed(path, closing, limits), SCHEMA)
+    return docs.select("doc_id", "text", bearing.cast("long").alias("loss")).mapInArrow(_packed(path, closing, limits, kept), SCHEMA)

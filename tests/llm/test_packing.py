@@ -105,3 +105,10 @@ def test_padding_is_small(spark):
     used = [r.n for r in K.packed(df, PATH).groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
     padded = sum(2048 - n for n in used if n & (n - 1))
     assert padded < 0.01 * sum(used)
+
+
+def test_number_of_remembered_chunks_is_a_parameter_and_changes_nothing():
+    texts = [" ".join(f"w{i * k}" for i in range(40)) for k in range(1, 60)]
+    few, many = K.Ids(PATH, kept=50), K.Ids(PATH, kept=100_000)
+    assert [few.encode_all([t]) for t in texts] == [many.encode_all([t]) for t in texts]
+    assert len(many.seen) > 500 and not many.older and few.older
