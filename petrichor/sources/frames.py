@@ -15,6 +15,7 @@ from pyspark.sql.types import BinaryType
 from ..functions.values import NULL_CODES
 from ..operators.slots import order_violations
 from ..session import small_side
+from .ranges import RANGE_BYTES, in_ranges, resumable, sha256_by_ranges
 
 # fixed values of the raw layout
 HEADER_BYTES, RAW_HEIGHT, RAW_WIDTH = 1024, 2881, 2305
@@ -151,14 +152,28 @@ def estimate_bytes(frames: DataFrame, by, cells: Column, bytes_per_cell: int = 4
     return frames.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), F.sum(cells * bytes_per_cell + mask_bytes).alias("bytes"))
 
 
-def fingerprint_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """SC14: size and SHA-256 per artifact file (one task reads one file; the format's own size limit applies)."""
-    return fingerprint_content(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
+def fingerprint_files(spark: SparkSession, folder: str, pattern: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """SC14: size and SHA-256 per artifact file.
+
+    A file above ``range_bytes`` is read by blocks and digested range by range (``ranges``). Smaller files, and those with the
+    suffix of a compression codec, are read in one row each.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    large = files.filter(in_ranges(range_bytes)).select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("named"), F.col("length").alias("size"))
+    if not resumable() or large.isEmpty():
+        return fingerprint_content(files)
+    digests = sha256_by_ranges(spark, large.select("path", "size"), folder, pattern, range_bytes)
+    return fingerprint_content(files.filter(~in_ranges(range_bytes))).unionByName(
+        large.join(digests, "path").select(file_name("named").alias("file"), F.col("size").alias("bytes"), "sha256"))
+
+
+def file_name(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def fingerprint_content(files: DataFrame) -> DataFrame:
     """Name, size and SHA-256 of every (path, content)."""
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(file_name("path").alias("file"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def row_digest(cols) -> Column:

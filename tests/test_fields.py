@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from petrichor.operators import targets as TG
 from petrichor.operators import validate as VA
 from petrichor.sources import frames as FR
 from petrichor.sources import publish as PB
+from petrichor.sources import ranges as RG
 
 
 def frames(spark, rows):
@@ -225,6 +227,32 @@ def test_raw_files_round_trip(spark, tmp_path):
     assert FR.list_files(spark, str(tmp_path)).count() == 2
 
 
+def test_fingerprints_of_files_that_no_task_reads_whole(spark, tmp_path):
+    import gzip
+    import hashlib
+    noise = np.random.default_rng(5).integers(0, 256, 300_000, dtype="uint8").tobytes()
+    files = {"plain.bin": noise, "a b%20.bin": noise + b"\n", "mark.bin": b"\xef\xbb\xbf" + noise[:90_001], "mark and feed.bin": b"\xef\xbb\xbf" + noise[:90_000] + b"\n",
+             "feeds.bin": b"\n" * 100_000, "returns.bin": b"\r\n\r" * 30_000, "one line.bin": b"\0" * 200_000, "small.bin": b"ab\n", "edge.bin": (b"x" * 4095 + b"\n") * 32,
+             "packed.gz": gzip.compress(noise[:68_000])}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    want = {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    limits = {"spark.sql.sources.binaryFile.maxLength": "70000", "spark.sql.files.maxPartitionBytes": "40960"}  # a larger file in one row is an error
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        assert {tuple(r) for r in FR.fingerprint_files(spark, str(tmp_path), "*", 1 << 16).collect()} == want
+        pieces = RG.byte_pieces(spark, str(tmp_path), "plain.bin", 1 << 16).orderBy("start", "at").select("step", F.length("data").alias("n")).collect()
+        steps = [r["step"] for r in pieces]
+        assert steps == sorted(steps) and set(steps) == set(range(5)) and max(sum(r["n"] for r in pieces if r["step"] == k) for k in range(5)) < 110_000
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    short = pa.RecordBatch.from_pydict({"path": ["p"], "size": [4], "state": [RG.Sha256().update(b"abc").state], "tail": [b""]})
+    with pytest.raises(ValueError, match="3 of 4 bytes"):
+        list(RG._close([short]))
+
+
 def test_bundle_is_all_or_nothing(spark, tmp_path):
     target = str(tmp_path / "bundle")
     t = {"a": spark.range(3), "b": spark.range(5)}
