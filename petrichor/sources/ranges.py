@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import dropped, written
@@ -161,7 +161,8 @@ def sha256_by_ranges(spark: SparkSession, sizes: DataFrame, folder: str, pattern
     """(path, sha256) of the files in ``sizes`` (path, size), equal to the digest over the whole file.
 
     Blocks are read at once and written as pieces; then one round a range takes each file's state on by the pieces of
-    that range. So a task reads one block or one range of a file, and rounds grow with the largest file.
+    that range. So a task reads one block or one range of a file, and rounds grow with the largest file. Files are dealt
+    to tasks by number, largest first, as hashes of a few paths would meet in one task.
     """
     old: list[str] = []
     kept: list[str] = []
@@ -170,13 +171,17 @@ def sha256_by_ranges(spark: SparkSession, sizes: DataFrame, folder: str, pattern
     # the line reader takes away a byte order mark at the front and the last line feed; what is missing tells which
     missing = F.col("size") - F.coalesce("n", F.lit(0))
     seen = written(sizes.join(came, "path", "left").select(
-        "path", "size", "last", missing.isin(len(BOM), len(BOM) + 1).alias("bom"), F.when(missing.isin(1, len(BOM) + 1), F.lit(b"\n")).otherwise(F.lit(b"")).alias("tail")))
+        "path", "size", "last", missing.isin(len(BOM), len(BOM) + 1).alias("bom"), F.when(missing.isin(1, len(BOM) + 1), F.lit(b"\n")).otherwise(F.lit(b"")).alias("tail"),
+        (F.row_number().over(Window.orderBy(F.desc("size"), "path")) - 1).alias("no")))
+    files, last = seen.agg(F.count(F.lit(1)), F.max("last")).first()
+    tasks = max(1, min(files, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     empty, marked = Sha256().state, Sha256().update(BOM).state
     states = seen.select("path", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("at"), F.when(F.col("bom"), F.lit(marked)).otherwise(F.lit(empty)).alias("data"))
-    for step in range((seen.agg(F.max("last")).first()[0] or 0) + 1):
+    for step in range((last or 0) + 1):
         new: list[str] = []
         rows = states.unionByName(pieces.filter(F.col("step") == step).drop("n", "step"))
-        states = written(rows.repartition("path").sortWithinPartitions("path", "start", "at").mapInArrow(_advance, PIECES), new)
+        dealt = rows.join(seen.select("path", "no"), "path").repartitionById(tasks, "no").sortWithinPartitions("path", "start", "at")
+        states = written(dealt.drop("no").mapInArrow(_advance, PIECES), new)
         dropped(spark, old)
         old = new
     out = written(states.join(seen, "path").select("path", "size", F.col("data").alias("state"), "tail").mapInArrow(_close, "path string, sha256 string"))
